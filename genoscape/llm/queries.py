@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import fingerprints
+from .jaccard import near_classes
 from .languages import language_ids
 from .licences import licence_scan
 from .mixing import mix
 from .neighbours import nearest
 from .pieces import encode_pieces
 from .quality import quality_scores
+from .substrings import substring_dedup
 from .token_counts import token_counts
 
 
@@ -50,6 +52,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("k")
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), width=35)
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -59,7 +69,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op9_licences, op10_pieces)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op7_jaccard, op8_substrings, op9_licences, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
