@@ -34,8 +34,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .repeats import repeated
 from .sketches import bloom_of
-from .words import cut, reachable_by_workers, window_hashes, word_hashes
+from .words import cut, reachable_by_workers, text_hashes, window_hashes
 
 WIDTH = 35
 #: Perfect difference sets by period.
@@ -84,36 +85,41 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     reachable_by_workers(spark)
     keyed = _keyed(docs, doc_id, text)
 
-    def anchors(batches):
-        for batch in batches:
-            for part in _parts(batch):
-                found = [_anchors(word_hashes((t or b"").split()), width)[1] for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), _LONG)], names=["h"])
+    def anchors(batch):
+        for t in batch.column(0).to_pylist():
+            yield _anchors(text_hashes(t or b""), width)[1]
 
-    twice = cut(keyed.select("t").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    twice = cut(repeated(keyed.select("t"), anchors).select("h"))
     bloom = bloom_of(twice, "h", twice.count())
     if bloom is not None:
         sent = spark.sparkContext.broadcast(bloom)
 
-        def windows(batches):
-            held = sent.value
+        def windows(t: bytes | None):
+            """Starts and hashes of the windows of a text that hold an anchor of the filter."""
+            hashes = text_hashes(t or b"")
+            at, anchor = _anchors(hashes, width)
+            at = at[sent.value.has(anchor)]
+            starts = _starts_near(at, len(hashes), width) if len(at) else at
+            return starts, window_hashes(hashes, width)[starts] if len(starts) else starts.view(np.uint64)
+
+        def hashed(batch):
+            for t in batch.column(0).to_pylist():
+                yield windows(t)[1]
+
+        def placed(batches):
             for batch in batches:
                 for part in _parts(batch):
                     rows = []
                     for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        hashes = word_hashes((t or b"").split())
-                        at, anchor = _anchors(hashes, width)
-                        at = at[held.has(anchor)]
-                        if len(at):
-                            starts = _starts_near(at, len(hashes), width)
-                            rows.append((window_hashes(hashes, width)[starts].view(np.int64), np.full(len(starts), k), starts.astype(np.int32)))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["w", "k", "start"])
-
-        places = keyed.mapInArrow(windows, "w long, k long, start int")
+                        starts, found = windows(t)
+                        rows.append((found.view(np.int64), np.full(len(starts), k, np.int64), starts.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["w", "k", "start"])
+
+        places = keyed.mapInArrow(placed, "w long, k long, start int")
+        again = repeated(keyed.select("t"), hashed).select(F.col("h").alias("w"))
     else:
         places = _extended_by_join(keyed, twice, width)
-    again = places.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+        again = places.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     return places.join(again, "w", "left_semi").groupBy("k").agg(F.collect_set("start").alias("starts"))
 
 
@@ -125,7 +131,7 @@ def _extended_by_join(keyed: DataFrame, twice: DataFrame, width: int) -> DataFra
             for part in _parts(batch):
                 rows = []
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    at, anchor = _anchors(word_hashes((t or b"").split()), width)
+                    at, anchor = _anchors(text_hashes(t or b""), width)
                     rows.append((anchor.view(np.int64), np.full(len(at), k, np.int64), at.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["h", "k", "at"])
 
@@ -135,7 +141,7 @@ def _extended_by_join(keyed: DataFrame, twice: DataFrame, width: int) -> DataFra
             for part in _parts(batch):
                 rows = []
                 for k, packed, at in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    hashes = word_hashes(unpack(packed).split())
+                    hashes = text_hashes(unpack(packed))
                     starts = _starts_near(np.array(at, np.int64), len(hashes), width)
                     rows.append((window_hashes(hashes, width)[starts].view(np.int64), np.full(len(starts), k), starts.astype(np.int32)))
                 if rows:

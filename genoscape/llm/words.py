@@ -70,6 +70,29 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def text_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, without making the words: polynomials of their bytes, from prefix sums."""
+    data = np.frombuffer(text, np.uint8)
+    n = len(data)
+    if not n:
+        return np.empty(0, U64)
+    edge = np.empty(n + 2, bool)
+    edge[0] = edge[-1] = True
+    np.take(_SPACE, data, out=edge[1:-1])
+    at = np.flatnonzero(edge[1:] != edge[:-1])
+    first, last = at[::2], at[1::2]
+    up, down = _powers(n)
+    sums = np.empty(n + 1, U64)
+    sums[0] = 0
+    np.multiply(data, up[:n], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` consecutive values; empty if there are fewer."""
     n = len(hashes)
