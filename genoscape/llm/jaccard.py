@@ -38,8 +38,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
+from .repeats import repeated
 from .sketches import Levels, bloom_of, levels_of
-from .words import U64, cut, reachable_by_workers, window_hashes, word_hashes
+from .words import U64, cut, reachable_by_workers, text_hashes, window_hashes
 
 BLOCK = 512
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -47,7 +48,7 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
     """Sorted hashes of the distinct n-grams."""
-    hashes = word_hashes((text or b"").translate(_LOWER).split())
+    hashes = text_hashes((text or b"").translate(_LOWER))
     if not len(hashes):
         return hashes
     return np.unique(window_hashes(hashes, min(n, len(hashes))))
@@ -58,9 +59,9 @@ def signature(found: np.ndarray) -> bytes:
 
 
 def in_order(found: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams in the global order, and their levels."""
+    """n-grams (sorted by hash) in the global order, and their levels."""
     level = levels.of(found)
-    by = np.lexsort((found, level))
+    by = np.argsort(level, kind="stable")
     return found[by], level[by]
 
 
@@ -227,17 +228,31 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("doc_id"))
 
-    def counted(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 400):
-                found = [shingles(t, n) for t in batch.column(0).slice(a, 400).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], names=["h"])
+    def counted(batch):
+        for t in batch.column(0).to_pylist():
+            yield shingles(t, n)
 
-    counts = cut(own.select("t").mapInArrow(counted, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    counts = cut(repeated(own.select("t"), counted))
     levels = spark.sparkContext.broadcast(levels_of(counts))
 
+    def head_of(found: np.ndarray) -> np.ndarray:
+        """The n-grams of a set's prefix that may occur elsewhere."""
+        ordered, level = in_order(found, levels.value)
+        size = prefix_length(len(found), num, den)
+        return ordered[:size][level[:size] > 0] if levels.value.exact_zero else ordered[:size]
+
+    common = None
+    if not levels.value.exact_zero:  # the table left rare n-grams out: what stands in one prefix only is found by counting
+        def heads(batch):
+            for t in batch.column(0).to_pylist():
+                if len(found := shingles(t, n)):
+                    yield head_of(found)
+
+        common = cut(repeated(own.select("t"), heads).select("h"))
+        made = bloom_of(common, "h", common.count())
+        common = spark.sparkContext.broadcast(made) if made is not None else None
+
     def prefixes(batches):
-        held = levels.value
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
@@ -245,9 +260,9 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
                 if not len(found):
                     rows.append((0, None, []))
                     continue
-                ordered, level = in_order(found, held)
-                size = prefix_length(len(found), num, den)
-                head = ordered[:size][level[:size] > 0] if held.exact_zero else ordered[:size]
+                head = head_of(found)
+                if common:
+                    head = head[common.value.has(head)]
                 rows.append((len(found), signature(found), head.view(np.int64)))
             sizes, sigs, heads = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["k", "doc_id", "n_shingles", "sig", "head"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .words import U64, reachable_by_workers
 
 BLOOM_BITS, BLOOM_PER_KEY, BLOOM_HASHES = 1 << 27, 16, 4
-LEVEL_CELLS, PAGE = 1 << 25, 1 << 15
+LEVEL_CELLS, PAGE = 1 << 26, 1 << 15
 
 
 class Bloom:
@@ -48,17 +48,18 @@ def bloom_of(keys: DataFrame, column: str, count: int) -> Bloom | None:
 
 
 class Levels:
-    """A coarse frequency of each 64-bit hash: 0 if it isn't in the table, else the base-2 logarithm of its count.
+    """A coarse frequency of each 64-bit hash: 0 if it isn't in the table, else the base-2 logarithm of its count, 15 at most; two cells a byte.
 
     Hashes that share a cell have the larger level: still one value per hash, so that an order
     by (level, hash) is the same wherever it is used. ``exact_zero``: level 0 means that the
     hash was counted once."""
 
     def __init__(self, cells: np.ndarray, exact_zero: bool):
-        self.cells, self.mask, self.exact_zero = cells, U64(len(cells) - 1), exact_zero
+        self.cells, self.mask, self.exact_zero = cells, U64(2 * len(cells) - 1), exact_zero
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.cells[keys & self.mask]
+        at = keys & self.mask
+        return (self.cells[at >> U64(1)] >> ((at & U64(1)) << U64(2)).astype(np.uint8)) & np.uint8(15)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,25 +69,25 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in np.unique(cell // PAGE).tolist():
             mine = cell // PAGE == page
             np.maximum.at(pages.setdefault(page, np.zeros(PAGE, np.uint8)), cell[mine] % PAGE, level[mine].astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array([p.tobytes() for p in pages.values()], pa.binary())], names=["page", "cells"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array([(p[::2] | p[1::2] << 4).tobytes() for p in pages.values()], pa.binary())], names=["page", "cells"])
 
 
 def levels_of(counts: DataFrame, column: str = "h", count: str = "c") -> Levels:
-    """Of hashes with their counts (2 and more). The table has at most LEVEL_CELLS bytes (32 MB): if there are
-    more than a quarter as many hashes, the most frequent ones are kept, by whole levels."""
+    """Of hashes with their counts (2 and more). The table has at most LEVEL_CELLS cells (32 MB): if there are
+    more than half as many hashes, the most frequent ones are kept, by whole levels."""
     reachable_by_workers(counts.sparkSession)
-    level = F.floor(F.log2(F.col(count).cast("double"))).cast("int")
+    level = F.least(F.floor(F.log2(F.col(count).cast("double"))), F.lit(15)).cast("int")
     sizes = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
     least, held = 64, 0
     for k in sorted(sizes, reverse=True):
-        if held + sizes[k] > LEVEL_CELLS // 4:
+        if held + sizes[k] > LEVEL_CELLS // 2:
             break
         least, held = k, held + sizes[k]
-    cells = max(PAGE, min(LEVEL_CELLS, 1 << (4 * held).bit_length()))
+    cells = max(PAGE, min(LEVEL_CELLS, 1 << (2 * held).bit_length()))
     rows = counts.where(level >= least).select(F.col(column).bitwiseAND(cells - 1).alias("cell"), level.alias("level"))
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = rows.repartition(n, F.floor(F.col("cell") / PAGE)).mapInArrow(_pages, "page long, cells binary").toArrow()
-    out = np.zeros(cells, np.uint8)
+    out = np.zeros(cells // 2, np.uint8)
     for page, data in zip(table["page"].to_pylist(), table["cells"].to_pylist(), strict=True):
-        out[page * PAGE : (page + 1) * PAGE] = np.frombuffer(data, np.uint8)
+        out[page * PAGE // 2 : (page + 1) * PAGE // 2] = np.frombuffer(data, np.uint8)
     return Levels(out, exact_zero=held == sum(sizes.values()))
