@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .quality import held_out
 from .words import hash64, reachable_by_workers
 
-HIDDEN, WINDOW, SAMPLE, WINDOWS, EPOCHS, TOGETHER = 8, 64, 500, 8, 6, 4096
+HIDDEN, WINDOW, SAMPLE, WINDOWS, EPOCHS, TOGETHER = 8, 64, 500, 8, 6, 2048
 _ASCII, _LETTER = re.compile(rb"[A-Za-z]"), regex.compile(r"\p{L}")
 
 
@@ -197,8 +197,8 @@ def language_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, 400):
+                batch = whole.slice(a, 400)
                 texts = batch.column(0).to_pylist()
                 names, scores = ["und"] * len(texts), [0.0] * len(texts)
                 known = [k for k, t in enumerate(texts) if has_letter(t)] if network else []

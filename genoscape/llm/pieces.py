@@ -100,6 +100,7 @@ class Vocabulary:
         self.pieces = {**dict(zip(ids, (p.replace(MARK, b" ") for p in pieces), strict=True)), **{i: bytes([b]) for b, i in enumerate(byte_ids)}}
         self.longest = max(map(len, pieces))
         self.table: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -123,7 +124,7 @@ class Vocabulary:
         for k, c in enumerate(marked):
             by_size.setdefault(max(8, 1 << (len(c) - 1).bit_length()) if c else 0, []).append(k)
         for width, group in by_size.items():
-            most = max(1, 4_000_000 // max(1, width))
+            most = max(1, 600_000 // max(1, width))
             for a in range(0, len(group) if width else 0, most):
                 part = group[a : a + most]
                 for k, path in zip(part, self._search([marked[k] for k in part]), strict=True):
@@ -194,24 +195,27 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         cut = [chunks_of(t) for t in texts]
-        table = self.table
         out: list[list[int]] = []
         missing: dict[bytes, None] = {}
         waiting: list[list[bytes]] = []
 
         def settle() -> None:
-            if len(table) + len(missing) > TABLE_LIMIT:
-                table.clear()
-                missing.update((c, None) for chunks in waiting for c in chunks)
             new = list(missing)
-            table.update(zip(new, self.search(new), strict=True))
-            out.extend(list(chain.from_iterable(map(table.__getitem__, chunks))) for chunks in waiting)
+            self.table.update(zip(new, self.search(new), strict=True))
+            out.extend(list(chain.from_iterable(map(self.table.__getitem__, chunks))) for chunks in waiting)
             missing.clear()
             waiting.clear()
+            if len(self.table) > TABLE_LIMIT:  # two generations: what isn't used again goes with the older
+                self.old, self.table = self.table, {}
 
         for chunks in cut:
             waiting.append(chunks)
-            missing.update((c, None) for c in chunks if c not in table)
+            for c in chunks:
+                if c not in self.table:
+                    if (path := self.old.get(c)) is not None:
+                        self.table[c] = path
+                    else:
+                        missing[c] = None
             if len(missing) > TABLE_LIMIT // 4:
                 settle()
         settle()
@@ -248,8 +252,8 @@ def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         is_byte = np.zeros(max(words.pieces) + 1, np.int64)
         is_byte[words.byte_ids] = 1
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
                 texts = [t or b"" for t in batch.column(1).to_pylist()]
                 coded = words.encode(texts)
                 arrays = [np.array(c, "<i4") for c in coded]

@@ -16,23 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Entries that a worker keeps of a word table before it starts anew (about 60 MB).
-TABLE_LIMIT = 400_000
+#: Entries of one generation of a worker's word table; two are kept (about 40 MB).
+TABLE_LIMIT = 100_000
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
 
 class BoundedTable(dict):
-    """A memo of ``make`` that is emptied when full, so that its memory stays bounded."""
+    """A memo of ``make`` in two generations: a full one replaces the older, whose entries live on only if used again."""
 
     def __init__(self, make, limit: int = TABLE_LIMIT):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
