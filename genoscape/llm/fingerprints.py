@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, _powers, hash64, mix, reachable_by_workers, word_hashes
+from .words import U64, _powers, hash64, mix, reachable_by_workers, tidy, word_hashes
 
 WIDE, LEVELS, LANES = 8, 8, 16
 #: A piece ends after about one word in so many.
@@ -168,5 +168,5 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     parts = 4 * n
     found = own.agg(F.percentile_approx("doc_id", [k / parts for k in range(parts)], 20 * parts).alias("q"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     edges = np.unique(np.array([found["low"], *found["q"]] if found["q"] else [0], dtype=np.int64))
-    dealt = own.mapInArrow(_dealer(edges, len(edges), found["nulls"] > 0), "part long, ghost boolean, doc_id long, packed binary")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", F.asc_nulls_first("doc_id"), "packed").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = own.mapInArrow(tidy(_dealer(edges, len(edges), found["nulls"] > 0)), "part long, ghost boolean, doc_id long, packed binary")
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", F.asc_nulls_first("doc_id"), "packed").mapInArrow(tidy(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .repeats import repeated
 from .sketches import Levels, bloom_of, levels_of
-from .words import U64, cut, reachable_by_workers, text_hashes, window_hashes
+from .words import U64, cut, reachable_by_workers, text_hashes, tidy, window_hashes
 
 BLOCK = 512
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -267,7 +267,7 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
             sizes, sigs, heads = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["k", "doc_id", "n_shingles", "sig", "head"])
 
-    rows = cut(own.mapInArrow(prefixes, f"k long, doc_id {kind}, n_shingles long, sig binary, head array<long>"))
+    rows = cut(own.mapInArrow(tidy(prefixes), f"k long, doc_id {kind}, n_shingles long, sig binary, head array<long>"))
     classes = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("k").alias("k"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
     tokens = cut(classes.select("sig", "n", "k", F.explode("head").alias("h")))
     shared = tokens.groupBy("h").agg(F.min("sig").alias("m"), F.count("*").alias("c")).where("c > 1")
@@ -290,7 +290,7 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
                 out = [in_order(shingles(t, n), held) for t in batch.column(1).take(pa.array(at)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array([x.tobytes() for x, _ in out], pa.binary()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["k", "tokens", "levels"])
 
-    sets = own.select("k", "t").mapInArrow(whole, "k long, tokens binary, levels binary").groupBy("k").agg(F.first("tokens").alias("tokens"), F.first("levels").alias("levels"))
+    sets = own.select("k", "t").mapInArrow(tidy(whole), "k long, tokens binary, levels binary").groupBy("k").agg(F.first("tokens").alias("tokens"), F.first("levels").alias("levels"))
     sets = cut(sets.join(members, "k").select("sig", "cluster", "block", "tokens", "levels"))
     blocks = members.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
@@ -298,7 +298,7 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
         """Links found in pairs (cluster, i, j) of blocks; held: sets with labels."""
         sides = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         sent = held.join(sides, ["cluster", "block"]).select("cluster", "i", "j", "sig", "tokens", "levels", "label")
-        return cut(sent.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_join_blocks(num, den), "a binary, b binary"))
+        return cut(sent.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy(_join_blocks(num, den)), "a binary, b binary"))
 
     own_pairs = blocks.select("cluster", F.col("block").alias("i"), F.col("block").alias("j"))
     next_pairs = blocks.where("block > 0").select("cluster", (F.col("block") - 1).alias("i"), F.col("block").alias("j"))

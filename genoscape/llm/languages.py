@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .words import hash64, reachable_by_workers
+from .words import hash64, reachable_by_workers, tidy
 
 HIDDEN, WINDOW, SAMPLE, WINDOWS, EPOCHS, TOGETHER = 8, 64, 500, 8, 6, 2048
 _ASCII, _LETTER = re.compile(rb"[A-Za-z]"), regex.compile(r"\p{L}")
@@ -213,4 +213,4 @@ def language_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     front = [F.col(c) for c in carry] if carry is not None else [F.col(doc_id).alias("doc_id"), held_out(doc_id, 3, 1).alias("held_out")]
     shown = docs.select(F.col(text).cast("binary").alias("__bytes"), *front)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[1:])
-    return shown.mapInArrow(label, f"{schema}, lang_pred string, score double")
+    return shown.mapInArrow(tidy(label), f"{schema}, lang_pred string, score double")

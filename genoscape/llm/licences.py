@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import reachable_by_workers
+from .words import reachable_by_workers, tidy
 
 MIN_MATCH, MAX_GAP, MIN_SHARE = 4, 12, 0.5
 
@@ -207,4 +207,4 @@ def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Counts, positions, labels, score and the covered template spans of every document; no shuffle."""
     reachable_by_workers(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(_scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {_SPANS}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(_scan), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {_SPANS}")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .words import cut, hash64, reachable_by_workers
+from .words import cut, hash64, reachable_by_workers, tidy
 
 CURVES, DIMS, BITS, BLOCK, REACH, SAMPLE, SEED = 8, 4, 11, 4096, 0.13, 20_000, 5
 MOST_BLOCKS = SAMPLE // 32
@@ -186,8 +186,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     curves = Curves(np.array([r["v"] for r in sample], float), [r["rep"] for r in sample], float(np.sqrt(sizes["square"])), blocks)
     reach = int(np.ceil(REACH * blocks)) if blocks > 1 else 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = reps.select("rep", "v", "asks").mapInArrow(_place(curves, reach, blocks), "curve int, block int, query boolean, rep long, vector binary")
-    found = placed.repartition(parts, "curve", "block").sortWithinPartitions("curve", "block", "query").mapInArrow(_score(k + 1), "query_rep long, rep long, score double")
+    placed = reps.select("rep", "v", "asks").mapInArrow(tidy(_place(curves, reach, blocks)), "curve int, block int, query boolean, rep long, vector binary")
+    found = placed.repartition(parts, "curve", "block").sortWithinPartitions("curve", "block", "query").mapInArrow(tidy(_score(k + 1)), "query_rep long, rep long, score double")
     merged = found.groupBy("query_rep", "rep").agg(F.max("score").alias("score"))
     first = merged.withColumn("r", F.row_number().over(W.partitionBy("query_rep").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
     named = first.join(reps.select("rep", "members"), "rep").select("query_rep", "score", F.explode("members").alias("vec_id"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import TABLE_LIMIT, reachable_by_workers
+from .words import TABLE_LIMIT, reachable_by_workers, tidy
 
 MARK = "▁".encode()
 #: Below the worst piece by so much is a character that falls back to its bytes.
@@ -98,6 +98,7 @@ class Vocabulary:
         self.ids, self.byte_ids = np.array(ids, np.int32), np.array(byte_ids, np.int32)
         self.worst = float(self.scores.min()) - FALLBACK_PENALTY
         self.pieces = {**dict(zip(ids, (p.replace(MARK, b" ") for p in pieces), strict=True)), **{i: bytes([b]) for b, i in enumerate(byte_ids)}}
+        self.numbers = list(range(int(max(self.ids.max(), self.byte_ids.max())) + 1))  # one object for each id, shared by all paths
         self.longest = max(map(len, pieces))
         self.table: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
@@ -171,7 +172,7 @@ class Vocabulary:
             while at:
                 n, p = int(came[at, k]), int(piece[at, k])
                 raw = chunks[k][at - n : at]
-                path.append((int(self.ids[p]),) if p >= 0 else tuple(int(self.byte_ids[b]) for b in (MARK if raw == b"\xff" * 3 else raw)))
+                path.append((self.numbers[self.ids[p]],) if p >= 0 else tuple(self.numbers[self.byte_ids[b]] for b in (MARK if raw == b"\xff" * 3 else raw)))
                 at -= n
         return [tuple(chain.from_iterable(reversed(p))) for p in paths]
 
@@ -264,7 +265,7 @@ def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *["pieces"] * keep, "n_pieces", "n_fallback", "pieces_sha256", "round_trip"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(encode, f"doc_id {kind}, {'pieces array<int>, ' * keep}n_pieces long, n_fallback long, pieces_sha256 string, round_trip boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(encode), f"doc_id {kind}, {'pieces array<int>, ' * keep}n_pieces long, n_fallback long, pieces_sha256 string, round_trip boolean")
 
 
 def decode_pieces(coded: DataFrame, path: str, doc_id: str = "doc_id", pieces: str = "pieces") -> DataFrame:
@@ -278,4 +279,4 @@ def decode_pieces(coded: DataFrame, path: str, doc_id: str = "doc_id", pieces: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = coded.schema[doc_id].dataType.simpleString()
-    return coded.select(F.col(doc_id).alias("doc_id"), F.col(pieces).cast("array<int>").alias("pieces")).mapInArrow(decode, f"doc_id {kind}, text string")
+    return coded.select(F.col(doc_id).alias("doc_id"), F.col(pieces).cast("array<int>").alias("pieces")).mapInArrow(tidy(decode), f"doc_id {kind}, text string")

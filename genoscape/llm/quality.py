@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, BoundedTable, hash64, mix, reachable_by_workers, word_hashes
+from .words import U64, BoundedTable, hash64, mix, reachable_by_workers, tidy, word_hashes
 
 BUCKETS, SAMPLE, EPOCHS = 1 << 20, 6000, 3
 _SALT = [U64(0xA24BAED4963EE407 * k % (1 << 64)) for k in range(1, 6)]
@@ -121,4 +121,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, d
             found = [score_of(w, t or b"") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return own.mapInArrow(score, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return own.mapInArrow(tidy(score), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import U64, reachable_by_workers
+from .words import U64, reachable_by_workers, tidy
 
 #: Hashes in a run: a task holds a few times as many.
-RUN = 1 << 21
+RUN = 1 << 20
 _SENT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary())])
 
 
@@ -93,5 +93,5 @@ def repeated(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.
         if hashes:
             yield done()
 
-    sent = rows.mapInArrow(send, "bucket int, n int, width int, gaps binary, counts binary")
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long, c long")
+    sent = rows.mapInArrow(tidy(send), "bucket int, n int, width int, gaps binary, counts binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(count), "h long, c long")

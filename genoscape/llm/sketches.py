@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, reachable_by_workers
+from .words import U64, reachable_by_workers, tidy
 
 BLOOM_BITS, BLOOM_PER_KEY, BLOOM_HASHES = 1 << 27, 16, 4
 LEVEL_CELLS, PAGE = 1 << 26, 1 << 15
@@ -86,7 +86,7 @@ def levels_of(counts: DataFrame, column: str = "h", count: str = "c") -> Levels:
     cells = max(PAGE, min(LEVEL_CELLS, 1 << (2 * held).bit_length()))
     rows = counts.where(level >= least).select(F.col(column).bitwiseAND(cells - 1).alias("cell"), level.alias("level"))
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = rows.repartition(n, F.floor(F.col("cell") / PAGE)).mapInArrow(_pages, "page long, cells binary").toArrow()
+    table = rows.repartition(n, F.floor(F.col("cell") / PAGE)).mapInArrow(tidy(_pages), "page long, cells binary").toArrow()
     out = np.zeros(cells // 2, np.uint8)
     for page, data in zip(table["page"].to_pylist(), table["cells"].to_pylist(), strict=True):
         out[page * PAGE // 2 : (page + 1) * PAGE // 2] = np.frombuffer(data, np.uint8)

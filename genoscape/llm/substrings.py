@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .repeats import repeated
 from .sketches import bloom_of
-from .words import cut, reachable_by_workers, text_hashes, window_hashes
+from .words import cut, reachable_by_workers, text_hashes, tidy, window_hashes
 
 WIDTH = 35
 #: Perfect difference sets by period.
@@ -115,7 +115,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
                         rows.append((found.view(np.int64), np.full(len(starts), k, np.int64), starts.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["w", "k", "start"])
 
-        places = keyed.mapInArrow(placed, "w long, k long, start int")
+        places = keyed.mapInArrow(tidy(placed), "w long, k long, start int")
         again = repeated(keyed.select("t"), hashed).select(F.col("h").alias("w"))
     else:
         places = _extended_by_join(keyed, twice, width)
@@ -147,10 +147,10 @@ def _extended_by_join(keyed: DataFrame, twice: DataFrame, width: int) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["w", "k", "start"])
 
-    places = keyed.mapInArrow(placed, "h long, k long, at int")
+    places = keyed.mapInArrow(tidy(placed), "h long, k long, at int")
     hits = places.join(twice, "h", "left_semi").groupBy("k").agg(F.collect_set("at").alias("at"))
-    packed = keyed.mapInArrow(_packed, "k long, packed binary")
-    return packed.join(hits, "k").select("k", "packed", "at").mapInArrow(extended, "w long, k long, start int")
+    packed = keyed.mapInArrow(tidy(_packed), "k long, packed binary")
+    return packed.join(hits, "k").select("k", "packed", "at").mapInArrow(tidy(extended), "w long, k long, start int")
 
 
 def _packed(batches):
@@ -173,7 +173,7 @@ def _joined(docs: DataFrame, width: int, doc_id: str, text: str, carry: list[str
     """k, packed text, carried columns and starts: texts are shuffled once, compressed."""
     shown = _keyed(docs, doc_id, text, *[F.col(c) for c in carry])
     schema = ", ".join(["k long", "packed binary", *[f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[2:]]])
-    return shown.mapInArrow(_packed, schema).join(repeated_starts(docs, width, doc_id, text), "k", "left").drop("k")
+    return shown.mapInArrow(tidy(_packed), schema).join(repeated_starts(docs, width, doc_id, text), "k", "left").drop("k")
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,7 +193,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [batch.column(1).type, _LONG, _LONG, pa.string()], strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return joined.mapInArrow(removed, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(removed), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -214,7 +214,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(texts, pa.string())], names=[*carry, text])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry], f"`{text}` string"])
-    out = joined.mapInArrow(cleaned, schema)
+    out = joined.mapInArrow(tidy(cleaned), schema)
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return out.select(*docs.columns)

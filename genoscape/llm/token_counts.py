@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import BoundedTable, reachable_by_workers
+from .words import BoundedTable, reachable_by_workers, tidy
 
 #: Words that Python's and the library's tables treat alike: printable ASCII and Latin letters, without the dotted capital I.
 _LATIN = re.compile(r"[\x21-\x7E\u00A1-\u012F\u0131-\u024F]+")
@@ -110,4 +110,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "d
             n = [table.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(count, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(count), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

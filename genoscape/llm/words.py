@@ -7,17 +7,20 @@ rerun agrees on them.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from hashlib import blake2b
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Entries of one generation of a worker's word table; two are kept (about 40 MB).
-TABLE_LIMIT = 100_000
+#: Entries of one generation of a worker's word table; two are kept (about 30 MB).
+TABLE_LIMIT = 80_000
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -109,6 +112,20 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         return mix((sums[width:] - sums[: n - width + 1]) * down[: n - width + 1] + U64(width))
 
 
+def tidy(work):
+    """The work on a task's batches; when it ends, freed memory goes back to the system, which the JVM beside the worker needs."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def reachable_by_workers(spark: SparkSession) -> None:
     """Lets Python workers that share this file system import the package."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
