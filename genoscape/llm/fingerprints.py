@@ -14,7 +14,7 @@ addition or subtraction (``combine``). A fingerprint holds
 
 Defined results: a null text counts as empty; the empty text has no pieces, and two empty
 texts have likeness 1. Rows that repeat are kept. Null ids come before all others, equal
-ids are taken in order of their text. A lone document is its own next document. Columns
+ids are taken in a fixed order (that of their compressed texts). A lone document is its own next document. Columns
 other than the id and the text are not read. An empty table gives an empty result.
 """
 

@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, d
         level += 1
     last = F.pmod(F.xxhash64(F.lit(SEED - 1), "key", "salt"), F.lit(1 << 52)) / float(1 << 52) < F.col("p")
     decided = decided.unionByName(left.select(*[c for c in fields if c != "p"], last.cast("double").alias("p")))
-    copies = F.col("base") + F.col("p").cast("int")
+    copies = F.when(F.col("size") > 0, F.col("base") + F.col("p").cast("int")).otherwise(0)
     return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "key")
 
 

@@ -170,15 +170,15 @@ def covered_words(n: int, starts: list[int] | None, width: int) -> np.ndarray:
 
 
 def _joined(docs: DataFrame, width: int, doc_id: str, text: str, carry: list[str]) -> DataFrame:
-    """k, packed text, carried columns and starts: texts are shuffled once, compressed."""
-    shown = _keyed(docs, doc_id, text, *[F.col(c) for c in carry])
+    """packed text, carried columns (as __0, __1, ..., whatever they are called) and starts: texts are shuffled once, compressed."""
+    shown = _keyed(docs, doc_id, text, F.col(text).isNull().alias("__null"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(carry)])
     schema = ", ".join(["k long", "packed binary", *[f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[2:]]])
     return shown.mapInArrow(tidy(_packed), schema).join(repeated_starts(docs, width, doc_id, text), "k", "left").drop("k")
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of every document."""
-    joined = _joined(docs.withColumn("__id", F.col(doc_id)), width, doc_id, text, ["__id"])
+    joined = _joined(docs, width, doc_id, text, [doc_id]).select("packed", "__0", "starts")
 
     def removed(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -199,7 +199,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
 def deduplicated(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The documents with the covered words taken out of their texts; texts without any stay byte for byte, null stays null."""
     carry = [c for c in docs.columns if c != text]
-    joined = _joined(docs.withColumn("__null", F.col(text).isNull()), width, doc_id, text, [*carry, "__null"])
+    joined = _joined(docs, width, doc_id, text, carry)
 
     def cleaned(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -211,7 +211,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", te
                     words = raw.split()
                     raw = b" ".join(w for w, g in zip(words, covered_words(len(words), starts, width).tolist(), strict=True) if not g)
                 texts.append(None if null else raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(texts, pa.string())], names=[*carry, text])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"__{i}") for i in range(len(carry))), pa.array(texts, pa.string())], names=[*carry, text])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry], f"`{text}` string"])
     out = joined.mapInArrow(tidy(cleaned), schema)
