@@ -26,8 +26,8 @@ LEAST_SHARE = 0.4
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters (null and empty ones too) or without a language that stands out."""
-    named = language_ids(docs, carry=docs.columns)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    held = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
+    return language_ids(held, carry=["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows that are equal in id and text are one document; of these, one row stays."""
     found = near_classes(docs, n=5, num=80, den=100)
-    stay = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k", "component_id").distinct()
+    stay = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("k").alias("__k")).distinct()
     own = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
-    kept = own.join(stay.withColumnRenamed("k", "__k"), "__k")
+    kept = own.join(stay, "__k")
     first = [F.min_by(F.struct(*docs.columns), F.lit(0)).alias("row")]
     return kept.groupBy("__k").agg(*first).select("row.*")
 
