@@ -107,16 +107,8 @@ OOD_ENVIRONMENTS = Operator.of(
 # --- splits ------------------------------------------------------------------------------
 
 CV0 = Operator.of(f"SELECT row_id, genotype_id, environment_id, cast(BUCKET('{SEED}|row|' || cast(row_id AS string), 5) AS string) AS fold FROM phenotypes", phenotypes=PHENOTYPES)
-CV_G = Operator.of(f"SELECT row_id, genotype_id, environment_id, trait_1, cast(BUCKET('{SEED}|' || genotype_id, 5) AS string) AS fold FROM phenotypes", phenotypes=PHENOTYPES)
+CV_G = Operator.of(f"SELECT row_id, genotype_id, environment_id, trait_1, cast(BUCKET('{SEED}|genotype|' || genotype_id, 5) AS string) AS fold FROM phenotypes", phenotypes=PHENOTYPES)
 CV_E = Operator.of("SELECT row_id, genotype_id, environment_id, environment_id AS fold FROM phenotypes", phenotypes=PHENOTYPES)
-CV_GE = Operator.of(
-    f"""SELECT row_id, genotype_id, environment_id, cast(fold AS string) AS fold, CASE WHEN g = fold AND e = fold THEN 'validation' WHEN g <> fold AND e <> fold THEN 'train' ELSE 'purge' END AS role
-    FROM (SELECT row_id, genotype_id, environment_id, BUCKET('{SEED}|' || genotype_id, 5) AS g, BUCKET('{SEED}|' || environment_id, 5) AS e FROM phenotypes) AS h
-    CROSS JOIN (SELECT SERIES(0, 4) AS fold) AS folds""", phenotypes=PHENOTYPES)
-SPLIT_SUMMARY = Operator.of("SELECT fold, role, count(*) AS n_rows, count(DISTINCT genotype_id) AS n_genotypes, count(DISTINCT environment_id) AS n_environments FROM cv_ge GROUP BY fold, role", cv_ge=CV_GE)
-LEAKS = Operator.of(
-    """SELECT v.fold, count(*) AS n_shared FROM (SELECT DISTINCT fold, genotype_id FROM cv_ge WHERE role = 'validation') AS v
-    JOIN (SELECT DISTINCT fold, genotype_id FROM cv_ge WHERE role = 'train') AS t ON v.fold = t.fold AND v.genotype_id = t.genotype_id GROUP BY v.fold""", cv_ge=CV_GE)
 ELIGIBLE_FOLDS = Operator.of("SELECT fold, count(*) AS n, count(trait_1) AS n_observed FROM cv_g GROUP BY fold HAVING count(*) >= 100 AND count(trait_1) >= 100", cv_g=CV_G)
 
 # --- baselines and metrics ---------------------------------------------------------------
@@ -170,7 +162,7 @@ ABSENT_REQUESTS = Operator.of(
 
 _REPORTED = (
     "TRAIT_SUMMARY TRAIT_BY_ENVIRONMENT DUPLICATE_PLOTS COVERAGE WEATHER_AUDIT HISTOGRAM LINKAGE NORMALIZED_IDS SERIES MARKER_STATS SAMPLE_MISSING WORST_SAMPLES MARKER_QC MARKER_QC_B "
-    "MARKER_THINNED DUPLICATE_SAMPLES CENTERED GENOTYPE_FINGERPRINT WEATHER_BASIC WEATHER_DYNAMIC FEATURE_REPORT RBF_KERNEL NEAREST_ENVIRONMENT GATE OOD_ENVIRONMENTS CV0 CV_G CV_E CV_GE "
-    "SPLIT_SUMMARY LEAKS ELIGIBLE_FOLDS OOF FOLD_REPORT LEADERBOARD BLEND_SEARCH ENVIRONMENT_SCALE SCORED ABSENT_REQUESTS"
+    "MARKER_THINNED DUPLICATE_SAMPLES CENTERED GENOTYPE_FINGERPRINT WEATHER_BASIC WEATHER_DYNAMIC FEATURE_REPORT RBF_KERNEL NEAREST_ENVIRONMENT GATE OOD_ENVIRONMENTS CV0 CV_G CV_E "
+    "ELIGIBLE_FOLDS OOF FOLD_REPORT LEADERBOARD BLEND_SEARCH ENVIRONMENT_SCALE SCORED ABSENT_REQUESTS"
 )
 OPERATORS: dict[str, Operator] = {name.lower(): globals()[name] for name in _REPORTED.split()}

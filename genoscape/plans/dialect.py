@@ -22,6 +22,8 @@ MACROS = {
     "JOINED": ("array_join(array_sort(collect_list({0})), {1})", "array_to_string(list_sort(list({0})), {1})"),
     "MATCHES": ("regexp_like({0}, {1})", "regexp_matches({0}, {1})"),
     "REPLACED": ("regexp_replace({0}, {1}, '$2_$1')", "regexp_replace({0}, {1}, '\\2_\\1')"),
+    "ELEMENT": ("element_at({0}, cast({1} AS integer))", "list_extract({0}, {1})"),
+    "HALF_EVEN": ("bround({0})", "round_even({0}, 0)"),
     "SERIES": ("explode(sequence({0}, {1}))", "unnest(generate_series({0}, {1}))"),
 }
 _CALL = re.compile(r"\b(" + "|".join(MACROS) + r")\(")
@@ -78,4 +80,14 @@ class Operator:
 
         add(self)
         head = ", ".join(f"{name} AS ({text})" for name, text in parts.items())
-        return (f"WITH {head} " if head else "") + f"SELECT * FROM ({written(self.text, 1)}) AS result"
+        return (f"WITH {head} " if head else "") + f"SELECT * FROM ({written(self.sql_text(), 1)}) AS result"
+
+
+@dataclass(frozen=True)
+class Twofold(Operator):
+    """An operator whose text for the second engine is another one."""
+
+    other: str = ""
+
+    def sql_text(self) -> str:
+        return self.other

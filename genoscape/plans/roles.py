@@ -34,7 +34,7 @@ class _Markers(Operator):
 
     def run(self, spark, sf_dir):
         held = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-        return spark.sql(self.text.replace("UNNESTED", "SELECT vec_id, pos AS marker_pos, cast(x AS double) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) AS pos, x WHERE vec_id < 500"), embeddings=held)
+        return spark.sql(self.text.replace("UNNESTED", "SELECT vec_id, pos AS marker_pos, cast(x AS double) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) AS pos, x"), embeddings=held)
 
 
 _DOSAGE = """SELECT 'G' || cast(vec_id AS string) AS genotype_id, cast(marker_pos AS integer) AS marker_pos, x,
@@ -46,7 +46,7 @@ class _Dosage(_Markers):
         super().__init__(_DOSAGE)
 
     def sql_text(self):
-        return _DOSAGE.replace("UNNESTED", "SELECT vec_id, i - 1 AS marker_pos, cast(embedding[i] AS double) AS x FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE vec_id < 500) AS e")
+        return _DOSAGE.replace("UNNESTED", "SELECT vec_id, i - 1 AS marker_pos, cast(embedding[i] AS double) AS x FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) AS e")
 
 
 DOSAGE = _Dosage()

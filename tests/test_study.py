@@ -4,10 +4,11 @@ import math
 import duckdb
 import pytest
 
-from genoscape.operators import study
+from genoscape.operators import protocols, study
 from genoscape.plans.dialect import written
 
 SF = "/root/testdata/sf0.001"
+OPERATORS = study.OPERATORS | protocols.OPERATORS
 TABLES = "lineitem events embeddings".split()
 
 
@@ -17,12 +18,12 @@ def near(v):
     return "nan" if math.isnan(float(v)) else f"{float(v):.3f}"
 
 
-@pytest.mark.parametrize("name", sorted(study.OPERATORS))
+@pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_both_engines_agree(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    op = study.OPERATORS[name]
+    op = OPERATORS[name]
     mine = op.run(spark, SF)
     other = db.sql(op.sql())
     order = sorted(mine.columns)
