@@ -63,8 +63,14 @@ class Operator:
         return spark.sql(marked, **frames)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        held = {name: spark.read.parquet(f"{sf_dir}/{x}.parquet") if isinstance(x, str) else x.run(spark, sf_dir) for name, x in self.inputs}
-        return self.on(spark, **held)
+        return self.built(spark, sf_dir, {})
+
+    def built(self, spark: SparkSession, sf_dir: str, made: dict[int, DataFrame]) -> DataFrame:
+        """Every operator below is analysed once, however many others read it."""
+        if id(self) not in made:
+            held = {name: spark.read.parquet(f"{sf_dir}/{x}.parquet") if isinstance(x, str) else x.built(spark, sf_dir, made) for name, x in self.inputs}
+            made[id(self)] = self.on(spark, **held)
+        return made[id(self)]
 
     def sql_text(self) -> str:
         return self.text

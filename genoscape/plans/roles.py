@@ -32,7 +32,7 @@ LONG_SERIES = Operator.of(
 class _Markers(Operator):
     """Marker by genotype in long form; the two engines unnest arrays with their positions in different ways."""
 
-    def run(self, spark, sf_dir):
+    def built(self, spark, sf_dir, made):
         held = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         return spark.sql(self.text.replace("UNNESTED", "SELECT vec_id, pos AS marker_pos, cast(x AS double) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) AS pos, x"), embeddings=held)
 
