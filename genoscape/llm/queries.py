@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .fingerprints import fingerprints
 from .jaccard import near_classes
 from .languages import language_ids
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_jaccard": oracles.JACCARD, "op8_substrings": oracles.SUBSTRINGS}
