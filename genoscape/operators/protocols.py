@@ -6,7 +6,8 @@ and rows meet their cell again only where a row is reported."""
 
 from __future__ import annotations
 
-from ..plans.dialect import Operator, Twofold
+from ..plans import ranks
+from ..plans.dialect import Operator, Twofold, Written
 from ..plans.roles import DOSAGE, ID_MAP, PHENOTYPES
 from .study import _SUMMARY, CENTERED, FEATURES, GATE, MARKER_QC_B, OOD_ENVIRONMENTS, SEED, STANDARDIZED, _corr
 
@@ -174,9 +175,15 @@ OOF_PROTOCOLS = Operator.of(
     """SELECT c.protocol, c.fold, p.row_id, p.genotype_id, p.environment_id, p.trait_1 AS y, c.global_mean, c.environment_mean, c.genotype_mean, c.additive_mean
     FROM (SELECT * FROM phenotypes WHERE trait_1 IS NOT NULL) AS p JOIN cell_predictions AS c ON p.genotype_id = c.genotype_id AND p.environment_id = c.environment_id""",
     phenotypes=PHENOTYPES, cell_predictions=CELL_PREDICTIONS)
-MODEL_ROWS = Operator.of(
-    """SELECT protocol, fold, environment_id, y, CASE i WHEN 1 THEN 'global_mean' WHEN 2 THEN 'environment_mean' WHEN 3 THEN 'genotype_mean' ELSE 'additive_mean' END AS model,
-    CASE i WHEN 1 THEN global_mean WHEN 2 THEN environment_mean WHEN 3 THEN genotype_mean ELSE additive_mean END AS yhat FROM (SELECT *, SERIES(1, 4) AS i FROM oof_protocols) AS o""", oof_protocols=OOF_PROTOCOLS)
+_EACH_MODEL = """SELECT protocol, fold, environment_id, y, {0}CASE i WHEN 1 THEN 'global_mean' WHEN 2 THEN 'environment_mean' WHEN 3 THEN 'genotype_mean' ELSE 'additive_mean' END AS model,
+    CASE i WHEN 1 THEN global_mean WHEN 2 THEN environment_mean WHEN 3 THEN genotype_mean ELSE additive_mean END AS yhat FROM (SELECT *, SERIES(1, 4) AS i FROM {1}) AS o"""
+#: Observations that are equal in cell and value are counted (m) before protocols and models multiply them.
+OBSERVED = Operator.of(
+    "SELECT genotype_id, environment_id, trait_1 AS y, count(*) AS m FROM phenotypes WHERE trait_1 IS NOT NULL GROUP BY genotype_id, environment_id, trait_1", phenotypes=PHENOTYPES)
+MODEL_ROWS = Written(
+    "SELECT protocol, model, fold, environment_id, y, yhat, sum(m) AS m FROM (" + _EACH_MODEL.format("m, ", """(SELECT c.protocol, c.fold, p.environment_id, p.y, p.m, c.global_mean, c.environment_mean, c.genotype_mean, c.additive_mean
+    FROM observed AS p JOIN cell_predictions AS c ON p.genotype_id = c.genotype_id AND p.environment_id = c.environment_id) AS x""") + ") AS r GROUP BY protocol, model, fold, environment_id, y, yhat",
+    (("observed", OBSERVED), ("cell_predictions", CELL_PREDICTIONS), ("oof_protocols", OOF_PROTOCOLS)), _EACH_MODEL.format("", "oof_protocols"))
 
 
 def _graded(keys: str, rows: str) -> str:
@@ -190,9 +197,14 @@ def _shown(keys: str) -> str:
     return f"SELECT {keys}, n, round(pearson, 5) AS pearson, round(spearman, 5) AS spearman, round((pearson + spearman) / 2, 5) AS score, round(mse, 4) AS mse, round(sqrt(mse), 5) AS rmse, round(mae, 5) AS mae, defined FROM graded"
 
 
-BY_FOLD = Operator.of(_graded("protocol, model, fold", "model_rows"), model_rows=MODEL_ROWS)
-BY_ENVIRONMENT = Operator.of(_graded("protocol, model, environment_id", "model_rows"), model_rows=MODEL_ROWS)
-POOLED = Operator.of(_graded("protocol, model", "model_rows"), model_rows=MODEL_ROWS)
+def _graded_on(keys: str, name: str, rows: Operator, weight: str = "count(*)") -> Operator:
+    """The first engine ranks counted ties in ranges of values; the second follows the definition."""
+    return Twofold(ranks.graded(keys, name, weight), ((name, rows),), _graded(keys, name))
+
+
+BY_FOLD = _graded_on("protocol, model, fold", "model_rows", MODEL_ROWS, "sum(m)")
+BY_ENVIRONMENT = _graded_on("protocol, model, environment_id", "model_rows", MODEL_ROWS, "sum(m)")
+POOLED = _graded_on("protocol, model", "model_rows", MODEL_ROWS, "sum(m)")
 METRICS_BY_FOLD = Operator.of(_shown("protocol, model, fold"), graded=BY_FOLD)
 METRICS_BY_ENVIRONMENT = Operator.of(_shown("protocol, model, environment_id"), graded=BY_ENVIRONMENT)
 METRICS_BY_PROTOCOL = Operator.of(_shown("protocol, model"), graded=POOLED)
@@ -220,8 +232,8 @@ NESTED_SELECT = Operator.of(
 EQUAL_ENSEMBLE = Operator.of("SELECT protocol, fold, row_id, genotype_id, environment_id, y, round((environment_mean + genotype_mean) / 2, 7) AS prediction FROM oof_protocols", oof_protocols=OOF_PROTOCOLS)
 _GRID = """SELECT c.genotype_id, h.held, w.w, c.s / c.n AS y, w.w * c.genotype_mean + (1 - w.w) * c.environment_mean AS yhat FROM (SELECT * FROM cell_predictions WHERE protocol = 'cv_g' AND n > 0) AS c
     JOIN (SELECT DISTINCT fold AS held FROM cell_predictions WHERE protocol = 'cv_g') AS h ON c.fold <> h.held CROSS JOIN (SELECT cast(k AS double) / 20 AS w FROM (SELECT SERIES(0, 20) AS k) AS s) AS w"""
-GRID_ROWS = Operator.of(_GRID, cell_predictions=CELL_PREDICTIONS)
-GRID_SCORES = Operator.of(_graded("held, w", "grid_rows"), grid_rows=GRID_ROWS)
+GRID_ROWS = Written(_GRID, (("cell_predictions", CELL_PREDICTIONS),), _GRID)
+GRID_SCORES = _graded_on("held, w", "grid_rows", GRID_ROWS)
 #: Weight of a two-model blend for a fold, chosen on the cells of the others; the first best of 21.
 CROSSFIT_WEIGHT = Operator.of(
     """SELECT held AS fold, w, score FROM (SELECT held, w, score, row_number() OVER (PARTITION BY held ORDER BY score DESC, w) AS place

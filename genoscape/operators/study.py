@@ -1,6 +1,7 @@
 """Audit, weather, splits, baselines, metrics, gating and scoring as composable operators."""
 
-from ..plans.dialect import Operator
+from ..plans import ranks
+from ..plans.dialect import Operator, Twofold, Written
 from ..plans.roles import DOSAGE, LONG_SERIES, PHENOTYPES, SERIES
 
 SEED = 20260922
@@ -123,11 +124,12 @@ OOF = Operator.of(
     JOIN (SELECT environment_id, sum(trait_1) AS s, count(trait_1) AS n FROM cv_g GROUP BY environment_id) AS e ON p.environment_id = e.environment_id
     LEFT JOIN (SELECT environment_id, fold, sum(trait_1) AS s, count(trait_1) AS n FROM cv_g GROUP BY environment_id, fold) AS ef ON p.environment_id = ef.environment_id AND p.fold = ef.fold""",
     cv_g=CV_G)
-OOF_LONG = Operator.of("SELECT fold, row_id, environment_id, 'global_mean' AS model, y, global_mean AS yhat FROM oof UNION ALL SELECT fold, row_id, environment_id, 'environment_mean' AS model, y, environment_mean AS yhat FROM oof", oof=OOF)
+_OOF_LONG = "SELECT fold, row_id, environment_id, 'global_mean' AS model, y, global_mean AS yhat FROM oof UNION ALL SELECT fold, row_id, environment_id, 'environment_mean' AS model, y, environment_mean AS yhat FROM oof"
+OOF_LONG = Written(_OOF_LONG, (("oof", OOF),), _OOF_LONG)
 #: Average ranks for ties: rank plus half of the other ties.
-RANKED = Operator.of(
+RANKED = Twofold(ranks.ranked("model, fold", "environment_id", "oof_long"), (("oof_long", OOF_LONG),),
     """SELECT model, fold, environment_id, y, yhat, rank() OVER (PARTITION BY model, fold ORDER BY y) + (count(*) OVER (PARTITION BY model, fold, y) - 1) / 2.0 AS ry,
-    rank() OVER (PARTITION BY model, fold ORDER BY yhat) + (count(*) OVER (PARTITION BY model, fold, yhat) - 1) / 2.0 AS rp FROM oof_long""", oof_long=OOF_LONG)
+    rank() OVER (PARTITION BY model, fold ORDER BY yhat) + (count(*) OVER (PARTITION BY model, fold, yhat) - 1) / 2.0 AS rp FROM oof_long""")
 
 
 def _corr(a: str, b: str) -> str:

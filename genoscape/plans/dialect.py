@@ -8,6 +8,7 @@ names differ are written as macros."""
 from __future__ import annotations
 
 import re
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,3 +98,21 @@ class Twofold(Operator):
 
     def sql_text(self) -> str:
         return self.other
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Written once to the folder of spark.checkpoint.dir (one of its own only where that is unset), so that readers neither plan nor compute it again."""
+    spark = frame.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="genoscape-"))
+    return frame.checkpoint(eager=True)
+
+
+@dataclass(frozen=True)
+class Written(Twofold):
+    """Its rows are read many times over, so they are written before."""
+
+    def built(self, spark: SparkSession, sf_dir: str, made: dict[int, DataFrame]) -> DataFrame:
+        if id(self) not in made:
+            made[id(self)] = cut(super().built(spark, sf_dir, made))
+        return made[id(self)]

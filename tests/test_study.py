@@ -1,11 +1,13 @@
 import hashlib
 import math
+import random
 
 import duckdb
 import pytest
 
 from genoscape.operators import protocols, study
-from genoscape.plans.dialect import written
+from genoscape.plans import ranks
+from genoscape.plans.dialect import Operator, written
 
 SF = "/root/testdata/sf0.001"
 OPERATORS = study.OPERATORS | protocols.OPERATORS
@@ -48,3 +50,20 @@ def test_constant_prediction_scores_zero(spark):
     ranked = study.RANKED.on(spark, oof_long=rows)
     row = study.FOLD_METRICS.on(spark, ranked=ranked).first()
     assert (row.pearson, row.spearman) == (0.0, 0.0)
+
+
+def test_ranks_by_ranges_are_exact(spark, monkeypatch):
+    """Many ranges, far outliers and a value that a third of the rows share."""
+    monkeypatch.setattr(ranks, "PER_BIN", 3)
+    draw = random.Random(5)
+    rows = [("m", str(k % 2), "E", draw.choice([0.0, draw.gauss(0, 1), draw.gauss(0, 1e9)]), float(draw.randint(0, 40))) for k in range(1500)] + [(None, "0", "E", 1.0, 2.0)]
+    frame = spark.createDataFrame(rows, "model string, fold string, environment_id string, y double, yhat double")
+    got = Operator.of(ranks.ranked("model, fold", "environment_id", "rows_in"), rows_in=frame).on(spark, rows_in=frame).toPandas()
+    assert len(got) == len(rows)
+    groups = got.fillna({"model": "-"}).groupby(["model", "fold"])
+    assert (groups["y"].rank() == got["ry"]).all() and (groups["yhat"].rank() == got["rp"]).all()
+    graded = Operator.of(ranks.graded("model, fold", "rows_in"), rows_in=frame).on(spark, rows_in=frame).where("model = 'm'").toPandas()
+    for row in graded.itertuples():
+        mine = got[(got.model == "m") & (got.fold == row.fold)]
+        assert row.n == len(mine) and row.pearson == pytest.approx(mine.y.corr(mine.yhat)) and row.spearman == pytest.approx(mine.ry.corr(mine.rp))
+        assert row.mse == pytest.approx(((mine.y - mine.yhat) ** 2).mean()) and row.mae == pytest.approx((mine.y - mine.yhat).abs().mean())
