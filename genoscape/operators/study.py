@@ -21,6 +21,13 @@ DUPLICATE_PLOTS = Operator.of("SELECT environment_id, genotype_id, count(*) AS n
 COVERAGE = Operator.of(
     """SELECT n_environments, count(*) AS n_genotypes FROM (SELECT genotype_id, count(DISTINCT environment_id) AS n_environments
     FROM phenotypes GROUP BY genotype_id) AS g GROUP BY n_environments""", phenotypes=PHENOTYPES)
+GENOTYPE_PRESENCE = Operator.of(
+    """SELECT genotype_id, count(*) AS n_environments, JOINED(environment_id, ' ') AS environments FROM (SELECT DISTINCT genotype_id, environment_id FROM phenotypes) AS g GROUP BY genotype_id""", phenotypes=PHENOTYPES)
+#: Rows of the presence matrix: genotypes by number of environments, thinned evenly to 650 at most.
+PRESENCE = Operator.of(
+    """SELECT place, genotype_id, n_environments, environments FROM (SELECT genotype_id, n_environments, environments, row_number() OVER (ORDER BY n_environments, genotype_id) - 1 AS place FROM genotype_presence) AS g
+    JOIN (SELECT CASE WHEN i = k - 1 THEN n - 1 ELSE cast(floor(i * ((n - 1) / (k - cast(1 AS double)))) AS bigint) END AS kept
+    FROM (SELECT SERIES(0, 649) AS i) AS s CROSS JOIN (SELECT count(*) AS n, least(count(*), 650) AS k FROM genotype_presence) AS c WHERE i < k) AS t ON g.place = t.kept""", genotype_presence=GENOTYPE_PRESENCE)
 WEATHER_AUDIT = Operator.of(
     """SELECT environment_id, variable, count(*) AS n_rows, count(*) - count(value) AS n_missing, min(value) AS low, max(value) AS high,
     min_by(value, CASE WHEN value IS NOT NULL THEN obs_seq END) AS first_value, max_by(value, CASE WHEN value IS NOT NULL THEN obs_seq END) AS last_value FROM long_series GROUP BY environment_id, variable""", long_series=LONG_SERIES)
@@ -55,6 +62,13 @@ MARKER_THINNED = Operator.of(
 DUPLICATE_SAMPLES = Operator.of(
     """SELECT digest, count(*) AS n FROM (SELECT genotype_id, SHA(JOINED(lpad(cast(marker_pos AS string), 4, '0') || ':' || coalesce(cast(dosage AS string), '.'), '|')) AS digest
     FROM dosage_long GROUP BY genotype_id) AS d GROUP BY digest""", dosage_long=DOSAGE)
+#: Markers with the same codes in all genotypes share a digest.
+DUPLICATE_MARKERS = Operator.of(
+    """SELECT digest, count(*) AS n, min(marker_pos) AS first_marker, count(*) > 1 AS duplicated FROM (SELECT marker_pos, SHA(JOINED(genotype_id || ':' || coalesce(cast(dosage AS string), '.'), '|')) AS digest
+    FROM dosage_long GROUP BY marker_pos) AS d GROUP BY digest""", dosage_long=DOSAGE)
+PANEL_COUNTS = Operator.of(
+    """SELECT count(*) AS n_markers, count(CASE WHEN NOT polymorphic AND n_called > 0 THEN 1 END) AS n_monomorphic, count(CASE WHEN n_called = 0 THEN 1 END) AS n_all_missing,
+    count(CASE WHEN n_called < n THEN 1 END) AS n_with_missing, round(avg(maf), 8) AS mean_maf, round(avg(missing_rate), 8) AS mean_missing FROM marker_stats""", marker_stats=MARKER_STATS)
 CENTERED = Operator.of(
     """SELECT d.genotype_id, d.marker_pos, round(coalesce(d.dosage - 2 * q.frequency, 0.0), 8) AS x FROM dosage_long AS d
     JOIN marker_qc_b AS q ON d.marker_pos = q.marker_pos""", dosage_long=DOSAGE, marker_qc_b=MARKER_QC_B)
@@ -112,6 +126,15 @@ CV_G = Operator.of(f"SELECT row_id, genotype_id, environment_id, trait_1, cast(B
 CV_E = Operator.of("SELECT row_id, genotype_id, environment_id, environment_id AS fold FROM phenotypes", phenotypes=PHENOTYPES)
 ELIGIBLE_FOLDS = Operator.of("SELECT fold, count(*) AS n, count(trait_1) AS n_observed FROM cv_g GROUP BY fold HAVING count(*) >= 100 AND count(trait_1) >= 100", cv_g=CV_G)
 
+#: How far the validation rows of a fold are from its training rows (totals less the fold's own).
+SHIFT_REPORT = Operator.of(
+    """SELECT f.fold, f.n AS n_validation, a.n - f.n AS n_train, round(1 - cast(f.seen AS double) / f.n, 8) AS missing_validation, round(1 - cast(a.seen - f.seen AS double) / nullif(a.n - f.n, 0), 8) AS missing_train,
+    round(f.s / nullif(f.seen, 0) - (a.s - f.s) / nullif(a.seen - f.seen, 0), 6) AS mean_shift, e.n_environments, round(e.shift, 6) AS environment_shift
+    FROM (SELECT fold, count(*) AS n, count(trait_1) AS seen, sum(trait_1) AS s FROM cv_g GROUP BY fold) AS f CROSS JOIN (SELECT count(*) AS n, count(trait_1) AS seen, sum(trait_1) AS s FROM cv_g) AS a
+    JOIN (SELECT x.fold, count(*) AS n_environments, avg(abs(x.s / nullif(x.seen, 0) - (t.s - x.s) / nullif(t.seen - x.seen, 0))) AS shift
+    FROM (SELECT fold, environment_id, count(trait_1) AS seen, sum(trait_1) AS s FROM cv_g GROUP BY fold, environment_id) AS x
+    JOIN (SELECT environment_id, count(trait_1) AS seen, sum(trait_1) AS s FROM cv_g GROUP BY environment_id) AS t ON x.environment_id = t.environment_id GROUP BY x.fold) AS e ON f.fold = e.fold""", cv_g=CV_G)
+
 # --- baselines and metrics ---------------------------------------------------------------
 
 #: Out-of-fold means: those of a fold are totals less the fold's own, so no fold is scanned again for another.
@@ -164,7 +187,7 @@ ABSENT_REQUESTS = Operator.of(
 
 _REPORTED = (
     "TRAIT_SUMMARY TRAIT_BY_ENVIRONMENT DUPLICATE_PLOTS COVERAGE WEATHER_AUDIT HISTOGRAM LINKAGE NORMALIZED_IDS SERIES MARKER_STATS SAMPLE_MISSING WORST_SAMPLES MARKER_QC MARKER_QC_B "
-    "MARKER_THINNED DUPLICATE_SAMPLES CENTERED GENOTYPE_FINGERPRINT WEATHER_BASIC WEATHER_DYNAMIC FEATURE_REPORT RBF_KERNEL NEAREST_ENVIRONMENT GATE OOD_ENVIRONMENTS CV0 CV_G CV_E "
+    "MARKER_THINNED DUPLICATE_SAMPLES DUPLICATE_MARKERS PANEL_COUNTS PRESENCE SHIFT_REPORT CENTERED GENOTYPE_FINGERPRINT WEATHER_BASIC WEATHER_DYNAMIC FEATURE_REPORT RBF_KERNEL NEAREST_ENVIRONMENT GATE OOD_ENVIRONMENTS CV0 CV_G CV_E "
     "ELIGIBLE_FOLDS OOF FOLD_REPORT LEADERBOARD BLEND_SEARCH ENVIRONMENT_SCALE SCORED ABSENT_REQUESTS"
 )
 OPERATORS: dict[str, Operator] = {name.lower(): globals()[name] for name in _REPORTED.split()}

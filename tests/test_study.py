@@ -3,6 +3,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from genoscape.operators import protocols, study
@@ -67,3 +68,17 @@ def test_ranks_by_ranges_are_exact(spark, monkeypatch):
         mine = got[(got.model == "m") & (got.fold == row.fold)]
         assert row.n == len(mine) and row.pearson == pytest.approx(mine.y.corr(mine.yhat)) and row.spearman == pytest.approx(mine.ry.corr(mine.rp))
         assert row.mse == pytest.approx(((mine.y - mine.yhat) ** 2).mean()) and row.mae == pytest.approx((mine.y - mine.yhat).abs().mean())
+
+
+def test_duplicate_markers_are_found(spark):
+    codes = {0: "012.", 1: "012.", 2: "0120"}
+    rows = [(f"G{g}", m, None if c == "." else int(c)) for m, line in codes.items() for g, c in enumerate(line)]
+    found = study.DUPLICATE_MARKERS.on(spark, dosage_long=spark.createDataFrame(rows, "genotype_id string, marker_pos int, dosage int")).collect()
+    assert sorted((r.n, r.first_marker, r.duplicated) for r in found) == [(1, 2, False), (2, 0, True)]
+
+
+def test_presence_is_thinned_evenly(spark):
+    rows = spark.range(2000).selectExpr("concat('G', lpad(cast(id AS string), 4, '0')) AS genotype_id", "'E1' AS environment_id")
+    kept = study.PRESENCE.on(spark, genotype_presence=study.GENOTYPE_PRESENCE.on(spark, phenotypes=rows))
+    want = np.linspace(0, 1999, 650).astype(int).tolist()
+    assert sorted(r.place for r in kept.collect()) == want
