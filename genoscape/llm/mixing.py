@@ -12,8 +12,10 @@ target by less than its last document. Random draws are hashes of the rows, so r
 
 Defined results: null and empty texts have size 0 and are never taken. Null sources form
 one source, last in order. Repeated rows (even of one id) are rounded one by one. A table
-without words takes nothing; an empty table gives an empty result. Only id, source and text
-are read.
+without words takes nothing; an empty table gives an empty result. A very long text is one
+document of its size, whose words are counted where it lies. Sources whose sizes tie share by
+the same rule, whatever their order. Only id, source and text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .words import cut
+from .words import cut, salted_join
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, FAN_IN, SEED = (5, 2, 1), 3, 128, 20240229
@@ -34,21 +36,34 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
 
 
+def _places(by_source: DataFrame) -> DataFrame:
+    """by_source with ``place``, the place of a source by code point (null last): ranges are counted, then numbered apart."""
+    n = int(by_source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.asc_nulls_last("source")
+    ranged = cut(by_source.repartitionByRange(n, order).withColumn("range", F.spark_partition_id()))
+    before = F.sum("m").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # one row a range
+    starts = ranged.groupBy("range").agg(F.count("*").alias("m")).select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    nth = F.row_number().over(W.partitionBy("range").orderBy(order))
+    return ranged.withColumn("nth", nth).join(F.broadcast(starts), "range").withColumn("place", F.col("start") + F.col("nth") - 1).drop("range", "nth", "start")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, n, source_size and target: all words shared by weight, at most ``most`` times a source's size.
 
-    The cap that binds first is that of the source with the least most * size / weight; the level
-    of the uncapped ones follows from running sums over sources in that order."""
+    Sources above their cap are set to it and the rest is shared anew among the others, until none is above. A
+    round is one sum over the sources; it caps all that are above at once, so a few rounds do. Sums are of whole
+    numbers, so ties and the order of sources make no difference."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1
-    held = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
-    held = held.withColumn("cap", F.col("source_size").cast("double") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = W.orderBy("ratio", F.asc_nulls_last("source")).rowsBetween(W.unboundedPreceding, -1)
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    held = held.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("ratio"))
-    held = held.withColumn("level", F.min_by("level", F.when(F.col("fits"), F.col("ratio"))).over(every))
-    return held.select("source", "n", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    held = cut(_places(by_source).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).drop("place"))
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") < F.lit(level) * F.col("weight")
+        found = held.agg(F.count_if(above).alias("capped"), F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("cap")).otherwise(0)).alias("held"), F.sum(F.when(above, 0).otherwise(F.col("weight"))).alias("weight")).first()
+        if found["capped"] == capped or not found["weight"]:
+            break
+        level, capped = (found["all"] - found["held"]) / found["weight"], found["capped"]
+    return held.select("source", "n", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _fold(level: int):
@@ -89,7 +104,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, d
     whole = F.floor(wanted + _EPS).cast("int")
     # equal rows are counted before they meet, then numbered, so that a chunk stays small whatever repeats
     rows = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("m")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+    at = F.struct("source").alias("at")  # null sources meet too
+    rows = salted_join(rows.select("*", at), goal.select(at, "n", "source_size", "target"), goal.select(at, "n"), "at", "key")
     rows = rows.select("doc_id", "source", "size", "key", F.xxhash64("doc_id", "source", "key", "nth").alias("salt"), "nth", "source_size", "target", whole.alias("base"), F.greatest(F.lit(0.0), wanted - whole).alias("p"), "n")
     rows = rows.withColumn("p", F.when((F.col("size") == 0) | (F.col("p") < _EPS), 0.0).otherwise(F.col("p")))
     fields = [c for c in rows.columns if c != "n"]
@@ -116,6 +132,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, d
     return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "key")
 
 
+def sources_and_targets(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, size, source_size and target (to three places) of every document, without drawing any."""
+    sizes = cut(sized(docs, doc_id, source, text))
+    goal, at = targets(sizes), F.struct("source").alias("at")
+    rows = salted_join(sizes.select("*", at), goal.select(at, "source_size", F.round("target", 3).alias("target")), goal.select(at, "n"), "at", "key")
+    return rows.select("doc_id", "size", "source_size", "target")
+
+
 def take(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Equal rows share what the mix takes of them all."""
     at_least = [F.count_if(F.col("copies") >= k).alias(f"at_least_{k}") for k in range(1, MOST + 1)]

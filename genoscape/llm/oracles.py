@@ -21,3 +21,15 @@ SUBSTRINGS = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS
     words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
     kept AS (SELECT r, array_to_string(list(word ORDER BY i), ' ') AS t, count(*) AS n FROM words ANTI JOIN removed ON words.r = removed.r AND words.i = removed.i GROUP BY r)
     SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM docs LEFT JOIN kept ON docs.r = kept.r"""
+
+_SOURCES = r"""sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    totals AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY source),
+    placed AS (SELECT source, source_size, weight, row_number() OVER (ORDER BY 3 * source_size::DOUBLE / weight, encode(source) NULLS LAST) AS i FROM totals),
+    levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM placed WINDOW before AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (SELECT min_by(level, i) AS level FROM levels WHERE level * weight <= 3 * source_size)"""
+
+#: Sizes and targets alone: which documents are drawn has no form in SQL.
+MIXING_TARGETS = f"""WITH {_SOURCES}
+    SELECT s.doc_id, s.size::BIGINT AS size, p.source_size, round(least(3 * p.source_size, coalesce((SELECT level FROM level), 0) * p.weight)::DOUBLE, 3) AS target
+    FROM sized AS s JOIN placed AS p ON s.source IS NOT DISTINCT FROM p.source"""

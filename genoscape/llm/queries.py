@@ -11,7 +11,7 @@ from .fingerprints import fingerprints
 from .jaccard import near_classes
 from .languages import language_ids
 from .licences import licence_scan
-from .mixing import mix
+from .mixing import mix, sources_and_targets
 from .neighbours import nearest
 from .pieces import encode_pieces
 from .quality import quality_scores
@@ -49,6 +49,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("key", "copies")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can say."""
+    return sources_and_targets(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
 
@@ -70,8 +75,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op7_jaccard, op8_substrings, op9_licences, op10_pieces)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op7_jaccard, op8_substrings, op9_licences, op10_pieces, mixing_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": oracles.JACCARD, "op8_substrings": oracles.SUBSTRINGS}
+    return {"op7_jaccard": oracles.JACCARD, "op8_substrings": oracles.SUBSTRINGS, "mixing_targets": oracles.MIXING_TARGETS}

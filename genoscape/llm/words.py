@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Entries of one generation of a worker's word table; two are kept (about 30 MB).
 TABLE_LIMIT = 80_000
+#: Up to this many rows of one key are no burden to a task.
+FAIR_SHARE = 1000
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -137,6 +139,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; set here only where unset."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not found:
         import tempfile
 
@@ -155,3 +159,23 @@ def cut(df: DataFrame) -> DataFrame:
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """64 bits that tell apart rows of unequal id or text; equal rows share them, and every decision here is the same for equal rows."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, counts: DataFrame, on: str, salt: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table whose ``on`` is unique; a key with more rows than a task's fair share is dealt to all tasks.
+
+    counts: ``on`` and how many rows have it (n). At most 4 keys a task can be that hot, whatever the data, so these
+    are collected; their entries of the table are sent once for each salt. ``salt`` is a 64-bit column of rows that
+    differs within a hot key."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(FAIR_SHARE, total // (4 * parts))).select(F.col(on).alias("__k"))
+    found = [(r[0],) for r in hot.collect()]
+    if not found:
+        return rows.join(table, on, how)
+    held = F.broadcast(spark.createDataFrame(found, hot.schema))
+    here = F.col("__k").isNotNull()
+    left = rows.join(held, F.col(on) == F.col("__k"), "left").withColumn("__salt", F.when(here, F.pmod(F.col(salt), F.lit(parts))).otherwise(0).cast("int")).drop("__k")
+    right = table.join(held, F.col(on) == F.col("__k"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(here, F.lit(parts - 1)).otherwise(0)))).drop("__k")
+    return left.join(right, [on, "__salt"], how).drop("__salt")

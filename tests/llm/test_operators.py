@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoscape.llm import fingerprints as fp
-from genoscape.llm import jaccard, languages, licences, mixing, neighbours, pieces, quality, repeats, sketches, substrings, token_counts
+from genoscape.llm import jaccard, languages, licences, mixing, neighbours, pieces, quality, repeats, sketches, substrings, token_counts, words
 from genoscape.llm.components import components
 from genoscape.llm.words import U64, text_hashes, window_hashes, word_hashes
 
@@ -175,6 +175,46 @@ def test_mixing(docs, spark):
     assert mixing.take(docs, mixing.mix(docs)).count() == sum(r.copies for r in rows if r.size)
 
 
+def capped_targets(sizes, most=3):
+    """Brute force: share by weight, cap what is above, share the rest anew."""
+    order = sorted(sizes, key=lambda k: (k is None, (k or "").encode()))
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+    goal, free = {}, list(order)
+    while free:
+        level = (sum(sizes.values()) - sum(goal.values())) / sum(weight[k] for k in free)
+        above = [k for k in free if weight[k] * level > most * sizes[k] + 1e-9]
+        if not above:
+            return goal | {k: weight[k] * level for k in free}
+        goal |= {k: most * sizes[k] for k in above}
+        free = [k for k in free if k not in above]
+    return goal
+
+
+def test_targets_equal_a_capping_loop(spark):
+    rng = random.Random(8)
+    cases = [[400, 1, 3, 400], [0, 0, 0], [1], [5, 5, 5, 5, 5, 5], [0, 7, 7, 1, 1, 2, 2, 14]]
+    cases += [[rng.choice([0, 1, 2, 3, 5, 10, 400]) for _ in range(rng.randint(1, 9))] for _ in range(4)]
+    for case in cases:
+        names = [f"s{i}" for i in range(len(case) - 1)] + [None]
+        rng.shuffle(names)
+        sizes = dict(zip(names, case, strict=True))
+        rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        want = capped_targets(sizes)
+        assert {r.source: r.target for r in mixing.targets(mixing.sized(frame)).collect()} == pytest.approx(want)
+        if case is cases[0]:
+            assert all(0 <= r.taken <= 3 * r.size and r.target == want[names[r.doc_id]] for r in mixing.mix(frame).collect())
+
+
+def test_salted_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(words, "FAIR_SHARE", 2)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["a"] * 90 + ["b", "c", None])], "k string, salt long")
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("d", 4)], "k string, v int")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left", "left_semi"):
+        assert Counter(map(tuple, words.salted_join(rows, table, counts, "k", "salt", how).collect())) == Counter(map(tuple, rows.join(table, "k", how).collect()))
+
+
 def test_mixing_caps_and_shares(spark):
     one = spark.createDataFrame([(i, "w " * 10, s) for i, s in enumerate("aaaaaaaaaabc")], "doc_id long, text string, source string")
     goal = {r.source: r.target for r in mixing.targets(mixing.sized(one)).collect()}
