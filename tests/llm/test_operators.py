@@ -221,28 +221,46 @@ def test_mixing_caps_and_shares(spark):
     assert goal["b"] == 30 and goal["c"] == 15 or goal == pytest.approx({"a": 75.0, "b": 30.0, "c": 15.0})
 
 
-def test_fingerprints(docs):
-    rows = fp.fingerprints(docs).collect()
-    texts = [(i, t or "") for i, t, *_ in corpus()]
-    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in texts)
-    by_id = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0))
-    expected = {}
-    for at, (i, t) in enumerate(by_id):
-        after = by_id[(at + 1) % len(by_id)][1]
-        expected.setdefault(i, set()).add(hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest())
-    for r in rows:
-        if r.doc_id is not None and r.doc_id not in (0, 31, 58):  # ids before them or next to them repeat
-            assert r.edited_sha256 in expected[r.doc_id]
-    same = {r.doc_id: r.fingerprint for r in rows}
-    assert same[30] == same[31] == same[32] and same[54] == same[55]
+def paragraph_sums(text):
+    """Brute force: every paragraph's own sums, added up."""
+    found = fp.text_sums(b"")
+    for p in text.encode().split(b"\n") if text else []:
+        found = fp.combine(found, fp.text_sums(p) if p else fp.sums_of(fp.hashed(b"\n")[0][:1], np.empty(0, U64)))
+    return found
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_fingerprints(docs, spark, hot):
+    frame = docs if not hot else spark.createDataFrame([(i if i % 3 else [7, None][i % 2], f"t{i}\nx{i % 40} y") for i in range(400)], "doc_id long, text string")
+    rows = fp.fingerprints(frame).collect()
+    texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text or "") for r in frame.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()))
+    want = []
+    for at, (known, i, _, t) in enumerate(texts):
+        after = texts[(at + 1) % len(texts)][3]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = (paragraph_sums(x) for x in (t, edited, after))
+        want.append((i if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp.written(a), fp.written(b), fp.likeness(a, b), fp.likeness(a, c)))
+    assert Counter(tuple(r) for r in rows) == Counter(want)
 
 
 def test_fingerprints_are_homomorphic():
-    a, b = fp.piece_hashes(b"one two\nthree four\n"), fp.piece_hashes(b"five\n")
-    whole = fp.sums_of(np.concatenate((b, a)))
-    assert fp.written(fp.combine(fp.sums_of(a), fp.sums_of(b))) == fp.written(whole)
-    assert fp.written(fp.combine(whole, fp.sums_of(b, -1))) == fp.written(fp.sums_of(a))
-    assert fp.likeness(whole, whole) == 1.0
+    rng = random.Random(6)
+    lines = ["alpha one", "beta two", "", "", "x  y", " ".join(f"w{i}" for i in range(300)), "beta two"]
+    whole = fp.text_sums("\n".join(lines).encode())
+    for end in ("", "\n"):
+        seen = set()
+        for _ in range(10):
+            rng.shuffle(lines)
+            text = "\n".join(lines) + end
+            seen.add(fp.written(fp.text_sums(text.encode())))
+            assert fp.written(paragraph_sums(text)) == fp.written(fp.text_sums(text.encode()))
+        assert len(seen) == 1
+    one = fp.text_sums(b"five six")
+    more = fp.combine(whole, one)
+    assert fp.written(fp.text_sums(("five six\n" + "\n".join(lines)).encode())) == fp.written(more) != fp.written(whole)
+    assert fp.written(fp.combine(more, fp.text_sums(b"five six", -1))) == fp.written(whole)
+    assert fp.written(fp.text_sums(b"a\nb")) != fp.written(fp.text_sums(b"a b")) and fp.likeness(whole, whole) == 1.0
+    assert tuple(map(str, fp.read_back(fp.written(whole)))) == tuple(map(str, whole))
 
 
 def test_token_counts(docs):
