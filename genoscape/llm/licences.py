@@ -2,21 +2,25 @@
 
 The automaton accepts every substring of the licence templates, over word ids. A file is
 streamed through it once; at each word the automaton gives the longest suffix of the words
-read so far that occurs in some template (the matching statistic), and the state knows an
-end position in each template that contains it. Matches of at least ``MIN_MATCH`` words
-are chained while they keep the order of the template and their gaps are at most
-``MAX_GAP`` words; a chain is a covered span of the file with a share of its template.
-Words outside the templates' vocabulary end every match, so the automaton only walks runs
-of vocabulary words that are long enough.
+read so far that occurs in some template (the matching statistic), and suffix links give the
+longest one for each template. Matches that cannot be extended and have at least ``MIN_MATCH``
+words are chained by dynamic programming over all their places in the template: a chain keeps
+the order of the template, leaves gaps of at most ``MAX_GAP`` words of the file, and covers as
+many template words as it can (overlaps count once). A chain is a covered span of the file
+with a share of its template. A match only looks back over the gap and itself, so the work
+grows with the file. Words outside the templates' vocabulary end every match, so the automaton
+only walks runs of vocabulary words that are long enough.
 
 Base labels come from short phrases whose words stand consecutively (all places count).
 The chains add labels of their own: a template labels a file if one chain covers
 ``MIN_SHARE`` of it. ``score`` is the largest covered share, at least 0.5 where a base
-phrase stands, 0 where nothing is found.
+phrase stands, 0 where nothing is found. Spans are the chains that cover ``MIN_SHARE``,
+the best first, which share no word of the file with another span of their template.
 
 Defined results: a null text counts as empty and has no labels (empty strings, null
-positions). Repeated rows are kept, an empty table gives an empty result, columns other
-than the id and the text are not read.
+positions). Of chains that cover as much the one that ends first counts. Very long texts are
+scanned whole, one at a time. Repeated rows are kept, an empty table gives an empty result,
+columns other than the id and the text are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -46,6 +50,14 @@ TEMPLATES = {
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "all-rights-reserved": "All rights reserved.",
 }
 
@@ -58,21 +70,27 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised over several sequences of ids; ``where[state]`` maps a sequence to one end position in it."""
+    """Generalised over several sequences of ids; ``where[state]`` maps a sequence to the end positions in it."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.longest = [-1], [0]
-        self.where: list[dict[int, int]] = [{}]
+        self.where: list[dict[int, set[int]]] = [{}]
         for k, sequence in enumerate(sequences):
             last = 0
             for end, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.where[last].setdefault(k, end)
-        for state in sorted(range(1, len(self.link)), key=self.longest.__getitem__, reverse=True):
-            for k, end in self.where[state].items():
-                up = self.where[self.link[state]]
-                up[k] = min(end, up.get(k, end))
+                self.where[last].setdefault(k, set()).add(end)
+        down = sorted(range(1, len(self.link)), key=self.longest.__getitem__)
+        for state in reversed(down):
+            up = self.where[self.link[state]]
+            for k, ends in self.where[state].items():
+                up.setdefault(k, set()).update(ends)
+        #: of each state and sequence, the nearest state on the way to the root that occurs in it
+        self.nearest = np.zeros((len(self.link), len(sequences)), np.int64)
+        for state in down:
+            self.nearest[state] = self.nearest[self.link[state]]
+            self.nearest[state, list(self.where[state])] = state
 
     def _state(self, longest: int, link: int, out: dict[int, int]) -> int:
         self.next.append(out)
@@ -126,42 +144,69 @@ class Scanner:
             self.ids.setdefault(word, len(self.ids) + 1)
         self.known = {w for t in texts for w in t}
         self.automaton = SuffixAutomaton([[self.ids[w] for w in t] for t in texts])
+        self.longest = np.array(self.automaton.longest)
         self.phrases = [([self.ids[w] for w in p.encode().split()], label) for p, label in phrases.items()]
         self.min_match, self.max_gap = min_match, max_gap
 
-    def matches(self, ids: np.ndarray) -> list[tuple[int, int, dict[int, int]]]:
-        """Maximal matches (first word, length, ends in templates) in file order."""
-        least = min([self.min_match, *self.sizes])
+    def matches(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(template, first word, last word, end in the template) of matches that cannot be extended, for each of their places, by last word."""
+        least = np.minimum(self.min_match, self.sizes)
         padded = np.concatenate(([0], (ids > 0).astype(np.int8), [0]))
         starts, ends = np.flatnonzero(np.diff(padded) == 1), np.flatnonzero(np.diff(padded) == -1)
-        long = ends - starts >= least
+        long = ends - starts >= least.min()
         found = []
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            before = (0, 0)
-            for at, now in enumerate([*self.automaton.statistics(ids[a:b].tolist()), (0, 0)], a):
-                if before[1] and now[1] <= before[1]:
-                    ends_at = {k: e for k, e in self.automaton.where[before[0]].items() if before[1] >= min(self.min_match, self.sizes[k])}
-                    if ends_at:
-                        found.append((at - before[1], before[1], ends_at))
-                before = now
+            state, length = np.array(list(self.automaton.statistics(ids[a:b].tolist())), np.int64).T
+            near = self.automaton.nearest[state]
+            size = np.where(near == state[:, None], length[:, None], self.longest[near])
+            stops = np.concatenate((size[1:] <= size[:-1], np.ones((1, size.shape[1]), bool)))
+            for at, k in zip(*map(np.ndarray.tolist, np.nonzero(stops & (size >= least))), strict=True):
+                found += [(k, a + at - int(size[at, k]) + 1, a + at, end) for end in sorted(self.automaton.where[int(near[at, k])][k])]
         return found
 
-    def chains(self, ids: np.ndarray) -> list[tuple[str, int, int, int, float]]:
-        """(label, first word, last word, covered template words, covered share) of each chain."""
-        open_, done = {}, []
-        for first, length, ends in self.matches(ids):
-            for k, end in ends.items():
-                begin = end - length + 1
-                chain = open_.get(k)
-                if chain and first - chain[1] - 1 <= self.max_gap and end > chain[3]:
-                    chain[2] += end - max(begin, chain[3] + 1) + 1
-                    chain[1], chain[3] = first + length - 1, end
-                else:
-                    if chain:
-                        done.append((k, chain))
-                    open_[k] = [first, first + length - 1, length, end]
-        done += open_.items()
-        return sorted((self.labels[k], c[0], c[1], c[2], c[2] / self.sizes[k]) for k, c in done)
+    def best_chains(self, items: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+        """Of matches (first, last, end) of one template, by last word: the words covered by the best chain that ends with each, and the match before it (or -1)."""
+        value, back = [], []
+        for m, (first, last, end) in enumerate(items):
+            own = last - first + 1
+            most, before = own, -1
+            for j in range(m - 1, -1, -1):
+                f, at, e = items[j]
+                if at < first - 1 - self.max_gap:
+                    break
+                gain = own - max(0, at - first + 1, e - (end - own))
+                if e < end and f < first and gain > 0 and value[j] + gain > most:
+                    most, before = value[j] + gain, j
+            value.append(most)
+            back.append(before)
+        return value, back
+
+    def chains(self, ids: np.ndarray) -> tuple[float, list[tuple[str, int, int, int, float]]]:
+        """The largest share that a chain covers, and (label, first word, last word, covered template words, share) of the spans."""
+        by_template: dict[int, list] = {}
+        for k, *item in self.matches(ids):
+            by_template.setdefault(k, []).append(tuple(item))
+        best, spans = 0.0, []
+        for k, items in by_template.items():
+            value, back = self.best_chains(items)
+            best = max(best, max(value) / self.sizes[k])
+            taken = None
+            for m in sorted(range(len(items)), key=lambda x: (-value[x], items[x][1])):
+                if value[m] < MIN_SHARE * self.sizes[k]:
+                    break
+                taken = np.zeros(len(ids), bool) if taken is None else taken
+                path, at = [], m
+                while at >= 0 and not taken[items[at][0] : items[at][1] + 1].any():
+                    path.append(at)
+                    at = back[at]
+                if not path:
+                    continue
+                first, last = items[path[-1]][0], items[m][1]
+                covered = value[m] - value[path[-1]] + items[path[-1]][1] - first + 1
+                if covered >= MIN_SHARE * self.sizes[k]:
+                    taken[first : last + 1] = True
+                    spans.append((self.labels[k], first, last, covered, covered / self.sizes[k]))
+        return best, sorted(spans)
 
     def base(self, ids: np.ndarray) -> list[tuple[int, str]]:
         """(first word, label) of each place of a phrase."""
@@ -178,14 +223,14 @@ class Scanner:
     def scan(self, text: bytes) -> dict:
         words = words_of(text)
         ids = np.fromiter((self.ids.get(w, 0) for w in words), np.int64, len(words)) if len(words) < 3 else np.array(list(map(self.ids.get, words, [0] * len(words))), np.int64)
-        base, chains = self.base(ids), self.chains(ids)
+        base, (best, spans) = self.base(ids), self.chains(ids)
         labels = {label for _, label in base}
-        added = {c[0] for c in chains if c[4] >= MIN_SHARE}
+        added = {c[0] for c in spans}
         return {
             "n_words": len(words), "n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None,
             "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(labels | added)),
-            "score": min(1.0, max([0.5 * bool(base), *(c[4] for c in chains)])),
-            "spans": [{"label": c[0], "first_word": c[1], "last_word": c[2], "covered": c[3], "share": c[4]} for c in chains if c[4] >= MIN_SHARE],
+            "score": max(0.5 * bool(base), best),
+            "spans": [{"label": c[0], "first_word": c[1], "last_word": c[2], "covered": c[3], "share": c[4]} for c in spans],
         }
 
 

@@ -33,3 +33,16 @@ _SOURCES = r"""sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(
 MIXING_TARGETS = f"""WITH {_SOURCES}
     SELECT s.doc_id, s.size::BIGINT AS size, p.source_size, round(least(3 * p.source_size, coalesce((SELECT level FROM level), 0) * p.weight)::DOUBLE, 3) AS target
     FROM sized AS s JOIN placed AS p ON s.source IS NOT DISTINCT FROM p.source"""
+
+#: What SQL can say of the fingerprints: lengths, and the edited texts by their hash.
+FINGERPRINT_EDITS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after FROM d WINDOW w AS (ORDER BY doc_id))
+    SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 2) || left(after, n // 2)) AS edited_sha256 FROM n"""
+
+#: Words, places and labels of the base phrases.
+LICENCE_PHRASES = """WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    p AS (SELECT unnest([{'p': 'gnu general public license', 'l': 'gpl'}, {'p': 'apache license', 'l': 'apache'}, {'p': 'cc by', 'l': 'cc-by'}, {'p': 'mit license', 'l': 'mit'}], recursive := true)),
+    places AS (SELECT r, l, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + len(string_split(p, ' '))], ' ') = p)) AS i FROM d CROSS JOIN p),
+    found AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT l, ',' ORDER BY l) AS labels FROM places GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN found ON d.r = found.r"""

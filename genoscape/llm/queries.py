@@ -41,6 +41,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the fingerprints that SQL can say."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -70,13 +75,18 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the licence scan that SQL can say."""
+    return op9_licences(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op7_jaccard, op8_substrings, op9_licences, op10_pieces, mixing_targets)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op7_jaccard, op8_substrings, op9_licences, op10_pieces, mixing_targets, fingerprint_edits, licence_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": oracles.JACCARD, "op8_substrings": oracles.SUBSTRINGS, "mixing_targets": oracles.MIXING_TARGETS}
+    return {"op7_jaccard": oracles.JACCARD, "op8_substrings": oracles.SUBSTRINGS, "mixing_targets": oracles.MIXING_TARGETS, "fingerprint_edits": oracles.FINGERPRINT_EDITS, "licence_phrases": oracles.LICENCE_PHRASES}

@@ -310,7 +310,70 @@ def test_licences(docs):
         for end, (_, length) in enumerate(automaton.statistics(ids)):
             parts = [ids[a : end + 1] for a in range(end + 1)]
             assert length == max((len(p) for p in parts if any(s[k : k + len(p)] == p for s in ([1, 2, 1, 3], [2, 1, 2, 2]) for k in range(4))), default=0)
-    assert licences.licence_scan(docs).count() == docs.count()
+
+
+def best_cover(template, words, min_match, max_gap):
+    """Brute force: template words covered by the best chain of matches that cannot be extended."""
+    n, m = len(words), len(template)
+    items = []
+    for last in range(n):
+        sizes = {e: next(k for k in range(min(last, e) + 2) if k > min(last, e) or words[last - k] != template[e - k]) for e in range(m)}
+        most = max(sizes.values())
+        longer = max((next(k for k in range(min(last + 1, e) + 2) if k > min(last + 1, e) or words[last + 1 - k] != template[e - k]) for e in range(m)), default=0) if last + 1 < n else 0
+        if most >= min(min_match, m) and longer <= most:
+            items += [(last - most + 1, last, e) for e, k in sizes.items() if k == most]
+
+    def grow(at):
+        f, last, e = items[at]
+        found = last - f + 1
+        for j, (f2, l2, e2) in enumerate(items):
+            gain = found2 = l2 - f2 + 1
+            gain = found2 - max(0, last - f2 + 1, e - (e2 - found2))
+            if l2 > last and f2 > f and e2 > e and f2 - last - 1 <= max_gap and gain > 0:
+                found = max(found, last - f + 1 + gain + grow(j) - found2)
+        return found
+
+    return max((grow(k) for k in range(len(items))), default=0)
+
+
+def test_licence_chains_equal_brute_force():
+    rng = random.Random(4)
+    scanner = licences.Scanner({"x": "a b c a b d a b c e f a b", "y": "c d a b c"}, {}, 2, 2)
+    for _ in range(150):
+        words = [rng.choice(["a", "b", "c", "d", "e", "f", "zz"]) for _ in range(rng.randint(1, 16))]
+        ids = np.array([scanner.ids.get(w.encode(), 0) for w in words])
+        by = {}
+        for k, *item in scanner.matches(ids):
+            by.setdefault(k, []).append(tuple(item))
+        for k, text in enumerate(("a b c a b d a b c e f a b", "c d a b c")):
+            assert max(scanner.best_chains(by.get(k, []))[0], default=0) == best_cover(text.split(), words, 2, 2)
+
+
+def test_licence_spans():
+    scan = licences.Scanner().scan
+    words = licences.TEMPLATES["bsd"].split()
+    words[20], words[50] = "changed", "too"
+    got = scan(" ".join(words).encode())
+    assert got["labels"] == "bsd" and got["score"] > 0.9
+    twice = scan((licences.TEMPLATES["mit"] + " . " + licences.TEMPLATES["mit"]).encode())
+    assert [s["share"] for s in twice["spans"] if s["label"] == "mit"] == [1.0, 1.0]
+    many = scan((licences.TEMPLATES["isc"] + " ").encode() * 300)
+    assert sum(s["label"] == "isc" for s in many["spans"]) == 300
+
+
+def test_licence_table_equals_brute_force(docs, spark):
+    rng = random.Random(9)
+    parts = ["GNU", "general", "Public", "license", "apache", "cc", "by", "MIT", "x", "é", "7"]
+    texts = [("", " ", "-")[k % 3].join([""]) + " ".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for k in range(60)] + ["cc-by,apache_license", "mit\u00a0license", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    want = []
+    for r in frame.collect():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in r.text or "").split(" ")
+        w = [x for x in w if x]
+        found = [(a, label) for p, label in licences.PHRASES.items() for a in range(len(w)) if w[a : a + len(p.split())] == p.split()]
+        want.append((r.doc_id, len(w), len(found), min((a for a, _ in found), default=None), max((a for a, _ in found), default=None), ",".join(sorted({x for _, x in found}))))
+    got = licences.licence_scan(frame).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
 
 
 def test_neighbours(spark):
