@@ -7,30 +7,37 @@ document's probabilities are the mean over all its positions. Training minimises
 cross-entropy of the position labels by backpropagation through time over whole windows,
 with Adam steps, from a fixed seed.
 
-Training reads a bounded sample (documented parameter): about ``SAMPLE`` documents per
-language, those with the smallest hash of their id, and at most ``WINDOWS`` windows of
-each. A document is held out of training if crc32 of its id modulo 3 is 1.
+Training reads a bounded sample (documented parameter): ``SAMPLE`` documents, shared evenly
+among all languages that occur (at least ``LEAST`` of each, so no language is left out), those
+with the smallest hash of their id and text, each with its whole text. The executors cut them
+into windows; these come to the driver in slices of about ``SLICE``, so its memory does not
+depend on how long the texts are. A document is held out of training if crc32 of its id
+modulo 3 is 1.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
-every text if no training row has a language. Repeated rows are kept; an empty table gives
-an empty result; columns other than id, text and language are not read.
+every text if no training row has a language. Languages with the same probability: the first
+by name. Very long texts are read whole, one batch at a time. Rows that are equal in id, text
+and language count once in training; repeated rows are kept in the result; an empty table
+gives an empty result; columns other than id, text and language are not read and may have any
+name. Ids may have any type.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .words import hash64, reachable_by_workers, tidy
+from .words import cut, reachable_by_workers, tidy
 
-HIDDEN, WINDOW, SAMPLE, WINDOWS, EPOCHS, TOGETHER = 8, 64, 500, 8, 6, 2048
+HIDDEN, WINDOW, SAMPLE, LEAST, EPOCHS, TOGETHER, SLICE = 8, 64, 400, 10, 4, 2048, 1 << 18
 _ASCII, _LETTER = re.compile(rb"[A-Za-z]"), regex.compile(r"\p{L}")
 
 
@@ -121,28 +128,46 @@ class Network:
         logits /= logits.sum(axis=1, keepdims=True)
         return logits, (both, a, b)
 
-    def fit(self, data: np.ndarray, valid: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, size: int = 256, rate: float = 0.02) -> None:
+    def gradients(self, data: np.ndarray, valid: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], float]:
+        """Of the mean cross-entropy over all valid positions, in the order of ``params``; and that mean."""
+        x, ok = np.ascontiguousarray(data), np.ascontiguousarray(valid)
+        d, (both, ahead, behind) = self.position_probabilities(x, ok, keep=True)
+        here = np.arange(len(label))
+        share = ok / np.float32(max(1, ok.sum()))
+        loss = float(-(np.log(d[:, label, here] + 1e-30) * share).sum())
+        d[:, label, here] -= 1
+        d *= share[:, None, :]
+        g_v = np.einsum("tln,thn->lh", d, both)
+        g_c = d.sum(axis=(0, 2))[:, None]
+        d_both = np.matmul(self.v.T, d)
+        one = self.ways[0].back(x, ok, ahead, d_both[:, :HIDDEN])
+        two = self.ways[1].back(x[::-1], ok[::-1], behind, d_both[::-1, HIDDEN:])
+        return [*one.values(), *two.values(), g_v, g_c], loss
+
+    @property
+    def params(self) -> list[np.ndarray]:
+        return [*self.ways[0].p.values(), *self.ways[1].p.values(), self.v, self.c]
+
+    def fit(self, slices: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]], epochs: int = EPOCHS, size: int = 256, rate: float = 0.02) -> None:
+        """Adam steps over slices (bytes, valid, label) of windows, which are read anew for every pass unless there is one."""
         rng = np.random.default_rng(11)
-        params = [*self.ways[0].p.values(), *self.ways[1].p.values(), self.v, self.c]
+        params = self.params
         m, s, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        kept = None
         for _ in range(epochs):
-            order = rng.permutation(data.shape[1])
-            for a in range(0, len(order), size):
-                pick = order[a : a + size]
-                x, ok = np.ascontiguousarray(data[:, pick]), np.ascontiguousarray(valid[:, pick])
-                d, (both, ahead, behind) = self.position_probabilities(x, ok, keep=True)
-                d[:, label[pick], np.arange(len(pick))] -= 1
-                d *= ok[:, None, :] / np.float32(max(1, ok.sum()))
-                g_v = np.einsum("tln,thn->lh", d, both)
-                g_c = d.sum(axis=(0, 2))[:, None]
-                d_both = np.matmul(self.v.T, d)
-                one = self.ways[0].back(x, ok, ahead, d_both[:, :HIDDEN])
-                two = self.ways[1].back(x[::-1], ok[::-1], behind, d_both[::-1, HIDDEN:])
-                step += 1
-                for p, g, mm, ss in zip(params, [*one.values(), *two.values(), g_v, g_c], m, s, strict=True):
-                    mm += 0.1 * (g - mm)
-                    ss += 0.01 * (g * g - ss)
-                    p -= (rate * mm / (1 - 0.9**step) / (np.sqrt(ss / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            n = 0
+            for n, (data, valid, label) in enumerate(kept or slices(), 1):
+                order = rng.permutation(data.shape[1])
+                for a in range(0, len(order), size):
+                    pick = order[a : a + size]
+                    found, _ = self.gradients(data[:, pick], valid[:, pick], label[pick])
+                    step += 1
+                    for p, g, mm, ss in zip(params, found, m, s, strict=True):
+                        mm += 0.1 * (g - mm)
+                        ss += 0.01 * (g * g - ss)
+                        p -= (rate * mm / (1 - 0.9**step) / (np.sqrt(ss / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                last = (data, valid, label)
+            kept = [last] if n == 1 else None
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean of the position probabilities of each text, [texts, languages]; texts are not empty."""
@@ -156,36 +181,50 @@ class Network:
         return np.add.reduceat(sums, first, axis=0) / np.array([len(t) for t in texts])[:, None]
 
 
-def train(rows: list[tuple[bytes, str]]) -> Network | None:
-    names = sorted({lang for _, lang in rows})
+def train(names: list[str], slices: Callable[[], Iterable[tuple[list[bytes], list[int]]]]) -> Network | None:
+    """From slices of windows and the numbers of their languages."""
     if not names:
         return None
-    texts, label = [], []
-    for text, lang in rows:
-        n = -(-len(text) // WINDOW)
-        for k in range(min(n, WINDOWS)):
-            at = k * n // min(n, WINDOWS) * WINDOW
-            texts.append(text[at : at + WINDOW])
-            label.append(names.index(lang))
-    data, valid, _ = windows_of(texts)
+
+    def arrays():
+        for texts, label in slices():
+            if texts:
+                yield (*windows_of(texts)[:2], np.array(label))
+
     network = Network(names)
-    network.fit(data, valid, np.array(label))
+    network.fit(arrays)
     return network
 
 
-def sampled(own: DataFrame, per_language: int) -> list[tuple[bytes, str]]:
-    """About per_language training rows of each language: a first pass counts, a second keeps ids whose hash is small."""
-    rows = own.where(F.col("lang").isNotNull() & ~F.col("held_out"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) / float(1 << 30)
-    kept = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).where(F.length("text") > 0)
-    taken: dict[str, list] = {}
-    for r in kept.select("doc_id", "text", "lang").limit(3 * per_language * len(counts)).toArrow().to_pylist():
-        taken.setdefault(r["lang"], []).append((hash64(str(r["doc_id"]).encode()), r["text"]))
-    return [(text, lang) for lang, found in sorted(taken.items()) for _, text in sorted(found)[:per_language] if has_letter(text)]
+def examples(own: DataFrame, sample: int) -> tuple[list[str], Callable[[], Iterable[tuple[list[bytes], list[int]]]]]:
+    """All languages of the training rows, and the sample's windows, slice by slice; the sample depends on ids and texts alone."""
+    rows = own.where(F.col("lang").isNotNull() & ~F.col("held_out") & (F.length("text") > 0)).select(F.xxhash64("doc_id", "text").alias("k"), "lang", "text")
+    # a task sends at most as many hashes of a language as the sample can take, no texts
+    own_names = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    names = [r["lang"] for r in own_names.select("lang").orderBy(F.col("lang").cast("binary")).collect()]
+    each = max(LEAST, sample // max(1, len(names)))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("k"))
+    picked = cut(rows.select("k", "lang").distinct().withColumn("place", place).where(F.col("place") <= each).drop("place"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if has_letter(text):
+                    for a in range(0, len(text), WINDOW << 12):  # a long text goes out bit by bit
+                        part = [text[b : b + WINDOW] for b in range(a, min(len(text), a + (WINDOW << 12)), WINDOW)]
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int64()), pa.array(range(a, a + len(part) * WINDOW, WINDOW), pa.int64()), pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary())], names=["k", "at", "lang", "bytes"])
+
+    held = cut(rows.join(F.broadcast(picked), ["k", "lang"]).select("k", "lang", "text").mapInArrow(tidy(windows), "k long, at long, lang string, bytes binary").dropDuplicates(["k", "at", "lang"]))
+    n = max(1, -(-held.count() // SLICE))
+    number = {name: i for i, name in enumerate(names)}
+    mixed = F.xxhash64("k", "at", "lang")
+
+    def slices():
+        for i in range(n):
+            part = held.where(F.pmod(mixed, F.lit(n)) == i).orderBy(mixed, "k", "at", "lang").select("lang", "bytes").toArrow()
+            yield part["bytes"].to_pylist(), [number[x] for x in part["lang"].to_pylist()]
+
+    return names, slices
 
 
 def language_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", carry: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -193,7 +232,7 @@ def language_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     spark = docs.sparkSession
     reachable_by_workers(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang"), held_out(doc_id, 3, 1).alias("held_out"))
-    network = train(sampled(own, sample))
+    network = train(*examples(own, sample))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

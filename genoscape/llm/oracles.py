@@ -42,7 +42,9 @@ FINGERPRINT_EDITS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM do
 #: Words, places and labels of the base phrases.
 LICENCE_PHRASES = """WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-    p AS (SELECT unnest([{'p': 'gnu general public license', 'l': 'gpl'}, {'p': 'apache license', 'l': 'apache'}, {'p': 'cc by', 'l': 'cc-by'}, {'p': 'mit license', 'l': 'mit'}], recursive := true)),
-    places AS (SELECT r, l, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + len(string_split(p, ' '))], ' ') = p)) AS i FROM d CROSS JOIN p),
+    words AS (SELECT r, unnest(range(0, len(w))) AS i, unnest(w) AS a FROM d),
+    runs AS (SELECT r, i, a, lead(a, 1) OVER run AS b, lead(a, 2) OVER run AS c, lead(a, 3) OVER run AS e FROM words WINDOW run AS (PARTITION BY r ORDER BY i)),
+    places AS (SELECT r, i, CASE WHEN a = 'gnu' AND b = 'general' AND c = 'public' AND e = 'license' THEN 'gpl' WHEN a = 'apache' AND b = 'license' THEN 'apache'
+    WHEN a = 'cc' AND b = 'by' THEN 'cc-by' WHEN a = 'mit' AND b = 'license' THEN 'mit' END AS l FROM runs WHERE l IS NOT NULL),
     found AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT l, ',' ORDER BY l) AS labels FROM places GROUP BY r)
     SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN found ON d.r = found.r"""

@@ -8,38 +8,42 @@ the square root of its share of the text's words. A score is the logistic functi
 sparse dot product; training follows the regularised leader, one text at a time.
 
 Training reads a bounded sample: the ``SAMPLE`` labelled training rows with the smallest
-hash of their id (documented parameter; every labelled row if there are fewer).
-
-Defined results: null and empty texts have no features and get the score of the bias.
-Labels that are null or not 0/1 are not learnt from; several labels of an id all count.
-Without any label all scores are 0.5. Repeated rows are kept; an empty table gives an
-empty result; only id, text and label are read.
+hash of their id (documented parameter; every labelled row if there are fewer), each with its
+whole text. Their features are made by the executors and come to the driver in slices of
+about ``SLICE`` entries, so its memory does not depend on how long the texts are.
+
+Defined results: null and empty texts have no features and get the score of the bias; very
+long texts are read whole, one at a time. Labels that are null or not 0/1 are not learnt from;
+several labels of an id all count, rows that are equal in id, text and label count once in
+training. Without any label all scores are 0.5. Repeated rows are kept; an empty table gives
+an empty result; only id, text and label are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, BoundedTable, hash64, mix, reachable_by_workers, tidy, word_hashes
+from .words import U64, BoundedTable, cut, hash64, mix, reachable_by_workers, tidy, word_hashes
 
-BUCKETS, SAMPLE, EPOCHS = 1 << 20, 6000, 3
+BUCKETS, SAMPLE, EPOCHS, SLICE = 1 << 20, 6000, 3, 1 << 22
 _SALT = [U64(0xA24BAED4963EE407 * k % (1 << 64)) for k in range(1, 6)]
+_SIGN = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
+_RUN, _RUN_OF_CHARS = re.compile(rb"(.)\1+", re.DOTALL), re.compile(r"(.)\1+", re.DOTALL)
 
 
 def word_form(word: bytes) -> bytes:
-    out = []
-    for c in word.decode("utf-8", "replace"):
-        sign = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != sign:
-            out.append(sign)
-        if len(out) == 8:
-            break
-    return "".join(out).encode()
+    """The signs of the whole word, each run of one sign once."""
+    if word.isascii():
+        return _RUN.sub(rb"\1", word.translate(_SIGN))
+    text = word.decode("utf-8", "replace")
+    signs = {ord(c): ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c for c in set(text)}
+    return _RUN_OF_CHARS.sub(r"\1", text.translate(signs)).encode("utf-8", "replace")
 
 
 _FORMS = BoundedTable(lambda w: hash64(word_form(w)))
@@ -89,12 +93,15 @@ def score_of(weights: np.ndarray, text: bytes) -> float:
     return float(1 / (1 + np.exp(-np.clip(float(weights[-1]) + weights[at] @ x, -35, 35))))
 
 
-def train(rows: list[tuple[bytes, int]]) -> np.ndarray:
-    model = FollowTheLeader()
-    made = [(*features(t), y) for t, y in rows]
+def train(slices: Callable[[], Iterable[list[tuple[np.ndarray, np.ndarray, int]]]]) -> np.ndarray:
+    """From examples (feature numbers, weights, label), read anew for every pass unless they are one slice."""
+    model, kept = FollowTheLeader(), None
     for _ in range(EPOCHS):
-        for at, x, y in made:
-            model.learn(at, x, y)
+        n = 0
+        for n, held in enumerate(kept or slices(), 1):
+            for at, x, y in held:
+                model.learn(at, x, y)
+        kept = [held] if n == 1 else None
     return model.frozen()
 
 
@@ -102,18 +109,47 @@ def held_out(doc_id: str, of: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
 
 
+_EXAMPLE = "doc_id {}, th long, y int, at array<int>, x array<float>"
+
+
+def examples(own: DataFrame, labels: DataFrame, doc_id: str, label: str, sample: int) -> Callable[[], Iterable[list]]:
+    """The sample's examples, slice by slice; which rows are in a slice and in what order depends on their ids and texts alone."""
+    spark = own.sparkSession
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id, 5, 0)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).distinct()
+    order = [F.xxhash64("doc_id"), "doc_id", "y"]
+    ids = known.orderBy(*order).limit(sample)
+    # an id may have many rows: the sample is cut again by rows, of which only hashes travel
+    narrow = own.select("doc_id", F.xxhash64("text").alias("th")).join(F.broadcast(ids), "doc_id").distinct()
+    picked = cut(narrow.orderBy(*order, "th").limit(sample))
+    kind = own.schema["doc_id"].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 64):
+                batch = whole.slice(a, 64)
+                found = [features(t or b"") for t in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([at.astype(np.int32) for at, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))], names=["doc_id", "th", "y", "at", "x"])
+
+    rows = own.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(picked), ["doc_id", "th"]).select("doc_id", "th", "y", "text")
+    held = cut(rows.mapInArrow(tidy(made), _EXAMPLE.format(kind)).dropDuplicates(["doc_id", "th", "y"]))
+    entries = held.agg(F.sum(F.size("at") + 1)).first()[0] or 0
+    n = max(1, -(-entries // SLICE))
+    slice_of = F.pmod(F.xxhash64("doc_id", "th"), F.lit(n))
+
+    def slices() -> Iterator[list]:
+        for k in range(n):
+            part = held.where(slice_of == k).orderBy(*order, "th").select("y", "at", "x").toArrow()
+            yield [(np.array(a, np.int64), np.array(x, float), y) for y, a, x in zip(part["y"].to_pylist(), part["at"].to_numpy(), part["x"].to_numpy(), strict=True)]
+
+    return slices
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= threshold) of every document."""
     spark = docs.sparkSession
     reachable_by_workers(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), held_out(doc_id, 5, 0).alias("held_out"))
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id, 5, 0)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    # at most ``sample`` ids: small by construction, so that no text is shuffled
-    rows = own.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit(b"")).alias("text"), "y").toArrow().to_pylist()
-    rows.sort(key=lambda r: (hash64(str(r["doc_id"]).encode()), r["y"], r["text"]))
-    weights = spark.sparkContext.broadcast(train([(r["text"], r["y"]) for r in rows[: 2 * sample]]))
-    del rows
+    weights = spark.sparkContext.broadcast(train(examples(own, labels, doc_id, label, sample)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value

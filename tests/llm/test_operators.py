@@ -432,6 +432,79 @@ def test_models_on_odd_rows(docs, spark):
     assert all((r.lang_pred == "und") == (not languages.has_letter((texts[r.doc_id] or "").encode())) for r in named if r.doc_id is not None)
 
 
+def test_word_forms_read_whole_words():
+    assert quality.word_form(b"AbcDefGhIjK1") != quality.word_form(b"AbcDefGhIj--9")
+    assert quality.word_form(b"aaBB12--!") == b"aA0-!" and quality.word_form("éÉ１".encode()) == b"aA0"
+    assert len(quality.word_form(b"aB" * 100_000)) == 200_000
+
+
+def test_training_follows_the_regularised_leader():
+    """Against the published per-coordinate updates, one coordinate at a time."""
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 12, 5)), int(rng.integers(0, 2))) for _ in range(40)]
+    model = quality.FollowTheLeader(12)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= model.l1 else -(z[i] - np.sign(z[i]) * model.l1) / ((model.beta + np.sqrt(n[i])) / model.alpha + model.l2)
+
+    for at, y in rows:
+        x = rng.uniform(0.2, 1, len(at))
+        model.learn(at, x, y)
+        pairs = [*zip(at.tolist(), x, strict=True), (12, 1.0)]
+        w = {i: weight(i) for i, _ in pairs}
+        p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in pairs)))
+        for i, v in pairs:
+            g = (p - y) * v
+            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / model.alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    assert np.allclose(model.frozen(), [weight(i) for i in range(13)], atol=1e-6)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 105, n).astype(np.uint8)) for n in (64, 9, 31, 64, 1)]
+    data, valid, _ = languages.windows_of(texts)
+    label, net = np.array([0, 1, 2, 1, 0]), languages.Network(["a", "b", "c"])
+    grads, _ = net.gradients(data, valid, label)
+    for p, g in zip(net.params, grads, strict=True):
+        size = float((g.astype(float) ** 2).sum())
+        step = np.float32(0.02 / np.sqrt(size))
+        held = p.copy()
+        losses = []
+        for sign in (1, -1):
+            p[...] = held + sign * step * g
+            losses.append(net.gradients(data, valid, label)[1])
+        p[...] = held
+        assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(size, rel=0.03)
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, chr(97 + i % 26) * 3 + " " + str(i), f"l{i % 300:03d}") for i in range(1500)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("doc_id", "binary(text) AS text", "lang", "false AS held_out")
+    names, slices = languages.examples(own, 400)
+    seen = [x for _, label in slices() for x in label]
+    assert names == [f"l{i:03d}" for i in range(300)] and set(seen) == set(range(300))
+    odd = own.selectExpr("if(doc_id % 2 = 0, null, cast(doc_id AS string)) AS doc_id", "text", "lang", "held_out")
+    assert sum(len(label) for _, label in languages.examples(odd, 400)[1]()) == 1500
+
+
+def test_slices_do_not_change_what_is_learnt_from(docs, spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    own = docs.selectExpr("doc_id", "binary(text) AS text")
+    read = lambda: sorted((y, a.tolist()) for part in quality.examples(own, labels, "doc_id", "quality", 40)()  for a, _, y in part)
+    whole = read()
+    monkeypatch.setattr(quality, "SLICE", 500)
+    assert read() == whole and len(whole) > 30
+
+
+def test_rows_of_one_id_are_bounded(spark):
+    many = spark.range(50_000).selectExpr("7L AS doc_id", "binary(concat('w', id)) AS text")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1)], "doc_id long, quality int")
+    assert sum(len(part) for part in quality.examples(many, labels, "doc_id", "quality", 100)()) == 100
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     for made in (quality.quality_scores(empty, labels), languages.language_ids(empty), fp.fingerprints(empty), mixing.mix(empty), token_counts.token_counts(empty, path("word_bpe_49k.json")), jaccard.near_classes(empty), substrings.substring_dedup(empty), licences.licence_scan(empty), pieces.encode_pieces(empty, path("piece_bpe_32k.model"))):
