@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import uuid
 from hashlib import blake2b
 from pathlib import Path
 
@@ -156,6 +157,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as Parquet: for large tables of which later steps read some columns."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """64 bits that tell apart rows of unequal id or text; equal rows share them, and every decision here is the same for equal rows."""
     return F.xxhash64(F.col(doc_id), F.col(text))

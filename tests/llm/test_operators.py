@@ -263,16 +263,18 @@ def test_fingerprints_are_homomorphic():
     assert tuple(map(str, fp.read_back(fp.written(whole)))) == tuple(map(str, whole))
 
 
-def test_token_counts(docs):
+@pytest.mark.parametrize(("room", "name"), [(1 << 24, "word_bpe_49k.json"), (600, "word_bpe_49k.json"), (600, "byte_bpe_50k.json")])
+def test_token_counts(docs, spark, room, name, monkeypatch):
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(path("word_bpe_49k.json"))
-    odd = ["a<|endoftext|>b", " x y\x1cz", "I'LL İΣ ΑΣ", "'s ſ 123 ４５ ⅷ ́a", "a<|END", "__ - a_b"]
-    counts = token_counts.PieceCounts(path("word_bpe_49k.json"))
-    for t in odd:
-        assert counts.count(t.encode()) == len(lib.encode(t, add_special_tokens=False).ids)
-    got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, path("word_bpe_49k.json")).collect())
-    assert got == Counter((i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in corpus())
+    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", room)
+    lib = Tokenizer.from_file(path(name))
+    odd = ["a<|endoftext|>b", " x y\x1cz", "I'LL İΣ ΑΣ", "'s ſ 123 ４５ ⅷ ́a", "a<|END", "__ - a_b", "x'll''s é\u00ad\u00b5\u00aa2²", "don't we're ''s 's", "ÀÉ Ǆ ŉ", "a" * 3000]
+    odd += ["".join(random.Random(k).choice("aB1é'sſ., -_<|\n\u00a0\u00df\u01c5²") for _ in range(60)) for k in range(60)]
+    frame = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(frame, path(name)).collect())
+    rows = [(1000 + i, t) for i, t in enumerate(odd)] + [r[:2] for r in corpus()]
+    assert got == Counter((i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
 
 
 def test_pieces_round_trip_and_viterbi(docs, spark):
