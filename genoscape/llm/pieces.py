@@ -11,20 +11,23 @@ The best path of a text is the concatenation of the best paths of its chunks (a
 the markers before it, a newline), because no piece holds a marker after another character
 and none holds a newline; both are checked when a vocabulary is loaded. Chunks repeat, so
 their paths are kept in a bounded table, and the missing ones of a batch are searched
-together: one step of the trie moves all of them.
+together: one step of the trie moves all of them. Long ones are walked on their own.
 
 Log scores: a unigram vocabulary brings its own. In a merge vocabulary (piece_bpe_32k.model)
 the scores are merge ranks; there a piece's log score is that of Zipf's law,
 -log(rank + 1) - log(H), which is documented here as this operator's reading of the file.
 
-Defined results: a null text counts as empty and has no pieces. Repeated rows are kept, an
-empty table gives an empty result, columns other than the id and the text are not read.
+Defined results: a null text counts as empty and has no pieces. Paths that tie: the one whose
+last piece is longer. Very long texts and words take time in proportion to their length.
+Repeated rows are kept, an empty table gives an empty result, columns other than the id and
+the text are not read and may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,6 +41,8 @@ from .words import TABLE_LIMIT, reachable_by_workers, tidy
 MARK = "▁".encode()
 #: Below the worst piece by so much is a character that falls back to its bytes.
 FALLBACK_PENALTY = 10.0
+#: Chunks above this many bytes are walked one by one.
+LONG = 2048
 _RUN = re.compile(rb" *[^ \n]+|\n| +")
 
 
@@ -123,6 +128,9 @@ class Vocabulary:
         marked = [re.sub(rb" ", MARK, c.replace(MARK, b"\xff" * 3)) for c in chunks]
         by_size: dict[int, list[int]] = {}
         for k, c in enumerate(marked):
+            if len(c) > LONG:
+                out[k] = self._walk(c)
+                continue
             by_size.setdefault(max(8, 1 << (len(c) - 1).bit_length()) if c else 0, []).append(k)
         for width, group in by_size.items():
             most = max(1, 600_000 // max(1, width))
@@ -176,6 +184,38 @@ class Vocabulary:
                 at -= n
         return [tuple(chain.from_iterable(reversed(p))) for p in paths]
 
+    def _walk(self, chunk: bytes) -> tuple[int, ...]:
+        """The same path of one long chunk, byte by byte: the time grows with its length."""
+        n = len(chunk)
+        best, came, piece = array("d", [-np.inf]) * (n + 1), array("i", bytes(4)) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        base, check, value, scores, top = *(array("i", a.tobytes()) for a in (self.trie.base, self.trie.check, self.trie.value)), array("d", self.scores.tobytes()), len(self.trie.check)
+        s = 0
+        while s < n:
+            lead = chunk[s]
+            step = min(n, s + (3 if lead >= 0xFE else 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1))
+            while step < n and lead < 0xFE and chunk[step] & 0xC0 == 0x80:  # a stray continuation belongs to the character before it
+                step += 1
+            here = best[s]
+            if here + self.worst > best[step]:
+                best[step], came[step], piece[step] = here + self.worst, step - s, -1
+            state, e = 0, s
+            while e < n:
+                to = base[state] + chunk[e]
+                if to >= top or to <= 0 or check[to] != state:
+                    break
+                state, e = to, e + 1
+                if (number := value[state]) >= 0 and here + scores[number] > best[e]:
+                    best[e], came[e], piece[e] = here + scores[number], e - s, number
+            s = step
+        path, at = [], n
+        while at:
+            size, p = came[at], piece[at]
+            raw = chunk[at - size : at]
+            path.append((self.numbers[self.ids[p]],) if p >= 0 else tuple(self.numbers[self.byte_ids[b]] for b in (MARK if raw == b"\xff" * 3 else raw)))
+            at -= size
+        return tuple(chain.from_iterable(reversed(path)))
+
     @staticmethod
     def _inside(data: np.ndarray) -> np.ndarray:
         """For rows 1 on: whether a byte of a run of \\xff isn't the first of its three."""
@@ -204,6 +244,9 @@ class Vocabulary:
             new = list(missing)
             self.table.update(zip(new, self.search(new), strict=True))
             out.extend(list(chain.from_iterable(map(self.table.__getitem__, chunks))) for chunks in waiting)
+            for c in new:
+                if len(c) > LONG:  # they hardly come again
+                    del self.table[c]
             missing.clear()
             waiting.clear()
             if len(self.table) > TABLE_LIMIT:  # two generations: what isn't used again goes with the older

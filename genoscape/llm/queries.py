@@ -81,7 +81,7 @@ def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep=False)
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
