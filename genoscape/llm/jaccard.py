@@ -23,7 +23,8 @@ than two blocks, and nothing is dropped or capped.
 Defined results: null texts and texts without words have the empty set, link with nothing
 and are their own component. With fewer words than n the whole sequence is the one n-gram.
 Rows that repeat, also with one id, are one class; the component of a row with a null id is
-the smallest id of its class, else null. Only id and text are read.
+the smallest id of its component, else null. Very long texts are sets like all others, held
+by one task at a time. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .repeats import repeated
 from .sketches import Levels, bloom_of, levels_of
-from .words import U64, cut, reachable_by_workers, text_hashes, tidy, window_hashes
+from .words import U64, cut, reachable_by_workers, salted_join, text_hashes, tidy, window_hashes
 
 BLOCK = 512
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -221,7 +222,8 @@ def _join_blocks(num: int, den: int):
 
 
 def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and k (row key) of every document; a link is a Jaccard index of num/den or more of word n-grams."""
+    """doc_id, n_shingles, component_id, k (row key) and stays (is it the first of its component) of every document; a link is a
+    Jaccard index of num/den or more of word n-grams. Rows that are equal in id and text share k and stays."""
     spark = docs.sparkSession
     reachable_by_workers(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -314,7 +316,13 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
         more = linked(far.select("cluster", F.col("one.block").alias("i"), F.col("two.block").alias("j")), held)
         if more.limit(1).count():
             labels = components(edges.unionByName(more))
-    joined = rows.drop("head").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    joined = cut(joined)
-    low = joined.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("low"))
-    return joined.join(low, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"), "k")
+    # a class and a component are named by their first row: by id, null last, then by key
+    known = rows.where("sig IS NOT NULL").drop("head")
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k")
+    classes = known.groupBy("sig").agg(F.min(row).alias("low"), F.count("*").alias("n"))
+    named = cut(classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    first = named.groupBy("label").agg(F.min("low").alias("first"), F.count("*").alias("n"))
+    named = cut(salted_join(named, first.select("label", "first"), first.select("label", "n"), "label", F.xxhash64("sig")))
+    joined = salted_join(known, named.select("sig", "first"), named.select("sig", "n"), "sig", F.col("k"))
+    out = joined.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "k", (F.col("k") == F.col("first.k")).alias("stays"))
+    return out.unionByName(rows.where("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k", F.lit(True).alias("stays")))

@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, d
     # equal rows are counted before they meet, then numbered, so that a chunk stays small whatever repeats
     rows = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("m")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     at = F.struct("source").alias("at")  # null sources meet too
-    rows = salted_join(rows.select("*", at), goal.select(at, "n", "source_size", "target"), goal.select(at, "n"), "at", "key")
+    rows = salted_join(rows.select("*", at), goal.select(at, "n", "source_size", "target"), goal.select(at, "n"), "at", F.col("key"))
     rows = rows.select("doc_id", "source", "size", "key", F.xxhash64("doc_id", "source", "key", "nth").alias("salt"), "nth", "source_size", "target", whole.alias("base"), F.greatest(F.lit(0.0), wanted - whole).alias("p"), "n")
     rows = rows.withColumn("p", F.when((F.col("size") == 0) | (F.col("p") < _EPS), 0.0).otherwise(F.col("p")))
     fields = [c for c in rows.columns if c != "n"]
@@ -136,7 +136,7 @@ def sources_and_targets(docs: DataFrame, doc_id: str = "doc_id", source: str = "
     """doc_id, size, source_size and target (to three places) of every document, without drawing any."""
     sizes = cut(sized(docs, doc_id, source, text))
     goal, at = targets(sizes), F.struct("source").alias("at")
-    rows = salted_join(sizes.select("*", at), goal.select(at, "source_size", F.round("target", 3).alias("target")), goal.select(at, "n"), "at", "key")
+    rows = salted_join(sizes.select("*", at), goal.select(at, "source_size", F.round("target", 3).alias("target")), goal.select(at, "n"), "at", F.col("key"))
     return rows.select("doc_id", "size", "source_size", "target")
 
 

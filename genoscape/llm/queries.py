@@ -64,7 +64,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("k")
+    return near_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("k", "stays")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

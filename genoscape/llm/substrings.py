@@ -13,14 +13,14 @@ share an anchor. Hence
    words are removed.
 
 Frequent hashes are counted where they lie before they are shuffled, places are matched by
-a semi join that splits skewed keys, and no pairs are made. Step 2 finds the anchors by a
+a semi join that deals the places of frequent windows to all tasks, and no pairs are made. Step 2 finds the anchors by a
 Bloom filter if that is small enough to send, else by a join; a false anchor only adds
 windows that step 2 then finds unrepeated. Hashes have 64 bits.
 
 Defined results: a null text has no words. Rows that repeat (even the id) are different
 places, so their windows of ``width`` words are repeated. Texts with fewer words have no
-window. An empty table gives an empty result; columns other than id and text are not read
-(``deduplicated`` returns them).
+window. Very long texts are hashed whole, one at a time. An empty table gives an empty result;
+columns other than id and text are not read (``deduplicated`` returns them, whatever their names).
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .repeats import repeated
 from .sketches import bloom_of
-from .words import cut, reachable_by_workers, text_hashes, tidy, window_hashes
+from .words import cut, reachable_by_workers, salted_join, text_hashes, tidy, window_hashes
 
 WIDTH = 35
 #: Perfect difference sets by period.
@@ -116,11 +116,12 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["w", "k", "start"])
 
         places = keyed.mapInArrow(tidy(placed), "w long, k long, start int")
-        again = repeated(keyed.select("t"), hashed).select(F.col("h").alias("w"))
+        again = cut(repeated(keyed.select("t"), hashed).select(F.col("h").alias("w"), F.col("c").alias("n")))
     else:
         places = _extended_by_join(keyed, twice, width)
-        again = places.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    return places.join(again, "w", "left_semi").groupBy("k").agg(F.collect_set("start").alias("starts"))
+        again = cut(places.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    # a window that stands in very many places is met by several tasks
+    return salted_join(places, again.select("w"), again, "w", F.xxhash64("k", "start"), "left_semi").groupBy("k").agg(F.collect_set("start").alias("starts"))
 
 
 def _extended_by_join(keyed: DataFrame, twice: DataFrame, width: int) -> DataFrame:

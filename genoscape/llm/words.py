@@ -169,11 +169,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def salted_join(rows: DataFrame, table: DataFrame, counts: DataFrame, on: str, salt: str, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, counts: DataFrame, on: str, salt, how: str = "inner") -> DataFrame:
     """rows joined to a table whose ``on`` is unique; a key with more rows than a task's fair share is dealt to all tasks.
 
     counts: ``on`` and how many rows have it (n). At most 4 keys a task can be that hot, whatever the data, so these
-    are collected; their entries of the table are sent once for each salt. ``salt`` is a 64-bit column of rows that
+    are collected; their entries of the table are sent once for each salt. ``salt`` is a 64-bit value of rows that
     differs within a hot key."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -184,6 +184,6 @@ def salted_join(rows: DataFrame, table: DataFrame, counts: DataFrame, on: str, s
         return rows.join(table, on, how)
     held = F.broadcast(spark.createDataFrame(found, hot.schema))
     here = F.col("__k").isNotNull()
-    left = rows.join(held, F.col(on) == F.col("__k"), "left").withColumn("__salt", F.when(here, F.pmod(F.col(salt), F.lit(parts))).otherwise(0).cast("int")).drop("__k")
+    left = rows.join(held, F.col(on) == F.col("__k"), "left").withColumn("__salt", F.when(here, F.pmod(salt, F.lit(parts))).otherwise(0).cast("int")).drop("__k")
     right = table.join(held, F.col(on) == F.col("__k"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(here, F.lit(parts - 1)).otherwise(0)))).drop("__k")
     return left.join(right, [on, "__salt"], how).drop("__salt")
