@@ -2,7 +2,8 @@
 
 Every round is a few joins and aggregations over the edges, whose number never grows;
 after a number of rounds that is about the logarithm of the longest path each node hangs
-on the smallest node of its component. Nothing is collected but two sums per round."""
+on the smallest node of its component. Nothing is collected but two sums per round; they also
+say how few partitions hold a round's edges, so that many small files aren't written for few edges."""
 
 from __future__ import annotations
 
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 
 from .words import cut
 
+#: Edges that a partition holds at least, if there are as many.
+EDGES = 20_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label (smallest node of its component) of every node that has an edge to another."""
     now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct())
-    seen = None
+    seen, parts = None, max(1, -(-now.count() // EDGES))
+    now = now.coalesce(parts)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -24,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small stars: a node and its smaller neighbours are hung on the smallest of these
         low = now.groupBy("a").agg(F.min("b").alias("m"))
         hung = now.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        now = cut(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             break

@@ -321,8 +321,8 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k")
     classes = known.groupBy("sig").agg(F.min(row).alias("low"), F.count("*").alias("n"))
     named = cut(classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
-    first = named.groupBy("label").agg(F.min("low").alias("first"), F.count("*").alias("n"))
-    named = cut(salted_join(named, first.select("label", "first"), first.select("label", "n"), "label", F.xxhash64("sig")))
-    joined = salted_join(known, named.select("sig", "first"), named.select("sig", "n"), "sig", F.col("k"))
-    out = joined.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "k", (F.col("k") == F.col("first.k")).alias("stays"))
+    first = cut(named.groupBy("label").agg(F.min("low").alias("first"), F.count("*").alias("n")).select("label", F.col("first.doc_id").alias("low_id"), F.col("first.k").alias("low_k"), "n"))
+    named = cut(salted_join(named.select("sig", "label", "n"), first.drop("n"), first.select("label", "n"), "label", F.xxhash64("sig")))
+    joined = salted_join(known, named.select("sig", "low_id", "low_k"), named.select("sig", "n"), "sig", F.col("k"))
+    out = joined.select("doc_id", "n_shingles", F.col("low_id").alias("component_id"), "k", (F.col("k") == F.col("low_k")).alias("stays"))
     return out.unionByName(rows.where("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k", F.lit(True).alias("stays")))

@@ -199,12 +199,16 @@ def train(names: list[str], slices: Callable[[], Iterable[tuple[list[bytes], lis
 def examples(own: DataFrame, sample: int) -> tuple[list[str], Callable[[], Iterable[tuple[list[bytes], list[int]]]]]:
     """All languages of the training rows, and the sample's windows, slice by slice; the sample depends on ids and texts alone."""
     rows = own.where(F.col("lang").isNotNull() & ~F.col("held_out") & (F.length("text") > 0)).select(F.xxhash64("doc_id", "text").alias("k"), "lang", "text")
-    # a task sends at most as many hashes of a language as the sample can take, no texts
-    own_names = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    names = [r["lang"] for r in own_names.select("lang").orderBy(F.col("lang").cast("binary")).collect()]
+    found = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("k").alias("low")).orderBy(F.col("lang").cast("binary")).collect()}  # one row a language
+    names = list(found)
     each = max(LEAST, sample // max(1, len(names)))
+    # a row needs a small hash to be looked at: of a language with very many rows about 8 times the sample's share are;
+    # its smallest hash always is, so that a language whose rows are all alike is not lost
+    reach = {k: min(1.0, 8 * each / r["n"]) for k, r in found.items()}
+    limits = F.create_map(*[F.lit(x) for k, v in reach.items() for x in (k, max(found[k]["low"], (1 << 63) - 1 if v == 1 else int(v * 2.0**64) - (1 << 63)))])
     place = F.row_number().over(W.partitionBy("lang").orderBy("k"))
-    picked = cut(rows.select("k", "lang").distinct().withColumn("place", place).where(F.col("place") <= each).drop("place"))
+    narrow = rows.select("k", "lang").where(F.col("k") <= limits[F.col("lang")]) if names else rows.select("k", "lang")
+    picked = cut(narrow.distinct().withColumn("place", place).where(F.col("place") <= each).drop("place"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
