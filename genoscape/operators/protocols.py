@@ -263,9 +263,11 @@ TOKENS = Operator.of(
     WHEN marker_pos = 1 AND dosage = 2 THEN '2' ELSE CASE dosage WHEN 0 THEN 'AA' WHEN 1 THEN 'AG' WHEN 2 THEN 'GG' ELSE 'NN' END END AS token FROM dosage_long""", dosage_long=DOSAGE)
 #: Tokens that stand for no call.
 MISSING = "'', 'NA', 'N/A', 'N', 'NN', '-9', '.', '?', 'nan', 'NaN'"
+#: What counts as a number: digits with single underscores between them, a point, an exponent; no type letters (1d).
+_NUMERAL = "'^[+-]?([0-9]+(_[0-9]+)*[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
 PARSED = Operator.of(
-    f"""SELECT genotype_id, marker_pos, token, CASE WHEN token IN ({MISSING}) THEN 'missing' WHEN NUMBER(token) IN (0, 1, 2) THEN 'numeric' ELSE 'categorical' END AS kind
-    FROM (SELECT genotype_id, marker_pos, trim(token) AS token FROM tokens) AS t""", tokens=TOKENS)
+    f"""SELECT genotype_id, marker_pos, token, CASE WHEN token IN ({MISSING}) THEN 'missing' WHEN MATCHES(token, {_NUMERAL}) AND NUMBER(replace(token, '_', '')) IN (0, 1, 2) THEN 'numeric' ELSE 'categorical' END AS kind
+    FROM (SELECT genotype_id, marker_pos, STRIPPED(token) AS token FROM tokens) AS t""", tokens=TOKENS)
 #: The rarest character of a marker's categorical tokens, ties by character.
 MINOR = Operator.of(
     """SELECT marker_pos, allele AS minor FROM (SELECT marker_pos, allele, row_number() OVER (PARTITION BY marker_pos ORDER BY n, allele) AS place
@@ -273,7 +275,7 @@ MINOR = Operator.of(
     GROUP BY marker_pos, substr(token, i, 1)) AS a) AS r WHERE place = 1""", parsed=PARSED)
 #: A marker with any categorical token is categorical, and its numeric tokens are missing.
 TOKEN_CODES = Operator.of(
-    """SELECT p.genotype_id, p.marker_pos, CASE WHEN p.kind = 'missing' THEN NULL WHEN m.minor IS NULL THEN cast(NUMBER(p.token) AS integer) WHEN p.kind = 'numeric' THEN NULL
+    """SELECT p.genotype_id, p.marker_pos, CASE WHEN p.kind = 'missing' THEN NULL WHEN m.minor IS NULL THEN cast(NUMBER(replace(p.token, '_', '')) AS integer) WHEN p.kind = 'numeric' THEN NULL
     WHEN substr(p.token, 1, 1) = m.minor THEN 1 ELSE 0 END + CASE WHEN m.minor IS NOT NULL AND length(p.token) > 1 AND substr(p.token, 2, 1) = m.minor THEN 1 ELSE 0 END AS dosage
     FROM parsed AS p LEFT JOIN minor ON p.marker_pos = minor.marker_pos""".replace("m.minor", "minor.minor"), parsed=PARSED, minor=MINOR)
 #: At most 400 genotypes in hash order, each with its next 75 on the ring; similarity over markers called in both.

@@ -20,6 +20,7 @@ MACROS = {
     "BUCKET": ("cast(conv(substr(sha2({0}, 256), 1, 8), 16, 10) AS bigint) % {1}", "cast('0x' || substr(sha256({0}), 1, 8) AS bigint) % {1}"),
     "FIELD": ("get_json_object({0}, '$.{1}')", "json_extract_string({0}, '$.{1}')"),
     "NUMBER": ("try_cast({0} AS double)", "try_cast({0} AS double)"),
+    "STRIPPED": ("btrim({0}, ' \t\n\r\f\v')", "trim({0}, ' \t\n\r\f\v')"),
     "JOINED": ("array_join(array_sort(collect_list({0})), {1})", "array_to_string(list_sort(list({0})), {1})"),
     "MATCHES": ("regexp_like({0}, {1})", "regexp_matches({0}, {1})"),
     "REPLACED": ("regexp_replace({0}, {1}, '$2_$1')", "regexp_replace({0}, {1}, '\\2_\\1')"),

@@ -82,3 +82,10 @@ def test_presence_is_thinned_evenly(spark):
     kept = study.PRESENCE.on(spark, genotype_presence=study.GENOTYPE_PRESENCE.on(spark, phenotypes=rows))
     want = np.linspace(0, 1999, 650).astype(int).tolist()
     assert sorted(r.place for r in kept.collect()) == want
+
+
+def test_tokens_are_stripped_and_type_letters_are_no_numbers(spark):
+    want = {"1d": "categorical", "2f": "categorical", "NN\t": "missing", "\tAA": "categorical", "1_0": "categorical", " 1.0 ": "numeric", "2\n": "numeric", "+1e0": "numeric", "": "missing", "nan": "missing"}
+    rows = spark.createDataFrame([("G", i, t) for i, t in enumerate(want)], "genotype_id string, marker_pos int, token string")
+    got = protocols.PARSED.on(spark, tokens=rows).collect()
+    assert {list(want)[r.marker_pos]: r.kind for r in got} == want
