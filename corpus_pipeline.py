@@ -29,8 +29,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Repeated rows get one verdict each, the same; of languages that tie the first by name counts. Very long texts are
     read whole. Without any training language all are rejected. An empty table stays empty."""
-    held = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    return language_ids(held, carry=["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    # numbered names: columns of documents may have the names of the results
+    held = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {name: f"c{docs.columns.index(name)}" for name in ("doc_id", "text", "lang")}
+    known = language_ids(held, at["doc_id"], at["text"], at["lang"], carry=held.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return known.select(*[F.col(new).alias(old) for new, old in zip(held.columns, docs.columns, strict=True)])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,11 +238,16 @@ def language_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang"), held_out(doc_id, 3, 1).alias("held_out"))
     network = train(*examples(own, sample))
 
+    front = [F.col(c) for c in carry] if carry is not None else [F.col(doc_id).alias("doc_id"), held_out(doc_id, 3, 1).alias("held_out")]
+    sent = carry is not None and text in carry  # then the text is read from its own column, not sent twice
+    shown = docs.select(*front, *[] if sent else [F.col(text).alias("__text")])
+    at, n = (carry.index(text) if sent else len(front)), len(front)
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 400):
                 batch = whole.slice(a, 400)
-                texts = batch.column(0).to_pylist()
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
                 names, scores = ["und"] * len(texts), [0.0] * len(texts)
                 known = [k for k, t in enumerate(texts) if has_letter(t)] if network else []
                 if known:
@@ -251,9 +256,7 @@ def language_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
                         names[k] = network.names[best]
                     for k, top in zip(known, p.max(axis=1).tolist(), strict=True):
                         scores[k] = min(1.0, top)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:n], "lang_pred", "score"])
 
-    front = [F.col(c) for c in carry] if carry is not None else [F.col(doc_id).alias("doc_id"), held_out(doc_id, 3, 1).alias("held_out")]
-    shown = docs.select(F.col(text).cast("binary").alias("__bytes"), *front)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[1:])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:n])
     return shown.mapInArrow(tidy(label), f"{schema}, lang_pred string, score double")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Entries of one generation of a worker's word table; two are kept (about 30 MB).
 TABLE_LIMIT = 80_000
+#: Bytes of a batch that goes to a Python worker: JVM and worker both hold one a task, so rows alone are no bound for long texts.
+BATCH, _BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Up to this many rows of one key are no burden to a task.
 FAIR_SHARE = 1000
 _P = 0x9E3779B97F4A7C15 | 1
@@ -130,7 +132,9 @@ def tidy(work):
 
 
 def reachable_by_workers(spark: SparkSession) -> None:
-    """Lets Python workers that share this file system import the package."""
+    """Lets Python workers that share this file system import the package, and bounds their batches unless the session does."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, BATCH)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
