@@ -48,3 +48,31 @@ LICENCE_PHRASES = """WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     WHEN a = 'cc' AND b = 'by' THEN 'cc-by' WHEN a = 'mit' AND b = 'license' THEN 'mit' END AS l FROM runs WHERE l IS NOT NULL),
     found AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT l, ',' ORDER BY l) AS labels FROM places GROUP BY r)
     SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN found ON d.r = found.r"""
+
+#: crc32 by its table of 256 entries, which follow from the reversed polynomial.
+RESAMPLING = """WITH crc AS (SELECT list(list_reduce(range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, c) ORDER BY c) AS t FROM range(256) AS r(c)),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    target AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS g FROM benchmark),
+    grams AS (SELECT r, unnest(w) AS g FROM docs),
+    known AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM grams UNION SELECT g FROM target)),
+    buckets AS (SELECT g, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT), lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1]), 4294967295), 4294967295) % 10000 AS b FROM known, crc),
+    s AS (SELECT b, count(*) AS n FROM grams JOIN buckets ON grams.g = buckets.g GROUP BY b),
+    t AS (SELECT b, count(*) AS n FROM target JOIN buckets ON target.g = buckets.g GROUP BY b),
+    sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+    gains AS (SELECT buckets.g, floor(1000 * ln((coalesce(t.n, 0) + 1) * (sums.s + 10000) / ((coalesce(s.n, 0) + 1) * (sums.t + 10000))))::BIGINT AS gain
+    FROM buckets LEFT JOIN s ON buckets.b = s.b LEFT JOIN t ON buckets.b = t.b CROSS JOIN sums),
+    weights AS (SELECT r, sum(gain) AS weight FROM grams JOIN gains ON grams.g = gains.g GROUP BY r),
+    scored AS (SELECT docs.r, doc_id, len(w) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM docs LEFT JOIN weights ON docs.r = weights.r),
+    places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM scored LEFT JOIN places ON scored.r = places.r"""
+
+NEAR_VECTORS = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    valid AS (SELECT r, vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.r AS a, b.r AS b FROM valid AS a JOIN valid AS b ON a.label = b.label AND a.r < b.r AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    degrees AS (SELECT a, count(*) AS n FROM edges GROUP BY a),
+    reached AS (SELECT r AS a, r AS b FROM v UNION SELECT reached.a, edges.b FROM reached JOIN edges ON reached.b = edges.a),
+    roots AS (SELECT reached.a, min(x.vec_id) AS root FROM reached JOIN v AS x ON reached.b = x.r GROUP BY reached.a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, vec_id IS NOT DISTINCT FROM root AS kept FROM v JOIN roots ON v.r = roots.a LEFT JOIN degrees ON v.r = degrees.a"""

@@ -12,9 +12,11 @@ from .jaccard import near_classes
 from .languages import language_ids
 from .licences import licence_scan
 from .mixing import mix, sources_and_targets
+from .near_vectors import near_vectors
 from .neighbours import nearest
 from .pieces import encode_pieces
 from .quality import quality_scores
+from .resampling import resampled
 from .substrings import substring_dedup
 from .token_counts import token_counts
 
@@ -84,9 +86,17 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1, most=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op7_jaccard, op8_substrings, op9_licences, op10_pieces, mixing_targets, fingerprint_edits, licence_phrases)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_fingerprints, op4_neighbours, op5_mixing, op6_token_counts, op7_jaccard, op8_substrings, op9_licences, op10_pieces, op11_resampling, op12_near_vectors, mixing_targets, fingerprint_edits, licence_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": oracles.JACCARD, "op8_substrings": oracles.SUBSTRINGS, "mixing_targets": oracles.MIXING_TARGETS, "fingerprint_edits": oracles.FINGERPRINT_EDITS, "licence_phrases": oracles.LICENCE_PHRASES}
+    return {"op7_jaccard": oracles.JACCARD, "op8_substrings": oracles.SUBSTRINGS, "op11_resampling": oracles.RESAMPLING, "op12_near_vectors": oracles.NEAR_VECTORS, "mixing_targets": oracles.MIXING_TARGETS, "fingerprint_edits": oracles.FINGERPRINT_EDITS, "licence_phrases": oracles.LICENCE_PHRASES}
