@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of a text's paragraphs.
 
 A text is the multiset of its paragraphs, which newlines part (a newline belongs to neither
-side). Each paragraph is hashed to a wide vector and the vectors are summed modulo powers of
+side). Each paragraph's bytes are hashed to a wide vector of 512 bits and the vectors are summed modulo powers of
 two, so the fingerprint does not depend on the order of paragraphs, and a paragraph is inserted
 or deleted by one addition or subtraction (``combine``). For likeness, paragraphs that are not
 blank are also cut into pieces, after words chosen by their hash, so that an edit changes only
@@ -28,6 +28,7 @@ import hashlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,44 +36,52 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, _powers, hash64, mix, reachable_by_workers, tidy, word_hashes
+from .words import U64, hash64, mix, reachable_by_workers, tidy, word_hashes
 
 WIDE, LEVELS, LANES = 8, 8, 16
 #: A piece ends after about one word in so many.
 CUT_EVERY = 12
+#: Words of a piece that are chained; longer pieces are hashed as a whole.
+CHAIN = 64
 _NEWLINE, _EMPTY, _COUNT = U64(hash64(b"\n")), U64(hash64(b"")), 1 << 32
-_SALTS = np.arange(1, WIDE + 1, dtype=U64) * U64(0xD1342543DE82EF95)
 
 
-def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the paragraphs and of the pieces of those that are not blank, in order."""
+def paragraph_vectors(text: bytes) -> np.ndarray:
+    """[paragraphs, WIDE]: independent bits for each sum, from a hash of the paragraph's bytes."""
     if not text:
-        return np.empty(0, U64), np.empty(0, U64)
-    words = word_hashes(text.replace(b"\n", b" \n ").split(b" "))  # a newline is a word of its own
-    n = len(words)
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(words * up[:n], out=sums[1:])
+        return np.empty((0, WIDE), U64)
+    return np.frombuffer(b"".join(blake2b(p, digest_size=8 * WIDE).digest() for p in text.split(b"\n")), "<u8").reshape(-1, WIDE)
 
-    def runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return mix((sums[last + 1] - sums[first]) * down[first] + (last - first + 1).astype(U64))
 
+def pieces_of(text: bytes) -> np.ndarray:
+    """64-bit hashes of the pieces of the paragraphs that are not blank, in order."""
+    if not text:
+        return np.empty(0, U64)
+    words = word_hashes(text.replace(b"\n", b" \n ").split(b" "))  # a newline is a word of its own
     line = words == _NEWLINE
-    at = np.flatnonzero(line)
-    paragraphs = runs(np.concatenate(([0], at + 1)), np.concatenate((at - 1, [n - 1])))
     ends = (words >> U64(32)) % U64(CUT_EVERY) == 0
-    ends[at - 1] = True
+    ends[np.flatnonzero(line) - 1] = True
     ends[-1] = True
     last = np.flatnonzero(ends & ~line)
     first = np.concatenate(([0], last[:-1] + 1))
     first += line[first]
     written_on = (first < last) | (words[first] != _EMPTY)
-    return paragraphs, runs(first[written_on], last[written_on])
-
-
-def sums_of(paragraphs: np.ndarray, pieces: np.ndarray, sign: int = 1):
+    first, last = first[written_on], last[written_on]
+    # a chain over the words of each piece, one place after the other for all pieces that are as long
+    length, found = last - first + 1, np.zeros(len(first), U64)
+    order = np.argsort(-length, kind="stable")
+    longer = np.searchsorted(-length[order], -np.arange(min(CHAIN, int(length.max(initial=0)))), "left")
+    for k, n in enumerate(longer.tolist()):
+        at = order[:n]
+        found[at] = mix(found[at] + words[first[at] + k] + U64(0x9E3779B97F4A7C15))
+    for i in order[: int(np.searchsorted(-length[order], -CHAIN, "left"))].tolist():
+        found[i] = hash64(words[first[i] : last[i] + 1].tobytes())
+    return found
+
+
+def sums_of(vectors: np.ndarray, pieces: np.ndarray, sign: int = 1):
     """((paragraphs, pieces), wide sums, lane sums); sign -1 deletes them."""
-    wide = mix(paragraphs[:, None] + _SALTS[None, :]).sum(axis=0, dtype=U64) if len(paragraphs) else np.zeros(WIDE, U64)
+    wide = vectors.sum(axis=0, dtype=U64)
     lanes = np.zeros(LEVELS * LANES, np.uint32)
     if len(pieces):
         low = pieces & U64((1 << (LEVELS - 1)) - 1)
@@ -80,12 +89,12 @@ def sums_of(paragraphs: np.ndarray, pieces: np.ndarray, sign: int = 1):
         at = level * LANES + ((pieces >> U64(20)) % U64(LANES)).astype(np.int64)
         np.add.at(lanes, at, (mix(pieces ^ U64(0x5851F42D4C957F2D)) >> U64(32)).astype(np.uint32))
     if sign < 0:
-        return (-len(paragraphs) % _COUNT, -len(pieces) % _COUNT), U64(0) - wide, np.uint32(0) - lanes
-    return (len(paragraphs), len(pieces)), wide, lanes
+        return (-len(vectors) % _COUNT, -len(pieces) % _COUNT), U64(0) - wide, np.uint32(0) - lanes
+    return (len(vectors), len(pieces)), wide, lanes
 
 
 def text_sums(text: bytes, sign: int = 1):
-    return sums_of(*hashed(text), sign)
+    return sums_of(paragraph_vectors(text), pieces_of(text), sign)
 
 
 def combine(a, b):

@@ -305,9 +305,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     ids = classes.select("key", "m", "low")
     if found is not None:
         sums = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-        joined = components(found.where("b IS NOT NULL")).withColumnRenamed("node", "key")
+        joined = cut(components(found.where("b IS NOT NULL")).withColumnRenamed("node", "key"))
         low = joined.join(ids, "key").groupBy("label").agg(F.min("low").alias("root"))
-        roots = joined.join(low, "label").select("key", "root")
+        # a component of very many vectors is dealt to all tasks
+        roots = salted_join(joined, low, joined.groupBy("label").agg(F.count("*").alias("n")), "label", F.xxhash64("key")).select("key", "root")
         ids = ids.join(sums, "key", "left").join(roots, "key", "left")
     else:
         ids = ids.withColumns({"n": F.lit(0), "root": F.col("low")})

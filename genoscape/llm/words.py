@@ -11,6 +11,8 @@ import contextlib
 import ctypes
 import os
 import uuid
+from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 from pathlib import Path
 
@@ -68,41 +70,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes of a text, or values of a sequence, that are hashed at a time.
+SLICE = 1 << 18
+#: Longer words are hashed byte by byte: over many bytes a polynomial modulo 2**64 takes some unequal words for equal.
+LONG_WORD = 64
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]), 1 << 15)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_P, _P_INV)):
-                steps = np.full(size, base, U64)
-                steps[0] = 1
-                _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for one slice and a longest window beyond."""
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (_P, _P_INV):
+            steps = np.full(SLICE + 1, base, U64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _slices(text: bytes) -> Iterator[bytes]:
+    """The text in slices that end where a word does; one word alone may be longer than a slice."""
+    n, first = len(text), 0
+    while first < n:
+        last = min(first + SLICE, n)
+        if last < n and not _SPACE[text[last]]:
+            edge = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, last - first, first)])
+            if len(edge):
+                last = first + int(edge[-1]) + 1
+            else:
+                while last < n:
+                    more = min(SLICE, n - last)
+                    edge = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, more, last)])
+                    if len(edge):
+                        last += int(edge[0])
+                        break
+                    last += more
+        yield text[first:last] if first or last < n else text
+        first = last
+
+
 def text_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text, without making the words: polynomials of their bytes, from prefix sums."""
+    """A 64-bit hash of each word of a text: polynomials of their bytes, from prefix sums, without making the words; of long words a hash of their bytes."""
+    parts = [_slice_hashes(s) for s in _slices(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, U64)
+
+
+def _slice_hashes(text: bytes) -> np.ndarray:
     data = np.frombuffer(text, np.uint8)
     n = len(data)
-    if not n:
-        return np.empty(0, U64)
+    if n > SLICE:  # one word
+        return np.array([hash64(text.strip())], U64)
     edge = np.empty(n + 2, bool)
     edge[0] = edge[-1] = True
     np.take(_SPACE, data, out=edge[1:-1])
     at = np.flatnonzero(edge[1:] != edge[:-1])
     first, last = at[::2], at[1::2]
-    up, down = _powers(n)
+    up, down = _powers()
     sums = np.empty(n + 1, U64)
     sums[0] = 0
     np.multiply(data, up[:n], out=sums[1:])
     np.cumsum(sums[1:], out=sums[1:])
-    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    found = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    for i in np.flatnonzero(last - first > LONG_WORD).tolist():
+        found[i] = hash64(text[first[i] : last[i]])
+    return found
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -110,11 +145,17 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes)
     if n < width:
         return np.empty(0, U64)
-    up, down = _powers(n)
+    if width > LONG_WORD:
+        return np.fromiter((hash64(hashes[i : i + width].tobytes()) for i in range(n - width + 1)), U64, n - width + 1)
+    out, (up, down) = np.empty(n - width + 1, U64), _powers()
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(hashes * up[:n], out=sums[1:])
-        return mix((sums[width:] - sums[: n - width + 1]) * down[: n - width + 1] + U64(width))
+        for a in range(0, len(out), SLICE - LONG_WORD):
+            part = hashes[a : a + SLICE - LONG_WORD + width - 1]
+            m = len(part)
+            sums = np.zeros(m + 1, U64)
+            np.cumsum(part * up[:m], out=sums[1:])
+            out[a : a + m - width + 1] = mix((sums[width:] - sums[: m - width + 1]) * down[: m - width + 1] + U64(width))
+    return out
 
 
 def tidy(work):

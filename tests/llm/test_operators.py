@@ -65,6 +65,66 @@ def test_hashes_without_words_tell_words_apart():
     assert w[0] == w[3] and len(np.unique(w)) == 3
 
 
+def thue_morse(n: int, a: str, b: str) -> list[str]:
+    """n signs whose sums of powers of any odd base agree, modulo 2**64, with those of the mirror sequence, if n is large."""
+    return [(a, b)[k.bit_count() % 2] for k in range(n)]
+
+
+def test_hashes_tell_thue_morse_sequences_apart():
+    for n in (64, 1024, 4096, 1 << 19):
+        one, two = ("".join(thue_morse(n, *x)).encode() for x in ("ab", "ba"))
+        a, b = text_hashes(b"x " + one + b" y"), text_hashes(b"x " + two + b" y")
+        assert (a == b).tolist() == [True, False, True]
+        one, two = ((" ".join(thue_morse(n, *x))).encode() for x in (("cat", "dog"), ("dog", "cat")))
+        if n <= 4096:
+            assert window_hashes(text_hashes(one), n)[0] != window_hashes(text_hashes(two), n)[0]
+            sums = fp.text_sums(one), fp.text_sums(two)
+            assert fp.written(sums[0]) != fp.written(sums[1]) and fp.likeness(*sums) < 1
+
+
+def test_unequal_texts_with_equal_polynomials(spark):
+    words_of = [" ".join(thue_morse(1024, *x)) for x in (("cat", "dog"), ("dog", "cat"))]
+    rows = fp.fingerprints(spark.createDataFrame(list(enumerate(words_of)), "doc_id long, text string")).collect()
+    assert rows[0].fingerprint != rows[1].fingerprint and max(r.near_next for r in rows) < 1
+    long = ["".join(thue_morse(1024, *x)) for x in ("ab", "ba")]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_classes(docs, n=4, num=85, den=100).collect()} == {0: 0, 1: 1}
+    docs = spark.createDataFrame([(i, w + " same" * 34) for i, w in enumerate(long)], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.substring_dedup(docs, 35).collect()] == [0, 0]
+
+
+def test_slices_do_not_show():
+    rng = random.Random(9)
+    text = b"".join(bytes(rng.choice(b"abcxyz") for _ in range(rng.randint(1, 9))) + rng.choice([b" ", b"\n", b"  ", b"\t\x0b "]) for _ in range(90_000)) + b"q" * 700_000 + b" end"
+    whole = text_hashes(text)
+    assert len(whole) == len(text.split())
+    assert (whole[:50] == np.concatenate([text_hashes(w) for w in text.split()[:50]])).all() and (whole[-3:] == np.concatenate([text_hashes(w) for w in text.split()[-3:]])).all()
+    seen = dict(zip(text.split(), whole.tolist(), strict=True))
+    assert all(seen[w] == h for w, h in zip(text.split(), whole.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    values = np.arange(3 * words.SLICE, dtype=U64) % U64(1000)
+    for width in (4, 35):
+        found = window_hashes(values, width)
+        assert len(found) == len(values) - width + 1 and (found[:1000] == found[1000:2000]).all() and len(np.unique(found)) == 1000
+        assert (found[words.SLICE - 100 : words.SLICE + 100] == window_hashes(values[words.SLICE - 100 : words.SLICE + 99 + width], width)).all()
+
+
+@pytest.mark.parametrize("work", ["jaccard", "substrings"])
+def test_a_text_of_50_mb_needs_bounded_memory(work):
+    """Peak of the arrays beside the text itself; one value a word and a few slices."""
+    import tracemalloc
+
+    text = b" ".join([b"word%d" % (k % 5000) for k in range(5_000_000)])[: 50 << 20]
+    tracemalloc.start()
+    try:
+        if work == "jaccard":
+            jaccard.window_hashes(jaccard.text_hashes(text), 4)
+        else:
+            substrings._anchors(text_hashes(text), 35)
+        assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_packed_runs_round_trip():
     x = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(U64) * U64(2)
     x = np.concatenate((x, x[:100], x[:10]))
@@ -231,7 +291,7 @@ def paragraph_sums(text):
     """Brute force: every paragraph's own sums, added up."""
     found = fp.text_sums(b"")
     for p in text.encode().split(b"\n") if text else []:
-        found = fp.combine(found, fp.text_sums(p) if p else fp.sums_of(fp.hashed(b"\n")[0][:1], np.empty(0, U64)))
+        found = fp.combine(found, fp.text_sums(p) if p else fp.sums_of(fp.paragraph_vectors(b"\n")[:1], np.empty(0, U64)))
     return found
 
 
@@ -276,6 +336,7 @@ def test_token_counts(docs, spark, room, name, monkeypatch):
     monkeypatch.setattr(token_counts, "BROADCAST_BYTES", room)
     lib = Tokenizer.from_file(path(name))
     odd = ["a<|endoftext|>b", " x y\x1cz", "I'LL İΣ ΑΣ", "'s ſ 123 ４５ ⅷ ́a", "a<|END", "__ - a_b", "x'll''s é\u00ad\u00b5\u00aa2²", "don't we're ''s 's", "ÀÉ Ǆ ŉ", "a" * 3000]
+    odd += [t + end for t in ("hello", "hello world.", "a 'll") for end in ("\x85", "\u2028", "\u2029", "\n", "\r\n", "\r", "\x0b", "\x0c", "\u2028\n")]
     odd += ["".join(random.Random(k).choice("aB1é'sſ., -_<|\n\u00a0\u00df\u01c5²") for _ in range(60)) for k in range(60)]
     frame = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(frame, path(name)).collect())
