@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.dialect import cut
 from ..plans.roles import DOSAGE, PHENOTYPES
-from .models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, ReactionNorm, genomic_ridge, stacked, stacking_weights, structure
+from . import kernels
+from .models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, stacked, stacking_weights, structure
 from .protocols import CELL_LABELS, DESIGN, OOF_PROTOCOLS
 from .study import FEATURES
 
@@ -45,45 +47,51 @@ class Settings:
     max_missing: float = 0.25
     members: tuple[Member, ...] = (Member(),)
     fallback: bool = True
+    most_components: int = kernels.MOST
     gate_strength: float = 4.0
 
 
-class _Cells:
-    """Cells of known genotypes and environments as arrays."""
+def fold_factors(spark: SparkSession, values: dict, environments: dict[str, list[str]], member: Member, settings: Settings) -> tuple[DataFrame, dict]:
+    """(fold, environment_id, factor) of every environment with what each fold learns from its training ones; and that, by fold."""
+    made, rows, ids = {}, [], sorted(values)
+    for fold, train in environments.items():
+        pcs = EnvironmentPCs.fit(values, train, settings.components)
+        kernel = EnvironmentKernel(member.kind, member.bandwidth).fit(pcs.transform(values, train))
+        made[fold] = pcs, kernel
+        rows += [(fold, e, x.tolist()) for e, x in zip(ids, kernel.transform(pcs.transform(values, ids)), strict=True)]
+    return F.broadcast(spark.createDataFrame(rows, "fold string, environment_id string, factor array<double>")), made
 
-    def __init__(self, cells: DataFrame, panel: Panel, known: dict):
-        at = {g: i for i, g in enumerate(panel.genotypes)}
-        rows = sorted((r for r in cells.collect() if r.genotype_id in at and r.environment_id in known), key=lambda r: (r.genotype_id, r.environment_id))
-        self.g = np.array([at[r.genotype_id] for r in rows], dtype=int)
-        self.e = np.array([r.environment_id for r in rows], dtype=object)
-        self.m, self.n, self.ss = (np.array([r[k] for r in rows], dtype=float) for k in ("m", "n", "ss"))
 
-
-def _fit(panel: Panel, c: _Cells, train: np.ndarray, values: dict, member: Member, pcs: EnvironmentPCs, made: tuple[Panel, float], y: tuple | None = None) -> tuple[ReactionNorm, EnvironmentKernel]:
-    envs = sorted(set(c.e[train]))
-    kernel = EnvironmentKernel(member.kind, member.bandwidth).fit(pcs.transform(values, envs))
-    factor = kernel.transform(pcs.transform(values, envs))[np.searchsorted(envs, c.e[train])]
-    m, ss = y or (c.m[train], float(c.ss[train].sum()))
-    return ReactionNorm(member.model).fit(made[0], made[1], c.g[train], factor, m, c.n[train], ss), kernel
+def places(spark: SparkSession, genotypes: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(genotypes)), "g int, genotype_id string")
 
 
 def kernel_oof(spark: SparkSession, sf_dir: str, member: Member, protocol: str = "cv_g", settings: Settings = Settings()) -> DataFrame:
-    """(fold, genotype_id, environment_id, prediction) of the held-out cells; all statistics come from training cells."""
-    panel, values = Panel.of(DOSAGE.run(spark, sf_dir)), feature_values(FEATURES.run(spark, sf_dir))
-    panel.rows.persist()
-    c = _Cells(cell_sums(PHENOTYPES.run(spark, sf_dir), "trait_1"), panel, values)
-    labels = {(r.genotype_id, r.environment_id): (r.fg, r.fe) for r in DESIGN.run(spark, sf_dir).where(F.col("protocol") == protocol).collect()}
-    fg, fe = np.array([labels[panel.genotypes[g], e] for g, e in zip(c.g, c.e)], dtype=object).T
-    out = []
-    for fold in sorted(set(fg[fg == fe])):
-        train, held = (fg != fold) & (fe != fold), (fg == fold) & (fe == fold)
-        mask = np.zeros(len(panel.genotypes), dtype=bool)
-        mask[c.g[train]] = True
-        pcs = EnvironmentPCs.fit(values, sorted(set(c.e[train])), settings.components)
-        fitted, kernel = _fit(panel, c, train, values, member, pcs, panel.centred(mask, settings.min_maf, settings.max_missing))
-        p = fitted.predict(c.g[held], kernel.transform(pcs.transform(values, list(c.e[held]))))
-        out += [(str(fold), panel.genotypes[g], e, float(v)) for g, e, v in zip(c.g[held], c.e[held], p)]
-    return spark.createDataFrame(out, "fold string, genotype_id string, environment_id string, prediction double")
+    """(fold, genotype_id, environment_id, prediction) of the held-out cells of a protocol; all statistics come from training cells."""
+    design = cut(DESIGN.run(spark, sf_dir).where(F.col("protocol") == protocol))
+    return kernel_predictions(DOSAGE.run(spark, sf_dir), feature_values(FEATURES.run(spark, sf_dir)), cell_sums(PHENOTYPES.run(spark, sf_dir), "trait_1"), design, member, settings)
+
+
+def kernel_predictions(dosage: DataFrame, values: dict, cells: DataFrame, design: DataFrame, member: Member, settings: Settings = Settings()) -> DataFrame:
+    """Of one kernel model in every fold of a design (genotype_id, environment_id, fg, fe): fold f holds out cells with fg = fe = f and trains on those with neither."""
+    spark = cells.sparkSession
+    panel = Panel.of(dosage)
+    rows = panel.rows.persist()
+    try:
+        labelled = cut(cells.join(design.select("genotype_id", "environment_id", "fg", "fe"), ["genotype_id", "environment_id"]).select("genotype_id", "environment_id", "n", "m", "ss", "fg", "fe"))
+        at = places(spark, panel.genotypes)
+        kernels.must_be_known(labelled, "genotype_id", at)
+        kernels.must_be_known(labelled, "environment_id", spark.createDataFrame([(e,) for e in values], "environment_id string"))
+        folds = F.broadcast(labelled.where("fg = fe").select(F.col("fg").alias("fold")).distinct())
+        training = labelled.join(folds, (F.col("fg") != F.col("fold")) & (F.col("fe") != F.col("fold")))
+        sets, of, environments = kernels.training_sets(training, panel.genotypes)
+        made = kernels.components(Panel(rows, panel.genotypes), sets, settings.most_components, settings.min_maf, settings.max_missing)
+        factors, _ = fold_factors(spark, values, environments, member, settings)
+        models = kernels.fit(training.join(at, "genotype_id").join(factors, ["fold", "environment_id"]), made, of, member.model)
+        held = labelled.where("fg = fe").withColumnRenamed("fg", "fold").join(at, "genotype_id").join(factors, ["fold", "environment_id"])
+        return kernels.predicted(held.select("fold", "genotype_id", "environment_id", "g", "factor"), made, models).drop("g")
+    finally:
+        rows.unpersist()
 
 
 def ridge_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,31 +113,34 @@ def train(panel: Panel, markers: DataFrame, cells: DataFrame, values: dict, path
     missing = [r[0] for r in absent.select("genotype_id").distinct().orderBy("genotype_id").limit(10).collect()]
     if missing:
         raise KeyError(f"genotypes absent from the panel: {missing}")
-    c = _Cells(cells, panel, values)
-    every = np.ones(len(c.g), dtype=bool)
-    mask = np.zeros(len(panel.genotypes), dtype=bool)
-    mask[c.g] = True
-    envs = sorted(set(c.e))
+    kernels.must_be_known(cells, "environment_id", spark.createDataFrame([(e,) for e in values], "environment_id string"))
+    rows = cut(cells.select(F.lit("all").alias("fold"), "genotype_id", "environment_id", "n", "m", "ss"))
+    (mask,), of, environments = kernels.training_sets(rows, panel.genotypes)
+    envs, at = environments["all"], places(spark, panel.genotypes)
     pcs = EnvironmentPCs.fit(values, envs, settings.components)
-    made = panel.centred(mask, settings.min_maf, settings.max_missing)
+    made = kernels.components(panel, [mask], settings.most_components, settings.min_maf, settings.max_missing)
+    centred = panel.centred(mask, settings.min_maf, settings.max_missing)[0]
     parts, meta = [], []
     scaler = None
-    todo = [(m, None) for m in settings.members]
+    todo = [(m, rows) for m in settings.members]
     if settings.fallback:
-        n_e = {e: c.n[c.e == e].sum() for e in envs}
-        mean_e = {e: (c.m * c.n)[c.e == e].sum() / n_e[e] for e in envs}
-        sd = np.array([np.sqrt(max(c.ss[c.e == e].sum() - n_e[e] * mean_e[e] ** 2, 0) / (n_e[e] - 1)) if n_e[e] > 1 else np.nan for e in envs])
-        total = c.n.sum()
-        spread = np.sqrt(max(c.ss.sum() / total - ((c.m * c.n).sum() / total) ** 2, 0))
-        at = pcs.transform(values, envs)
-        scaler = LocationScale().fit(envs, np.array([mean_e[e] for e in envs]), sd, spread, at)
-        mu, s = (np.array([scaler.known[e][k] for e in c.e]) for k in (0, 1))
-        squares = ((c.ss - 2 * mu * c.m * c.n + c.n * mu**2) / s**2).sum()
-        todo.append((Member(), ((c.m - mu) / s, float(squares))))
+        by = {r["environment_id"]: r for r in rows.groupBy("environment_id").agg(F.sum("n").alias("n"), F.sum(F.col("m") * F.col("n")).alias("s"), F.sum("ss").alias("ss")).collect()}  # one row an environment
+        n_e, s_e, ss_e = (np.array([by[e][k] for e in envs], float) for k in ("n", "s", "ss"))
+        mean_e = s_e / n_e
+        sd = np.where(n_e > 1, np.sqrt(np.maximum(ss_e - n_e * mean_e**2, 0) / np.maximum(n_e - 1, 1)), np.nan)
+        spread = np.sqrt(max(ss_e.sum() / n_e.sum() - (s_e.sum() / n_e.sum()) ** 2, 0))
+        scaler = LocationScale().fit(envs, mean_e, sd, spread, pcs.transform(values, envs))
+        known = F.broadcast(spark.createDataFrame([(e, float(m), float(d)) for e, (m, d) in scaler.known.items()], "environment_id string, mu double, sd double"))
+        standard = rows.join(known, "environment_id").select("fold", "genotype_id", "environment_id", "n", ((F.col("m") - F.col("mu")) / F.col("sd")).alias("m"),
+                                                             ((F.col("ss") - 2 * F.col("mu") * F.col("m") * F.col("n") + F.col("n") * F.col("mu") ** 2) / F.col("sd") ** 2).alias("ss"))
+        todo.append((Member(), standard))
     for member, y in todo:
-        fitted, kernel = _fit(panel, c, every, values, member, pcs, made, y)
-        parts.append(fitted.marker_effects(made[0]))
-        meta.append({"weight": member.weight, "mean": fitted.mu, "environment_effect": fitted.environment_effect.tolist(), "width": fitted.sums.shape[1], "fallback": y is not None, "variance": fitted.weights,
+        factors, learned = fold_factors(spark, values, environments, member, settings)
+        kernel = learned["all"][1]
+        fitted = kernels.fit(y.join(at, "genotype_id").join(factors, ["fold", "environment_id"]), made, of, member.model)["all"]
+        wide = "GxE" in kernels.KERNELS[member.model]
+        parts.append(centred.effects(made[0].back(fitted.effects if wide else fitted.effects[:, :1])))
+        meta.append({"weight": member.weight, "mean": fitted.mean, "environment_effect": fitted.environment.tolist(), "width": fitted.effects.shape[1] if wide else 1, "fallback": y is not rows, "variance": fitted.share,
                      "kernel": {"kind": kernel.kind, "train": kernel.train.tolist(), "width": kernel.width, "back": kernel.back.tolist()}})
     table = parts[0].withColumnRenamed("effect", "effects")
     for p in parts[1:]:

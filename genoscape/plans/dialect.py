@@ -26,6 +26,8 @@ MACROS = {
     "REPLACED": ("regexp_replace({0}, {1}, '$2_$1')", "regexp_replace({0}, {1}, '\\2_\\1')"),
     "ELEMENT": ("element_at({0}, cast({1} AS integer))", "list_extract({0}, {1})"),
     "HALF_EVEN": ("bround({0})", "round_even({0}, 0)"),
+    "WORDS": ("regexp_extract_all({0}, '[^ \t\n\v\f\r]+', 0)", "regexp_extract_all({0}, '[^ \t\n\v\f\r]+')"),
+    "HOW_MANY": ("size(filter({0}, w -> {1}))", "len(list_filter({0}, lambda w: {1}))"),
     "SERIES": ("explode(sequence({0}, {1}))", "unnest(generate_series({0}, {1}))"),
 }
 _CALL = re.compile(r"\b(" + "|".join(MACROS) + r")\(")
@@ -101,11 +103,21 @@ class Twofold(Operator):
         return self.other
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of its own only for a local master where that is unset."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    found = found or tempfile.mkdtemp(prefix="genoscape-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Written once to the folder of spark.checkpoint.dir (one of its own only where that is unset), so that readers neither plan nor compute it again."""
-    spark = frame.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="genoscape-"))
+    """Written once to the shared folder, so that readers neither plan nor compute it again."""
+    shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 

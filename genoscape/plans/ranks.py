@@ -35,7 +35,7 @@ def rank_tables(keys: str, values: tuple[str, ...], source: str, weight: str = "
 
 
 def graded(keys: str, source: str, weight: str = "count(*)") -> str:
-    """n, pearson, spearman, mse, mae and defined of y and yhat in each group; moments are taken around the group's means."""
+    """n, pearson, spearman, mse, mae and defined of y and yhat in each group; moments are taken around the group's means, whose rounding must not make a constant vary."""
     by = [k.strip() for k in keys.split(",")]
     own = ", ".join(f"p.{k}" for k in by)
 
@@ -44,11 +44,11 @@ def graded(keys: str, source: str, weight: str = "count(*)") -> str:
 
     y, yhat, ry, rp = "p.y - c.my", "p.yhat - c.mp", "ry.r - (c.n + 1) / 2.0D", "rp.r - (c.n + 1) / 2.0D"
     return f"""WITH {rank_tables(keys, ("y", "yhat"), source, weight)},
-    centers AS (SELECT {keys}, sum(m) AS n, sum(m * y) / sum(m) AS my, sum(m * yhat) / sum(m) AS mp FROM pairs GROUP BY {keys}),
-    moments AS (SELECT {own}, max(c.n) AS n, {moment(y, y)} AS yy, {moment(yhat, yhat)} AS pp, {moment(y, yhat)} AS yp, {moment(ry, ry)} AS ryy, {moment(rp, rp)} AS rpp, {moment(ry, rp)} AS ryp,
+    centers AS (SELECT {keys}, sum(m) AS n, sum(m * y) / sum(m) AS my, sum(m * yhat) / sum(m) AS mp, max(y) > min(y) AND max(yhat) > min(yhat) AS varied FROM pairs GROUP BY {keys}),
+    moments AS (SELECT {own}, max(c.n) AS n, bool_and(c.varied) AS varied, {moment(y, y)} AS yy, {moment(yhat, yhat)} AS pp, {moment(y, yhat)} AS yp, {moment(ry, ry)} AS ryy, {moment(rp, rp)} AS rpp, {moment(ry, rp)} AS ryp,
     sum(p.m * (p.y - p.yhat) * (p.y - p.yhat)) AS se, sum(p.m * abs(p.y - p.yhat)) AS ae FROM pairs AS p JOIN centers AS c ON {_same(by, "p", "c")}
     JOIN ranks_y AS ry ON {_same(by, "p", "ry")} AND p.y = ry.v JOIN ranks_yhat AS rp ON {_same(by, "p", "rp")} AND p.yhat = rp.v GROUP BY {own}),
-    judged AS (SELECT *, sqrt(yy / n) > 1e-12 AND sqrt(pp / n) > 1e-12 AS defined FROM moments)
+    judged AS (SELECT *, varied AND sqrt(yy / n) > 1e-12 AND sqrt(pp / n) > 1e-12 AS defined FROM moments)
     SELECT {keys}, n, CASE WHEN defined AND n >= 2 THEN yp / sqrt(yy) / sqrt(pp) ELSE 0.0D END AS pearson, CASE WHEN n >= 2 AND ryy > 0 AND rpp > 0 THEN ryp / sqrt(ryy) / sqrt(rpp) ELSE 0.0D END AS spearman,
     se / n AS mse, ae / n AS mae, defined FROM judged"""
 

@@ -8,9 +8,11 @@ import urllib.request
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genoscape.__main__ import main
-from genoscape.operators.models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, ReactionNorm, genomic_ridge, simplex_weights, structure
+from genoscape.operators import kernels, training
+from genoscape.operators.models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, simplex_weights, structure
 from genoscape.operators.training import Model, stacking_weights
 from genoscape.service import Models, serve, weather_features
 from genoscape.sources import crops
@@ -51,11 +53,11 @@ def test_imputation_by_weight(spark):
 
 
 @pytest.mark.parametrize("model", ["gblup", "gblup_environment", "reaction_norm_gblup", "rkhs"])
-@pytest.mark.parametrize("small", [True, False])
-def test_cell_solution_equals_that_over_observations(spark, monkeypatch, model, small):
-    monkeypatch.setattr("genoscape.operators.models.GRAM_GENOTYPES", 100 if small else 0)
+@pytest.mark.parametrize("markers", [12, 5])
+def test_cell_solution_equals_that_over_observations(spark, model, markers):
+    """With fewer markers than genotypes the components come from random directions."""
     rng = np.random.default_rng(3)
-    panel = panel_of(spark, rng.integers(-1, 3, (8, 12)))
+    panel = panel_of(spark, rng.integers(-1, 3, (8, markers)))
     made, denominator = panel.centred(np.ones(8, dtype=bool), 0.0, 1.0)
     x = matrix(made)
     envs = rng.normal(size=(3, 2))
@@ -79,12 +81,83 @@ def test_cell_solution_equals_that_over_observations(spark, monkeypatch, model,
     at = np.cumsum(count) - count
     means = np.add.reduceat(y, at) / count
     g, ce = np.array([p[0] for p in cells]), np.array([p[1] for p in cells])
-    fitted = ReactionNorm(model, 0.2, 500, 1e-10).fit(made, denominator, g, factor[ce], means, count.astype(float), float(y @ y))
-    assert np.allclose(fitted.predict(og, e), want, atol=1e-5)
-    effects = np.array([r.effect for r in fitted.marker_effects(made).orderBy("marker_pos").collect()])
+    squares = np.add.reduceat(y * y, at)
+    rows = [("all", int(i), int(n), float(m), float(q), f.tolist()) for i, n, m, q, f in zip(g, count, means, squares, factor[ce], strict=True)]
+    cells = spark.createDataFrame(rows, "fold string, g int, n long, m double, ss double, factor array<double>")
+    found = kernels.components(panel, [np.ones(8, dtype=bool)], 256, 0.0, 1.0)
+    assert np.allclose(found[0].z @ found[0].z.T, x @ x.T / denominator) and found[0].held == pytest.approx(1)
+    fitted = kernels.fit(cells, found, {"all": 0}, model)["all"]
+    assert np.allclose(fitted.predict(found[0].z[og], e), want, atol=1e-8)
+    again = {(r.g, tuple(r.f)): r.prediction for r in kernels.predicted(cells.withColumn("f", F.col("factor")), found, {"all": fitted}).collect()}
+    assert all(again[i, tuple(f)] == pytest.approx(w) for i, f, w in zip(og, e, want, strict=True))
+    effects = np.array([r.effect for r in made.effects(found[0].back(fitted.effects)).orderBy("marker_pos").collect()])
     own = x @ effects
-    again = fitted.mu + own[og, 0] + e @ fitted.environment_effect + ((own[og, 1:] * e).sum(1) if effects.shape[1] > 1 else 0)
-    assert np.allclose(again, want, atol=1e-5)
+    assert np.allclose(fitted.mean + own[og, 0] + e @ fitted.environment + (own[og, 1:] * e).sum(1), want, atol=1e-8)
+
+
+def test_components_of_many_training_sets_are_the_leading_ones(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 3, (40, 3)) @ rng.integers(0, 2, (3, 60))
+    panel = panel_of(spark, np.clip(base + rng.integers(-1, 2, (40, 60)), 0, 2))
+    sets = [np.arange(40) % 4 != k for k in range(4)]
+    for most, within in ((40, 1e-8), (6, 1e-2)):
+        for mask, found in zip(sets, kernels.components(panel, sets, most, 0.01, 0.25), strict=True):
+            made, denominator = panel.centred(mask)
+            x = matrix(made)
+            u, s, _ = np.linalg.svd(x, full_matrices=False)
+            k = min(most, int((s > 1e-6).sum()))
+            assert found.denominator == pytest.approx(denominator) and len(found.values) == k
+            assert np.allclose(found.values, s[:k], rtol=within) and np.allclose(found.diagonal, (x * x).sum(1))
+            angles = np.linalg.svd(found.left[:, :3].T @ u[:, :3])[1]
+            assert angles.min() > 1 - within
+            assert found.held == pytest.approx((s[:k] ** 2).sum() / (s**2).sum(), rel=within)
+    with pytest.raises(ValueError, match="no marker"):
+        kernels.components(panel, [np.ones(40, bool)], min_maf=0.6)
+
+
+def test_a_kernel_in_every_fold_equals_dense_solves(spark):
+    """All folds at once against numpy for each fold alone; genotypes or environments that are not known are named."""
+    rng = np.random.default_rng(8)
+    d = rng.integers(0, 3, (24, 30))
+    rows = [(f"g{i:02d}", j, int(d[i, j])) for i in range(24) for j in range(30)]
+    dosage = spark.createDataFrame(rows, "genotype_id string, marker_pos int, dosage int")
+    values = {f"E{k}": {"a": float(k), "b": float(k * k % 5), "c": None if k == 2 else 1.0 + k % 3} for k in range(6)}
+    labels = [(f"g{i:02d}", f"E{k}", str(i % 3), str(k % 3)) for i in range(24) for k in range(6) if (i + k) % 5]
+    cells = [(g, e, 2, float(rng.normal() + int(e[1])), 0.0) for g, e, *_ in labels]
+    cells = [(g, e, n, m, 2 * m * m + 0.5) for g, e, n, m, _ in cells]
+    frame = spark.createDataFrame(cells, "genotype_id string, environment_id string, n long, m double, ss double")
+    design = spark.createDataFrame(labels, "genotype_id string, environment_id string, fg string, fe string")
+    got = {(r.fold, r.genotype_id, r.environment_id): r.prediction for r in training.kernel_predictions(dosage, values, frame, design, training.Member("rkhs", "rbf")).collect()}
+    assert set(got) == {(fg, g, e) for g, e, fg, fe in labels if fg == fe}
+    for fold in "012":
+        train = [k for k, x in enumerate(labels) if fold not in x[2:]]
+        held = [k for k, x in enumerate(labels) if x[2] == x[3] == fold]
+        mask = np.array([i % 3 != int(fold) for i in range(24)])
+        p = d[mask].mean(0) / 2
+        ok = (np.minimum(p, 1 - p) >= 0.01) & (p > 0) & (p < 1)
+        x = (d - 2 * p)[:, ok]
+        grm = x @ x.T / (2 * p[ok] * (1 - p[ok])).sum()
+        envs = sorted({labels[k][1] for k in train})
+        pcs = EnvironmentPCs.fit(values, envs, 5)
+        kernel = EnvironmentKernel("rbf").fit(pcs.transform(values, envs))
+        f = {e: kernel.transform(pcs.transform(values, [e]))[0] for e in values}
+        g = np.array([int(x[0][1:]) for x in labels])
+        e = np.array([f[x[1]] for x in labels])
+        full = {"G": grm[np.ix_(g, g)], "E": e @ e.T}
+        full["GxE"] = full["G"] * full["E"]
+        n, m, ss = (np.array([c[k] for c in cells]) for k in (2, 3, 4))
+        mu = (n * m)[train].sum() / n[train].sum()
+        c = m[train] - mu
+        energy = ss[train].sum() - n[train].sum() * mu**2
+        total = {k: v / ((n[train] * np.diag(v)[train]).sum() / n[train].sum()) for k, v in full.items()}
+        raw = {k: (n[train] * c) @ v[np.ix_(train, train)] @ (n[train] * c) / energy for k, v in total.items()}
+        k = sum(0.8 * raw[x] / sum(raw.values()) * v for x, v in total.items())
+        want = mu + k[np.ix_(held, train)] @ np.linalg.solve(k[np.ix_(train, train)] + np.diag(0.2 / n[train]), c)
+        assert np.allclose([got[fold, *labels[h][:2]] for h in held], want, atol=1e-8)
+    with pytest.raises(KeyError, match="E5"):
+        training.kernel_predictions(dosage, {k: v for k, v in values.items() if k != "E5"}, frame, design, training.Member())
+    with pytest.raises(KeyError, match="g00"):
+        training.kernel_predictions(dosage.where("genotype_id <> 'g00'"), values, frame, design, training.Member())
 
 
 def test_ridge_equals_numpy(spark):
