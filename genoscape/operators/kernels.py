@@ -5,7 +5,7 @@ markers, by a randomised range finder) and environment factors e, so the model i
 [z, e, z x e]. A genotype enters it only through C = sum of n * u u' and t = sum of n * y * u over its training cells,
 u = (1, e): small sums that are made where the cells are. A fit is then
 
-1. three passes over the markers, for all distinct training sets together (``components``);
+1. a few passes over the markers, for all distinct training sets together (``components``);
 2. one aggregation of the cells to (fold, genotype);
 3. sums of z z' * C[a, b] over genotypes, one group for each fold and a, accumulated in a stream;
 4. one system of size components * (1 + factors) for each fold, solved in a task of its own.
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .models import Panel, centred_markers
@@ -31,6 +31,8 @@ from .models import Panel, centred_markers
 KERNELS = {"gblup": ("G",), "gblup_environment": ("G", "E"), "reaction_norm_gblup": ("G", "E", "GxE"), "rkhs": ("G", "E", "GxE")}
 #: Most components, and how many more directions are tried to find them.
 MOST, EXTRA = 256, 10
+#: Passes over the markers at most, and the residual of a component, of the largest one, below which it is exact.
+PASSES, EXACT = 12, 1e-8
 
 
 @dataclass(frozen=True)
@@ -59,43 +61,71 @@ class Components:
         return (self.left / self.values) @ beta / np.sqrt(self.denominator)
 
 
-def components(panel: Panel, sets: list[np.ndarray], most: int = MOST, min_maf: float = 0.01, max_missing: float = 0.25, seed: int = 3) -> list[Components]:
-    """For each training set (a mask of genotypes) the leading components of its centred markers."""
+def leading(panel: Panel, prepared: list, most: int, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Left singular vectors (genotypes by components) and values of X', the diagonal of X' X and a sum, for each of several matrices X.
+
+    ``prepared`` has a function for each: markers by genotypes to (rows of X, a number that is summed). All of them share their passes over
+    the markers: a pass multiplies X' X with one block of directions a matrix, the first random, the next ones what was new in the last products;
+    the components are those of X' X within all blocks so far. Passes end when every component is exact to ``EXACT``, at most after
+    ``PASSES``; partitions return sums of genotypes by directions, and no genotype by genotype matrix is made."""
     n = len(panel.genotypes)
     width = max(1, min(most + EXTRA, n, panel.rows.count()))
-
-    def passed(tried: list[np.ndarray]) -> np.ndarray:
-        """[sets, genotypes, width + 2]: X (X' a), the diagonal of X X', the sum of 2p(1-p)."""
+    rng = np.random.default_rng(seed)
+    basis, image = [np.zeros((n, 0)) for _ in prepared], [np.zeros((n, 0)) for _ in prepared]
+    new: list[np.ndarray | None] = [np.eye(n) if width == n else np.linalg.qr(rng.normal(size=(n, width)))[0] for _ in prepared]
+    sums, out = np.zeros((len(prepared), n, 2)), [None] * len(prepared)
+    for step in range(PASSES):
+        tried = list(new)
 
         def work(d: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(sets), n, width + 2))
-            for k, (train, a) in enumerate(zip(sets, tried, strict=True)):
-                x, p, _ = centred_markers(d, train, min_maf, max_missing)
-                out[k, :, :width] = x.T @ (x @ a)
-                out[k, :, width] = (x * x).sum(0)
-                out[k, 0, width + 1] = (2 * p * (1 - p)).sum()
-            return out
+            got = np.zeros((len(prepared), n, width + 2))
+            for k, (prepare, a) in enumerate(zip(prepared, tried, strict=True)):
+                if a is not None:
+                    x, extra = prepare(d)
+                    got[k, :, : a.shape[1]] = x.T @ (x @ a)
+                    got[k, :, width] = (x * x).sum(0)
+                    got[k, 0, width + 1] = extra
+            return got
+
+        found = panel.summed(work, (len(prepared), n, width + 2))
+        for k, a in enumerate(tried):
+            if a is None:
+                continue
+            sums[k] = found[k, :, width:]
+            y = found[k, :, : a.shape[1]]
+            basis[k], image[k] = np.hstack([basis[k], a]), np.hstack([image[k], y])
+            small = basis[k].T @ image[k]
+            values, turn = np.linalg.eigh((small + small.T) / 2)
+            top = max(float(values.max()), 1e-300)
+            keep = np.argsort(-values)[:most]
+            keep = keep[values[keep] > 1e-10 * top]
+            left = basis[k] @ turn[:, keep]
+            rest = y - basis[k] @ (basis[k].T @ y)
+            rest -= basis[k] @ (basis[k].T @ rest)
+            u, size, _ = np.linalg.svd(rest, full_matrices=False)
+            fresh = u[:, size > 1e-9 * top][:, : n - basis[k].shape[1]]
+            exact = np.linalg.norm(image[k] @ turn[:, keep] - left * values[keep], axis=0).max(initial=0.0) <= EXACT * top
+            out[k] = left, np.sqrt(values[keep])
+            new[k] = None if (exact and step) or not fresh.shape[1] else fresh
+        if not any(a is not None for a in new):
+            break
+    return [(left, values, x[:, 0], float(x[0, 1])) for (left, values), x in zip(out, sums, strict=True)]
 
-        return panel.summed(work, (len(sets), n, width + 2))
 
-    rng = np.random.default_rng(seed)
-    tried = [np.eye(n) if width == n else rng.normal(size=(n, width)) for _ in sets]
-    found = passed(tried)
-    if width < n:
-        for _ in range(2):  # products with the range found so far sharpen it
-            tried = [np.linalg.qr(y[:, :width])[0] for y in found]
-            found = passed(tried)
-    out = []
-    for a, y in zip(tried, found, strict=True):
-        denominator = float(y[0, width + 1])
-        if not denominator:
-            raise ValueError("no marker passes QC on the training genotypes")
-        small = a.T @ y[:, :width]
-        values, turn = np.linalg.eigh((small + small.T) / 2)
-        keep = np.argsort(-values)[:most]
-        keep = keep[values[keep] > 1e-10 * max(float(values.max()), 1e-300)]
-        out.append(Components(a @ turn[:, keep], np.sqrt(values[keep]), y[:, width], denominator))
-    return out
+def components(panel: Panel, sets: list[np.ndarray], most: int = MOST, min_maf: float = 0.01, max_missing: float = 0.25, seed: int = 3) -> list[Components]:
+    """For each training set (a mask of genotypes) the leading components of its centred markers."""
+
+    def prepare(train: np.ndarray):
+        def centred(d: np.ndarray) -> tuple[np.ndarray, float]:
+            x, p, _ = centred_markers(d, train, min_maf, max_missing)
+            return x, float((2 * p * (1 - p)).sum())
+
+        return centred
+
+    found = [Components(*x) for x in leading(panel, [prepare(t) for t in sets], most, seed)]
+    if not all(x.denominator for x in found):
+        raise ValueError("no marker passes QC on the training genotypes")
+    return found
 
 
 # --- sums over cells -------------------------------------------------------------------------

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..plans.dialect import cut
 from ..plans.roles import DOSAGE, PHENOTYPES
-from . import kernels
-from .models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, stacked, stacking_weights, structure
-from .protocols import CELL_LABELS, DESIGN, OOF_PROTOCOLS
-from .study import FEATURES
+from . import clusters, kernels
+from .models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, stacked, stacking_weights
+from .protocols import CELL_LABELS, CELLS, CLUSTER_WEIGHTS, DESIGN, ENVIRONMENT_WEIGHTS, GENOTYPE_WEIGHTS, GREEDY_CLUSTER_FOLDS, GREEDY_ENVIRONMENT_FOLDS, GREEDY_GENOTYPE_FOLDS, OOF_PROTOCOLS, STRICT_REGISTRY
+from .study import FEATURES, SEED
 
 BASE_MODELS = ["global_mean", "environment_mean", "genotype_mean", "additive_mean"]
 
@@ -244,8 +244,34 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = Panel.of(DOSAGE.run(spark, sf_dir))
-    _, scores, labels = structure(panel)
-    return spark.createDataFrame([(g, int(k), [float(v) for v in s]) for g, k, s in zip(panel.genotypes, labels, scores)], "genotype_id string, cluster int, scores array<double>")
+    n = len(panel.genotypes)
+    k = min(5, max(2, n // 300)) if n >= 300 else 2
+    points = clusters.scores(panel, 5, seed=42)[0]
+    return points.join(clusters.clustered(points, [k], seed=42), "genotype_id").select("genotype_id", "cluster", "scores")
+
+
+def registry_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(genotype_id, cluster, k, n_rows): clusters of the genotypes with observations, from markers; the number is chosen by rows of a cluster."""
+    cells = CELLS.run(spark, sf_dir)
+    weights = cut(cells.groupBy(F.col("genotype_id")).agg(F.sum("n_rows").cast("long").alias("n_rows")))
+    dosage = DOSAGE.run(spark, sf_dir)
+    kernels.must_be_known(weights, "genotype_id", dosage.select("genotype_id").distinct())
+    panel = Panel.of(dosage.join(weights.select("genotype_id"), "genotype_id", "left_semi"))
+    return clusters.registry_clusters(panel, weights, seed=SEED)[0]
+
+
+def strict_registry_by_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict registry with clusters from markers in place of stored ones."""
+    found = cut(registry_clusters(spark, sf_dir).select("genotype_id", F.col("cluster").cast("string").alias("cluster")))
+    cells, phenotypes = cut(CELLS.run(spark, sf_dir)), PHENOTYPES.run(spark, sf_dir)
+    folds = {
+        "genotype_folds": GREEDY_GENOTYPE_FOLDS.on(spark, genotype_weights=GENOTYPE_WEIGHTS.on(spark, cells=cells)),
+        "environment_folds": GREEDY_ENVIRONMENT_FOLDS.on(spark, environment_weights=ENVIRONMENT_WEIGHTS.on(spark, cells=cells)),
+        "cluster_folds": GREEDY_CLUSTER_FOLDS.on(spark, cluster_weights=CLUSTER_WEIGHTS.on(spark, cells=cells, clusters=found)),
+    }
+    held = {name: op.run(spark, sf_dir) for name, op in CELL_LABELS.inputs if name in ("ood_genotypes", "ood_environments")}
+    labels = cut(CELL_LABELS.on(spark, cells=cells, clusters=found, **folds, **held))
+    return STRICT_REGISTRY.on(spark, phenotypes=phenotypes, cell_labels=labels)
 
 
 def _environment_pcs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,5 +289,7 @@ QUERIES = {
     "stacking_weights": _weights,
     "stacked_oof": _stacked,
     "panel_structure": _structure,
+    "registry_clusters": registry_clusters,
+    "strict_registry_by_markers": strict_registry_by_markers,
     "environment_pcs": _environment_pcs,
 }

@@ -6,13 +6,14 @@ import threading
 import urllib.error
 import urllib.request
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from genoscape.__main__ import main
-from genoscape.operators import kernels, training
-from genoscape.operators.models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, simplex_weights, structure
+from genoscape.operators import clusters, kernels, protocols, training
+from genoscape.operators.models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, simplex_weights
 from genoscape.operators.training import Model, stacking_weights
 from genoscape.service import Models, serve, weather_features
 from genoscape.sources import crops
@@ -231,8 +232,68 @@ def test_stacking_gives_every_fold_and_all_folds(spark):
 def test_structure_separates_two_groups(spark):
     d = np.vstack([np.tile([0, 0, 0, 2, 2, 2], (5, 1)), np.tile([2, 2, 2, 0, 0, 0], (5, 1))])
     d[0, 0] = 1
-    ratio, scores, labels = structure(panel_of(spark, d), 2, 2)
-    assert ratio[0] > 0.8 and len(set(labels[:5])) == 1 and len(set(labels[5:])) == 1 and labels[0] != labels[9]
+    points, ratio = clusters.scores(panel_of(spark, d), 2)
+    labels = {r.genotype_id: r.cluster for r in clusters.clustered(points, [2]).collect()}
+    assert ratio[0] > 0.8 and {labels[f"g{i:02d}"] for i in range(5)} == {0} and {labels[f"g{i:02d}"] for i in range(5, 10)} == {1}
+
+
+def test_principal_components_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    d = np.clip(rng.integers(0, 3, (50, 4)) @ rng.integers(0, 2, (4, 90)) + rng.integers(-1, 2, (50, 90)), -1, 2)
+    panel = panel_of(spark, d)
+    x = np.where(d >= 0, d, np.nan).astype(float)
+    for (maf, missing), most in (((0.0, 1.0), 5), ((0.05, 0.2), 32)):
+        mean = np.nanmean(x, axis=0)
+        ok = (np.minimum(mean, 2 - mean) / 2 >= maf) & (np.isnan(x).mean(0) <= missing)
+        z = np.where(np.isfinite(x), x, mean)[:, ok]
+        z = z[:, z.std(0) > 1e-6]
+        z = (z - z.mean(0)) / z.std(0)
+        u, s, _ = np.linalg.svd(z, full_matrices=False)
+        points, ratio = clusters.scores(panel, most, maf, missing)
+        got = np.array([r.scores for r in points.orderBy("genotype_id").collect()])
+        exact = np.linalg.svd((got / np.linalg.norm(got, axis=0)).T @ u[:, :3])[1]
+        assert exact.min() > 1 - 1e-6 and np.allclose(ratio[:3], (s**2 / (s**2).sum())[:3], rtol=1e-4)
+
+
+def test_registry_clusters_are_chosen_by_rows(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.integers(0, 2, (12, 80)) * 2
+    group = rng.integers(0, 12, 150)
+    d = np.where(rng.random((150, 80)) < 0.05, 1, centres[group])
+    panel = panel_of(spark, d)
+    weights = spark.createDataFrame([(f"g{i:02d}", int(rng.integers(1, 60))) for i in range(0, 150)], "genotype_id string, n_rows long")
+    found, choice = clusters.registry_clusters(panel, weights)
+    rows = {r.k: r for r in choice.collect()}
+    assert set(rows) == {8, 12, 16} and sum(r.chosen for r in rows.values()) == 1
+    labels = {r.genotype_id: r.cluster for r in found.collect()}
+    assert len(labels) == 150 and found.select("k").distinct().count() == 1
+    points, _ = clusters.scores(panel, 32, 0.01, 0.25)
+    twelve = {r.genotype_id: r.cluster for r in clusters.clustered(points, [12], seed=3).collect()}
+    pairs = {(twelve[f"g{i:02d}"], int(group[i])) for i in range(150)}
+    assert len(pairs) == 12  # the planted groups
+    again = {r.genotype_id: r.cluster for r in clusters.clustered(points.repartition(7), [12], seed=3).collect()}
+    assert again == twelve
+    # the choice on a second engine
+    db = duckdb.connect()
+    table = found.unionByName(found.select("genotype_id", (F.col("cluster") % 3).alias("cluster"), (F.col("k") + 1).alias("k"), "n_rows")).toPandas()
+    db.register("weighed", table)
+    mine = {tuple(r) for r in clusters.CHOICE.on(spark, weighed=spark.createDataFrame(table)).collect()}
+    near = lambda rows: sorted((k, int(w), round(float(i), 9), bool(f), bool(c)) for k, w, i, f, c in rows)
+    assert near(mine) == near(db.execute(clusters.CHOICE.sql()).fetchall())
+
+
+def test_clusters_of_few_and_equal_points(spark):
+    points = spark.createDataFrame([(f"g{i}", [1.0, 2.0]) for i in range(5)], "genotype_id string, scores array<double>")
+    assert {r.cluster for r in clusters.clustered(points, [3, 9]).collect()} == {0}
+    assert clusters.clustered(points.limit(0), [3]).count() == 0
+
+
+def test_the_registry_takes_clusters_from_markers(spark):
+    rows = training.strict_registry_by_markers(spark, "/root/testdata/sf0.001")
+    assert rows.columns == protocols.STRICT_REGISTRY.run(spark, "/root/testdata/sf0.001").columns
+    found = {r.genotype_id: str(r.cluster) for r in training.registry_clusters(spark, "/root/testdata/sf0.001").collect()}
+    held = rows.select("genotype_id", "cv_gcluster").distinct().collect()
+    assert {r.genotype_id: r.cv_gcluster for r in held} == found and len(held) == len(found)
 
 
 # --- files ---------------------------------------------------------------------------------
