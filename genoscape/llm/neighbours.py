@@ -3,7 +3,7 @@
 Each of ``CURVES`` curves projects the vectors to ``DIMS`` orthonormal directions (those of the
 first curves are the principal axes of a sample, the others random), scales them by sample
 quantiles, shifts them and orders them by their place on a Hilbert curve. The order is cut into
-narrow windows, whose mean projections are known from the sample. A query takes the windows, of
+windows of at least ``WINDOW`` rows of the table, whose mean projections are known from the sample. A query takes the windows, of
 all curves together, whose means promise the largest inner products with its own projections;
 neighbouring windows lie in one range of the order, are read together and reranked by exact
 inner products in double precision, and the finds of all curves merge. Equal vectors are
@@ -11,7 +11,7 @@ indexed once; a find stands for all of them, in order of their id.
 
 How many windows a query takes is fitted: the share of all rows with which ``ASKED`` sampled
 queries (fewer in small tables) find ``TARGET`` of their true neighbours, which one pass over
-the table gives. The curves' sample has ``SAMPLE`` numbers (documented parameter: 40,000 vectors
+the table gives; if that share is the whole table, the windows of one curve are taken. The curves' sample has ``SAMPLE`` numbers (documented parameter: 40,000 vectors
 of 64 dimensions, those with the smallest hash of their id, all if there are fewer); every
 vector is indexed. Clustered data need a small share, data without structure a large one;
 measured shares and recall are in the README. Ranges hold about ``RANGE`` rows at any size of
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .words import cut, hash64, reachable_by_workers, tidy
 
 CURVES, DIMS, BITS, SEED = 8, 8, 6, 5
-#: Rows of the sample in a window, rows in a range, numbers in the sample.
-WINDOW, RANGE, SAMPLE = 1, 1 << 15, 2_560_000
+#: Rows of the table in a window at least, rows in a range, numbers in the sample.
+WINDOW, RANGE, SAMPLE = 16, 1 << 15, 2_560_000
 ASKED, TARGET = 128, 0.93
 
 
@@ -69,9 +69,9 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections, scales, window edges and the windows' means, fitted on sample vectors."""
+    """Projections, scales, window edges and the windows' means, fitted on sample vectors of a table of so many rows."""
 
-    def __init__(self, sample: np.ndarray, ids: list[int]):
+    def __init__(self, sample: np.ndarray, ids: list[int], rows: int):
         rng, size = np.random.default_rng(SEED), sample.shape[1]
         dims, bases = min(DIMS, size), []
         axes = np.linalg.eigh(np.cov(sample.T).reshape(size, size))[1][:, ::-1]
@@ -81,7 +81,7 @@ class Curves:
         self.axes = bases[:CURVES]
         self.shift = rng.integers(0, 1 << BITS, (CURVES, dims))
         self.cuts = [np.quantile(sample @ a, np.linspace(0, 1, 1 << BITS)[1:-1], axis=0) for a in self.axes]
-        self.windows = max(1, len(sample) // WINDOW)
+        self.windows = max(1, min(len(sample), rows // WINDOW))
         self.edges, self.means = [], []
         for c, a in enumerate(self.axes):
             keys = self.keys(c, sample, ids)
@@ -108,8 +108,10 @@ class Curves:
 
     def taken(self, q: np.ndarray, share: float) -> np.ndarray:
         """Windows that a query takes, [curves, windows]."""
+        if share >= 1:
+            return np.repeat(np.arange(CURVES) == 0, self.windows).reshape(CURVES, -1)
         promise = self.promise(q)
-        n = min(promise.size, max(1, round(share * self.windows)))
+        n = max(1, round(share * self.windows))
         return promise >= np.partition(promise, promise.size - n, axis=None)[promise.size - n]
 
     def share_for(self, queries: np.ndarray, near: list[tuple[list[int], np.ndarray]]) -> float:
@@ -248,7 +250,7 @@ def finds(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
     n, most = reps.count(), max(64, SAMPLE // sizes["size"])
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(most).select("rep", "v").toArrow()
     ids, x = sample["rep"].to_pylist(), np.array(sample["v"].combine_chunks().flatten()).reshape(-1, sizes["size"])
-    curves = Curves(x, ids)
+    curves = Curves(x, ids, n)
     asked = np.linspace(0, len(ids) - 1, min(len(ids), ASKED, max(24, n // 100))).astype(int)
     share = curves.share_for(x[asked], _true_neighbours(reps, [ids[i] for i in asked], x[asked], k))
     ranges, sent = Ranges(n, curves.windows), spark.sparkContext.broadcast(curves)  # means, cuts and edges of a bounded sample
