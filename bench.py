@@ -12,6 +12,7 @@ HEADLINE = "trait_summary weather_basic weather_dynamic marker_stats cv_ge split
 
 
 def main() -> None:
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
     from pyspark.sql import SparkSession
 
     from genoscape.operators import protocols, study, training

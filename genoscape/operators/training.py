@@ -75,12 +75,12 @@ def kernel_oof(spark: SparkSession, sf_dir: str, member: Member, protocol: str =
 def kernel_predictions(dosage: DataFrame, values: dict, cells: DataFrame, design: DataFrame, member: Member, settings: Settings = Settings()) -> DataFrame:
     """Of one kernel model in every fold of a design (genotype_id, environment_id, fg, fe): fold f holds out cells with fg = fe = f and trains on those with neither."""
     spark = cells.sparkSession
-    panel = Panel.of(dosage)
+    labelled = cut(cells.join(design.select("genotype_id", "environment_id", "fg", "fe"), ["genotype_id", "environment_id"]).select("genotype_id", "environment_id", "n", "m", "ss", "fg", "fe"))
+    kernels.must_be_known(labelled, "genotype_id", dosage.select("genotype_id").distinct())
+    panel = Panel.of(dosage.join(labelled.select("genotype_id").distinct(), "genotype_id", "left_semi"))
     rows = panel.rows.persist()
     try:
-        labelled = cut(cells.join(design.select("genotype_id", "environment_id", "fg", "fe"), ["genotype_id", "environment_id"]).select("genotype_id", "environment_id", "n", "m", "ss", "fg", "fe"))
         at = places(spark, panel.genotypes)
-        kernels.must_be_known(labelled, "genotype_id", at)
         kernels.must_be_known(labelled, "environment_id", spark.createDataFrame([(e,) for e in values], "environment_id string"))
         folds = F.broadcast(labelled.where("fg = fe").select(F.col("fg").alias("fold")).distinct())
         training = labelled.join(folds, (F.col("fg") != F.col("fold")) & (F.col("fe") != F.col("fold")))
