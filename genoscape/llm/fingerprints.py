@@ -41,8 +41,9 @@ from .words import U64, hash64, mix, reachable_by_workers, tidy, word_hashes
 WIDE, LEVELS, LANES = 8, 8, 16
 #: A piece ends after about one word in so many.
 CUT_EVERY = 12
-#: Words of a piece that are chained; longer pieces are hashed as a whole.
+#: Words of a piece whose polynomial is taken; longer pieces are hashed as a whole.
 CHAIN = 64
+_PLACES = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(CHAIN + 1)], U64)
 _NEWLINE, _EMPTY, _COUNT = U64(hash64(b"\n")), U64(hash64(b"")), 1 << 32
 
 
@@ -65,18 +66,15 @@ def pieces_of(text: bytes) -> np.ndarray:
     last = np.flatnonzero(ends & ~line)
     first = np.concatenate(([0], last[:-1] + 1))
     first += line[first]
-    written_on = (first < last) | (words[first] != _EMPTY)
-    first, last = first[written_on], last[written_on]
-    # a chain over the words of each piece, one place after the other for all pieces that are as long
-    length, found = last - first + 1, np.zeros(len(first), U64)
-    order = np.argsort(-length, kind="stable")
-    longer = np.searchsorted(-length[order], -np.arange(min(CHAIN, int(length.max(initial=0)))), "left")
-    for k, n in enumerate(longer.tolist()):
-        at = order[:n]
-        found[at] = mix(found[at] + words[first[at] + k] + U64(0x9E3779B97F4A7C15))
-    for i in order[: int(np.searchsorted(-length[order], -CHAIN, "left"))].tolist():
+    # a polynomial of each piece's words, whose places count from the piece's first
+    length = last - first + 1
+    place = np.minimum(np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words)))), CHAIN)
+    values = words * _PLACES[place]
+    values[line] = 0
+    found = mix(np.add.reduceat(values, first) + length.astype(U64))
+    for i in np.flatnonzero(length > CHAIN).tolist():
         found[i] = hash64(words[first[i] : last[i] + 1].tobytes())
-    return found
+    return found[(first < last) | (words[first] != _EMPTY)]
 
 
 def sums_of(vectors: np.ndarray, pieces: np.ndarray, sign: int = 1):
