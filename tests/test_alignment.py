@@ -1,0 +1,89 @@
+"""Row ids, set equality of keys, ensembles and locks: right results, and errors that name the first ten."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from genoscape.operators import alignment as al
+from genoscape.sources import crops
+
+OOF = "trait string, protocol string, model string, fold string, row_id long, genotype_id string, environment_id string, y double, prediction double"
+
+
+def oof(spark, model="m", shift=0.0, n=40):
+    return spark.createDataFrame([("t", "cv_g", model, str(i % 3), i, f"g{i % 7}", f"E{i % 4}", float(i), i + shift) for i in range(n)], OOF)
+
+
+def test_ids_follow_the_order_and_repeat_never(spark):
+    draw = random.Random(2)
+    rows = [(draw.choice([None, 1, 2, 3]), draw.choice("ab"), k) for k in range(500)]
+    got = al.numbered(spark.createDataFrame(rows, "a int, b string, k int").repartition(7), ["a", "b"]).collect()
+    assert sorted(r.row_id for r in got) == list(range(500)) and {r.k for r in got} == set(range(500))
+    keys = [(r.a is not None, r.a or 0, r.b) for r in sorted(got, key=lambda r: r.row_id)]
+    assert keys == sorted(keys)
+    assert al.numbered(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_digests_know_sets_whatever_their_order(spark):
+    a = oof(spark)
+    assert al.key_digest(a, al.KEYS) == al.key_digest(a.repartition(9).orderBy(F.rand(1)), al.KEYS) == al.key_digest(oof(spark, "other", 2.0), al.KEYS)
+    assert al.key_digest(a, al.KEYS) != al.key_digest(a.where("row_id <> 7"), al.KEYS)
+    nulls = spark.createDataFrame([(None, "null")], "a string, b string")
+    assert al.key_digest(nulls, ["a", "b"]) != al.key_digest(spark.createDataFrame([("null", None)], "a string, b string"), ["a", "b"])
+    assert al.key_digest(a.limit(0), al.KEYS)[0] == 0
+
+
+def test_ensembles(spark):
+    got = {r.row_id: r.prediction for r in al.ensemble([oof(spark), oof(spark, "b", 1.0)]).collect()}
+    assert got == {i: i + 0.5 for i in range(40)}
+    got = {r.row_id: r.prediction for r in al.ensemble([oof(spark), oof(spark, "b", 1.0), oof(spark, "c", 5.0)], [0.5, 0.25, 0.25]).collect()}
+    assert got[3] == 4.5
+    with pytest.raises(ValueError, match=r"only in the first .*'1', 31, .*only in the second \[\]"):
+        al.ensemble([oof(spark), oof(spark, "b").where("row_id < 30")])
+    with pytest.raises(ValueError, match="repeated"):
+        al.ensemble([oof(spark).unionByName(oof(spark).where("row_id = 3")), oof(spark, "b").unionByName(oof(spark, "b").where("row_id = 3"))])
+    with pytest.raises(ValueError, match="repeated"):
+        al.ensemble([oof(spark).unionByName(oof(spark).where("row_id = 3")), oof(spark, "b")])
+    with pytest.raises(ValueError, match="differ in y.*'g4'"):
+        al.ensemble([oof(spark), oof(spark, "b").withColumn("y", F.when(F.col("row_id") == 11, 0.0).otherwise(F.col("y")))])
+
+
+def test_one_model(spark):
+    both = oof(spark).unionByName(oof(spark, "b", 1.0))
+    assert al.one_model(both, "b", "t").count() == 40
+    with pytest.raises(ValueError, match="no predictions of c"):
+        al.one_model(both, "c")
+    with pytest.raises(ValueError, match="repeated"):
+        al.one_model(both.unionByName(oof(spark, "b").limit(1)), "b")
+
+
+def test_stored_predictions_by_row(spark, tmp_path):
+    rows = oof(spark).withColumnRenamed("y", "true").withColumn("crop", F.lit("c"))
+    crops.write_rows(rows, str(tmp_path / "a" / "oof_predictions.csv"), crops.OOF_FIELDS)
+    got = al.read_by_row(spark, [str(tmp_path / "a"), str(tmp_path / "none")])
+    assert dict(got.dtypes)["row_id"] == "bigint" and got.count() == 40
+    with pytest.raises(ValueError, match="repeated"):
+        al.read_by_row(spark, [str(tmp_path / "a"), str(tmp_path / "a")])
+
+
+def test_locks(spark):
+    lock = spark.createDataFrame([(i, "development" if i % 4 else "test_hard_g") for i in range(40)], "row_id long, role string")
+    kept = al.only_rows(oof(spark), lock)
+    assert {r.row_id for r in kept.collect()} == {i for i in range(40) if i % 4}
+    al.must_exclude(kept, lock)
+    with pytest.raises(AssertionError, match=r"\[0, 4, 8, 12, 16, 20, 24, 28, 32, 36\]"):
+        al.must_exclude(oof(spark), lock)
+    with pytest.raises(AssertionError, match="999"):
+        al.must_exclude(kept.select("row_id").unionByName(spark.createDataFrame([(999,)], "row_id long")), lock)
+    with pytest.raises(ValueError, match=r"absent: \[39\]"):
+        al.only_rows(oof(spark, n=39), lock)
+    with pytest.raises(ValueError, match="repeated"):
+        al.only_rows(oof(spark), lock.unionByName(lock.limit(1)))
+
+
+def test_a_model_knows_what_it_was_fitted_on(spark):
+    print_ = al.key_digest(oof(spark).select("genotype_id").distinct(), ["genotype_id"])
+    al.must_be_fitted_on(print_, oof(spark).repartition(3))
+    with pytest.raises(AssertionError, match="other"):
+        al.must_be_fitted_on(print_, oof(spark).where("genotype_id <> 'g3'"))

@@ -6,12 +6,12 @@ import duckdb
 import numpy as np
 import pytest
 
-from genoscape.operators import protocols, study
+from genoscape.operators import alignment, protocols, study
 from genoscape.plans import ranks
 from genoscape.plans.dialect import Operator, written
 
 SF = "/root/testdata/sf0.001"
-OPERATORS = study.OPERATORS | protocols.OPERATORS
+OPERATORS = study.OPERATORS | protocols.OPERATORS | alignment.OPERATORS
 TABLES = "lineitem events embeddings".split()
 
 
