@@ -185,7 +185,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "d
     # of each document one row for all units that are met, one for each rare unit; summed where they lie, before the shuffle
     sums = met.groupBy(*by, F.when(F.col("n").isNull(), F.col("u")).alias("u")).agg(F.sum("n").alias("n"), F.sum(rows).alias("rows"), F.count("*").alias("m"))
     rare = counts.where(F.col("f") < least).select("u", F.col("n").alias("each"))
-    # what is summed needs no join, whose null keys would all go to one task
-    sums = sums.where("u IS NULL").withColumn("each", F.lit(None).cast("long")).unionByName(sums.where("u IS NOT NULL").join(rare, "u", "left")).groupBy(*by).agg(F.sum(F.coalesce("n", F.col("m") * F.col("each"), F.lit(0))).alias("n"), F.sum("rows").alias("rows"))
+    # null keys would all go to one task; what is summed has n, so whatever it meets is not looked at
+    apart = F.coalesce("u", F.concat(F.lit(ROUGH * 2), F.col("k").cast("string")))
+    sums = sums.withColumn("u", apart).join(rare, "u", "left").groupBy(*by).agg(F.sum(F.coalesce("n", F.col("m") * F.col("each"), F.lit(0))).alias("n"), F.sum("rows").alias("rows"))
     each = (F.col("n") / F.col("rows")).cast("long")
     return sums.select("doc_id", "n_bytes", each.alias("n_tokens"), (each > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("__nth")).drop("__nth")
