@@ -14,26 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Operator, cut
+from ..plans.folds import numbered
 from ..plans.roles import PHENOTYPES
 from ..sources.crops import number, read_predictions
 from .protocols import CELL_PREDICTIONS, CELL_ROLES
 
-#: monotonically_increasing_id() has a row's place in its partition in these bits.
-_PLACE = (1 << 33) - 1
 #: What a prediction out of fold is known by.
 KEYS = ["protocol", "fold", "row_id", "genotype_id", "environment_id"]
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """rows with their place from 0 in the order of these columns, nulls first; rows that are equal in them follow each other in any order."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = cut(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(_PLACE)))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("n"))  # one row a partition
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.__part") < F.col("a.__part"), "left").groupBy("a.__part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__at")).alias(name), *[F.col(c) for c in rows.columns])
-
-
 def key_digest(rows: DataFrame, keys: list[str]) -> tuple:
     """How many rows there are and four sums of hashes of their keys: the same for the same multiset of keys, in any order."""
     line = F.sha2(F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]), {"ignoreNullFields": "false"}), 256)

@@ -8,18 +8,13 @@ from __future__ import annotations
 
 from ..plans import ranks
 from ..plans.dialect import Operator, Twofold, Written
+from ..plans.folds import Greedy
 from ..plans.roles import DOSAGE, ID_MAP, PHENOTYPES
 from .study import _SUMMARY, CENTERED, FEATURES, GATE, MARKER_QC_B, OOD_ENVIRONMENTS, SEED, STANDARDIZED, _corr
 
 # --- greedy folds --------------------------------------------------------------------------
 
-#: Heaviest first into the least loaded of five folds, ties to the lowest fold. Inherently sequential over the keys,
-#: which are entities (genotypes, clusters, environments), never observations.
-_GREEDY = """SELECT item.k AS k, cast(item.f AS string) AS fold FROM (SELECT explode(placed.held) AS item FROM (
-    SELECT aggregate(sort_array(collect_list(struct(-w AS nw, k AS k))),
-    named_struct('load', array_repeat(cast(0 AS bigint), 5), 'held', cast(array() AS array<struct<k: string, f: bigint>>)),
-    (a, x) -> named_struct('load', transform(a.load, (l, i) -> CASE WHEN i + 1 = array_position(a.load, array_min(a.load)) THEN l - x.nw ELSE l END),
-    'held', array_append(a.held, named_struct('k', x.k, 'f', array_position(a.load, array_min(a.load)) - 1)))) AS placed FROM weights) AS s) AS t"""
+#: Heaviest first into the least loaded of five folds, ties to the lowest fold.
 _GREEDY_OTHER = """WITH RECURSIVE ordered AS (SELECT k, w, row_number() OVER (ORDER BY w DESC, k) AS i FROM weights),
     placed AS (SELECT cast(0 AS bigint) AS i, cast(NULL AS varchar) AS k, cast(-1 AS bigint) AS f, cast([0, 0, 0, 0, 0] AS bigint[]) AS loads
     UNION ALL SELECT o.i, o.k, list_position(p.loads, list_min(p.loads)) - 1,
@@ -28,7 +23,7 @@ _GREEDY_OTHER = """WITH RECURSIVE ordered AS (SELECT k, w, row_number() OVER (OR
 
 
 def _greedy(weights: Operator, name: str) -> Operator:
-    return Twofold(_GREEDY.replace("weights", name), ((name, weights),), _GREEDY_OTHER.replace("weights", name))
+    return Greedy("", ((name, weights),), _GREEDY_OTHER.replace("weights", name))
 
 
 CELLS = Operator.of("SELECT genotype_id, environment_id, count(*) AS n_rows, sum(trait_1) AS s, count(trait_1) AS n FROM phenotypes GROUP BY genotype_id, environment_id", phenotypes=PHENOTYPES)

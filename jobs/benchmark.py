@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoscape.operators import protocols as P
+from genoscape.operators.kernels import must_be_known
 from genoscape.plans.dialect import cut, shared_dir
 from genoscape.plans.roles import PHENOTYPES
 from jobs import command_line, log, stored
@@ -47,6 +48,7 @@ def _prepared(spark: SparkSession, tables: str, trait: str, unit: float) -> tupl
         given = {"cells": cells} | ({"clusters": P.CLUSTERS.run(spark, tables)} if name == "cluster" else {})
         folds[f"{name}_folds"] = greedy.on(spark, **{f"{name}_weights": weights.on(spark, **given)})
     held = {name: op.run(spark, tables) for name, op in P.CELL_LABELS.inputs if name in ("clusters", "ood_genotypes", "ood_environments")}
+    must_be_known(cells, "genotype_id", held["clusters"])  # an inner join would drop them
     labels = P.CELL_LABELS.on(spark, cells=cells, **folds, **held)
     return cells, cut(P.DESIGN.on(spark, cell_labels=labels)), cut(P.OBSERVED.on(spark, phenotypes=phenotypes))
 
