@@ -8,7 +8,8 @@ folds replace just the partitions that they concern. The fits of ``at_once`` pro
 are committed together by one dynamic partition overwrite; seconds are shared evenly among their folds.
 ``<out>/leaderboard`` (trait=) is made from the ledger alone.
 
-Config: crop, traits (name and the unit it is divided by), protocols, models and at_once."""
+Config: crop, traits (name and the unit it is divided by), protocols, at_once and models: global_mean, environment_mean,
+genotype_mean and additive_mean, gblup, reaction_norm_gblup and rkhs."""
 
 from __future__ import annotations
 
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from genoscape.operators import protocols as P
 from genoscape.operators.kernels import must_be_known
+from genoscape.operators.study import FEATURES
+from genoscape.operators.training import Member, feature_values, kernel_predictions
 from genoscape.plans.dialect import cut, shared_dir
-from genoscape.plans.roles import PHENOTYPES
+from genoscape.plans.roles import DOSAGE, PHENOTYPES
 from jobs import command_line, log, stored
 
 CONFIG = Path(__file__).with_suffix(".json")
@@ -38,6 +41,12 @@ def _digest(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, line.alias("line")).groupBy(*by).agg(F.concat_ws("-", F.count("*"), *sums).alias("inputs"))
 
 
+def _tables_digest(spark: SparkSession, tables: str) -> str:
+    """Of weather features and dosages, which kernels are fitted on."""
+    one = [F.lit(1).alias("k")]
+    return "/".join(_digest(rows.select("*", *one), ["k"]).first()["inputs"] for rows in (FEATURES.run(spark, tables), DOSAGE.run(spark, tables).select("genotype_id", "marker_pos", "dosage")))
+
+
 def _prepared(spark: SparkSession, tables: str, trait: str, unit: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phenotypes of one trait under the name the operators know, their design under every protocol, and counted values."""
     every = PHENOTYPES.run(spark, tables)
@@ -53,12 +62,35 @@ def _prepared(spark: SparkSession, tables: str, trait: str, unit: float) -> tupl
     return cells, cut(P.DESIGN.on(spark, cell_labels=labels)), cut(P.OBSERVED.on(spark, phenotypes=phenotypes))
 
 
-def fitted(spark: SparkSession, design: DataFrame, observed: DataFrame) -> DataFrame:
-    """Metrics by protocol, model and fold of the models that need only means, from one design."""
-    left_out = P.LEFT_OUT.on(spark, design=design)
-    predictions = P.CELL_PREDICTIONS.on(spark, design=design, train_means=P.TRAIN_MEANS.on(spark, left_out=left_out))
-    rows = cut(P.MODEL_ROWS.on(spark, observed=observed, cell_predictions=predictions))
-    graded = P.BY_FOLD.on(spark, model_rows=rows)
+#: Models that are fitted on markers and weather; all others are means.
+KERNELS = {"gblup": Member("gblup", "linear"), "reaction_norm_gblup": Member("reaction_norm_gblup", "linear"), "rkhs": Member("rkhs", "rbf")}
+
+
+def kernel_rows(spark: SparkSession, tables: str, design: DataFrame, observed: DataFrame, fits: list[tuple[str, str]]) -> DataFrame:
+    """Counted observations with the prediction of their cell, for each (protocol, model) of kernels."""
+    dosage, values = DOSAGE.run(spark, tables), feature_values(FEATURES.run(spark, tables))
+    y = F.col("y")
+    cells = observed.groupBy("genotype_id", "environment_id").agg(F.sum("m").alias("n"), (F.sum(y * F.col("m")) / F.sum("m")).alias("m"), F.sum(y * y * F.col("m")).alias("ss"))
+    found = None
+    for protocol, model in fits:
+        made = kernel_predictions(dosage, values, cells, design.where(F.col("protocol") == protocol), KERNELS[model])
+        rows = observed.join(made, ["genotype_id", "environment_id"]).select(F.lit(protocol).alias("protocol"), F.lit(model).alias("model"), "fold", "environment_id", "y", F.col("prediction").alias("yhat"), "m")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def fitted(spark: SparkSession, tables: str, design: DataFrame, observed: DataFrame, fits: list[tuple[str, str]]) -> DataFrame:
+    """Metrics by protocol, model and fold of some (protocol, model)."""
+    kernels, rows = [x for x in fits if x[1] in KERNELS], None
+    if len(kernels) < len(fits):
+        left_out = P.LEFT_OUT.on(spark, design=design)
+        predictions = P.CELL_PREDICTIONS.on(spark, design=design, train_means=P.TRAIN_MEANS.on(spark, left_out=left_out))
+        rows = P.MODEL_ROWS.on(spark, observed=observed, cell_predictions=predictions)
+    if kernels:
+        more = kernel_rows(spark, tables, design, observed, kernels)
+        rows = more if rows is None else rows.unionByName(more)
+    asked = F.broadcast(spark.createDataFrame(fits, "protocol string, model string"))  # a few rows of the config
+    graded = P.BY_FOLD.on(spark, model_rows=cut(rows.join(asked, ["protocol", "model"])))
     both = (F.col("pearson") + F.col("spearman")) / 2
     shown = {"pearson": F.round("pearson", 5), "spearman": F.round("spearman", 5), "score": F.round(both, 5), "rmse": F.round(F.sqrt("mse"), 4), "mae": F.round("mae", 4)}
     return graded.select("protocol", "model", "fold", F.col("n").cast("long").alias("n"), *[c.alias(k) for k, c in shown.items()], "defined")
@@ -88,6 +120,8 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
         log.info("read %s: %d cells, %d values", trait, cells.count(), observed.agg(F.sum("m")).first()[0] or 0)
         values = _digest(observed.crossJoin(spark.createDataFrame([(trait,)], "trait string")), ["trait"]).first()
         now = {r["protocol"]: f"{r['inputs']}/{values and values['inputs']}/{unit}" for r in _digest(design.drop("s", "n"), ["protocol"]).collect()}  # one row a protocol
+        if set(config["models"]) & set(KERNELS):
+            now = {protocol: f"{inputs}/{_tables_digest(spark, tables)}" for protocol, inputs in now.items()}
         held = {(r["protocol"], r["model"], r["inputs"]) for r in ledger(spark, out).where(F.col("trait") == trait).select("protocol", "model", "inputs").distinct().collect()}
         todo = sorted((protocol, model) for protocol, inputs in now.items() for model in config["models"] if (protocol, model, inputs) not in held)
         open_protocols = sorted({protocol for protocol, _ in todo})
@@ -95,8 +129,8 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
             group = open_protocols[k : k + config["at_once"]]
             fits = [(p, m, now[p]) for p, m in todo if p in group]
             began = time.time()
-            asked = F.broadcast(spark.createDataFrame(fits, "protocol string, model string, inputs string"))  # a few rows of the config
-            rows = cut(fitted(spark, design.where(F.col("protocol").isin(group)), observed).join(asked, ["protocol", "model"]))
+            asked = F.broadcast(spark.createDataFrame(fits, "protocol string, model string, inputs string"))
+            rows = cut(fitted(spark, tables, design.where(F.col("protocol").isin(group)), observed, [f[:2] for f in fits]).join(asked, ["protocol", "model"]))
             n = rows.count()
             done = rows.select("inputs", *METRICS, F.lit(round((time.time() - began) / max(n, 1), 4)).alias("seconds"), F.lit(trait).alias("trait"), "protocol", "model")
             done.repartition("protocol", "model").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trait", "protocol", "model").parquet(f"{out}/ledger")

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from genoscape.operators import training
+from genoscape.plans.roles import PHENOTYPES
 from jobs import benchmark, text_manifest
 
 SF = "/root/testdata/sf0.001"
@@ -37,11 +39,11 @@ def test_query_equals_its_sql(spark, job, tables):
 def calls(monkeypatch):
     made, real = [], benchmark.fitted
 
-    def fitted(spark, design, observed):
+    def fitted(spark, tables, design, observed, fits):
         made.append(sorted(r[0] for r in design.select("protocol").distinct().collect()))
         if made[-1] == fitted.fails_on:
             raise RuntimeError("killed")
-        return real(spark, design, observed)
+        return real(spark, tables, design, observed, fits)
 
     fitted.fails_on = None
     monkeypatch.setattr(benchmark, "fitted", fitted)
@@ -88,6 +90,19 @@ def test_a_benchmark_of_grown_tables_is_a_new_one(spark, tmp_path, calls):
     assert after == rows(benchmark.run(spark, SF, str(tmp_path / "fresh"), config), METRICS)
 
 
+def test_a_benchmark_of_kernels(spark, tmp_path):
+    """A kernel's folds are graded like those of the means, and equal the query's predictions graded alone."""
+    config = {"crop": "c", "traits": {"trait_1": 1}, "protocols": ["cv_g"], "models": ["global_mean", "gblup"], "at_once": 1}
+    got = {(r.model, r.fold): r for r in benchmark.run(spark, SF, str(tmp_path / "out"), config).collect()}
+    assert len(got) == 10
+    found = training.kernel_oof(spark, SF, training.Member("gblup", "linear")).toPandas()
+    plots = PHENOTYPES.run(spark, SF).where("trait_1 IS NOT NULL").toPandas().merge(found, on=["genotype_id", "environment_id"])
+    for fold, rows_of in plots.groupby("fold"):
+        own = got["gblup", fold]
+        assert own.n == len(rows_of) and own.pearson == pytest.approx(rows_of.trait_1.corr(rows_of.prediction), abs=1e-4)
+        assert own.rmse == pytest.approx(float(((rows_of.trait_1 - rows_of.prediction) ** 2).mean() ** 0.5), abs=1e-3)
+
+
 def documents(folder, name: str, table: pa.Table) -> None:
     (folder / "documents.parquet").mkdir(parents=True, exist_ok=True)
     pq.write_table(table, folder / "documents.parquet" / name)
