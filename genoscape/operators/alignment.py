@@ -106,7 +106,7 @@ def must_exclude(rows: DataFrame, lock: DataFrame, role: str = "development") ->
 
 def must_be_fitted_on(fingerprint: tuple, rows: DataFrame, keys: list[str] = ["genotype_id"]) -> None:  # noqa: B006
     """An error unless a model's digest of its training keys is that of these rows."""
-    if key_digest(rows.select(*keys).distinct(), keys) != tuple(fingerprint):
+    if tuple(map(str, key_digest(rows.select(*keys).distinct(), keys))) != tuple(map(str, fingerprint)):
         raise AssertionError(f"the model was fitted on other {keys}")
 
 

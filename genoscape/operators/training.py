@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..plans.dialect import cut
 from ..plans.roles import DOSAGE, PHENOTYPES
+from ..sources.crops import canonical_hash, row_digest
 from . import clusters, kernels
+from .alignment import key_digest, must_be_fitted_on
 from .models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, stacked, stacking_weights
 from .protocols import CELL_LABELS, CELLS, CLUSTER_WEIGHTS, DESIGN, ENVIRONMENT_WEIGHTS, GENOTYPE_WEIGHTS, GREEDY_CLUSTER_FOLDS, GREEDY_ENVIRONMENT_FOLDS, GREEDY_GENOTYPE_FOLDS, OOF_PROTOCOLS, STRICT_REGISTRY
 from .study import FEATURES, SEED
@@ -106,8 +109,10 @@ def ridge_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- final model -----------------------------------------------------------------------------------
 
 
-def train(panel: Panel, markers: DataFrame, cells: DataFrame, values: dict, path: str, crop: str, trait: str, settings: Settings = Settings()) -> None:
-    """Fits on all cells and writes a folder: marker effects as Parquet, the rest as JSON. markers: (marker_pos, marker_id)."""
+def train(panel: Panel, markers: DataFrame, cells: DataFrame, values: dict, path: str, crop: str, trait: str, settings: Settings = Settings(), version: int | None = None) -> None:
+    """Fits on all cells and writes a new version into a folder: marker effects as Parquet, the rest as JSON with digests of both. markers: (marker_pos, marker_id).
+
+    The version (by default the time) must be new; readers take the highest that is complete. Earlier ones stay."""
     spark = panel.rows.sparkSession
     absent = cells.join(spark.createDataFrame([(g,) for g in panel.genotypes], "genotype_id string"), "genotype_id", "anti")
     missing = [r[0] for r in absent.select("genotype_id").distinct().orderBy("genotype_id").limit(10).collect()]
@@ -146,7 +151,8 @@ def train(panel: Panel, markers: DataFrame, cells: DataFrame, values: dict, path
     for p in parts[1:]:
         table = table.join(p, "marker_pos").select("marker_pos", F.concat("effects", "effect").alias("effects"))
     frequency = panel.statistics({"all": mask}).select("marker_pos", "frequency")
-    table.join(frequency, "marker_pos").join(markers, "marker_pos").write.mode("overwrite").parquet(f"{path}/markers")
+    folder = f"{path}/version={version or time.time_ns() // 1000}"
+    table.join(frequency, "marker_pos").join(markers, "marker_pos").write.parquet(f"{folder}/markers")
     train_pcs = pcs.transform(values, envs)
     d = np.sqrt(((train_pcs[:, None] - train_pcs[None]) ** 2).sum(2))
     d[d <= 1e-12] = np.inf
@@ -156,20 +162,39 @@ def train(panel: Panel, markers: DataFrame, cells: DataFrame, values: dict, path
             "pcs": {"features": pcs.features, "fill": pcs.fill.tolist(), "centre": pcs.centre.tolist(), "scale": pcs.scale.tolist(), "axes": pcs.axes.tolist()},
             "scaler": scaler and {"known": {k: list(map(float, v)) for k, v in scaler.known.items()}, "location": [scaler.location[0].tolist(), scaler.location[1]], "log_scale": [scaler.log_scale[0].tolist(), scaler.log_scale[1]],
                                   "mean_bounds": list(map(float, scaler.mean_bounds)), "scale_bounds": list(map(float, scaler.scale_bounds))}}
-    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+    # the head is written last: a version without one is no version, so a crash leaves the model that was there
+    head["markers"] = row_digest(spark.read.parquet(f"{folder}/markers"))
+    head["genotypes"] = list(map(str, key_digest(rows.select("genotype_id").distinct(), ["genotype_id"])))
+    head["digest"] = canonical_hash(head)
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(f"{folder}/head")
 
 
 class Model:
-    """A stored model; predictions are joins with its marker table and one row an environment."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.markers = spark, spark.read.parquet(f"{path}/markers")
-        self.head = json.loads(spark.read.text(f"{path}/head").first()[0])
+    """The last complete version of a stored model, or a given one; predictions are joins with its marker table and one row an environment.
+
+    A head or marker table that was changed after training is an error."""
+
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+        heads = spark.read.option("basePath", path).text(f"{path}/version=*/head").withColumn("version", F.col("version").cast("long"))
+        heads = heads.where(F.col("version") == version) if version is not None else heads
+        last = heads.orderBy(F.desc("version")).first()
+        if last is None:
+            raise FileNotFoundError(f"no complete version of a model in {path}")
+        self.spark, self.version, self.head = spark, last["version"], json.loads(last["value"])
+        self.markers = spark.read.parquet(f"{path}/version={self.version}/markers")
         if self.head["schema_version"] != 1:
             raise ValueError("unknown schema version of the model")
+        if canonical_hash({k: v for k, v in self.head.items() if k != "digest"}) != self.head["digest"]:
+            raise AssertionError("the model's head does not match its digest")
+        if row_digest(self.markers) != self.head["markers"]:
+            raise AssertionError("the model's markers do not match their digest")
         p = self.head["pcs"]
         self.pcs = EnvironmentPCs(p["features"], *(np.array(p[k]) for k in ("fill", "centre", "scale", "axes")))
 
+    def must_be_fitted_on(self, rows: DataFrame) -> None:
+        """An error unless the model was trained on exactly the genotypes of these rows."""
+        must_be_fitted_on(tuple(self.head["genotypes"]), rows)
+
     def genotype_scores(self, dosage: DataFrame) -> DataFrame:
         """(genotype_id, scores, called): dosage has genotype_id, marker_id, dosage; markers that are absent or not called add 0."""
         width = sum(m["width"] for m in self.head["members"])

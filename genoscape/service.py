@@ -31,7 +31,7 @@ class Models:
         if (crop, trait) not in self.paths:
             raise LookupError(f"no model for {crop} {trait}")
         if not isinstance(records, list) or not records:
-            raise ValueError("records must be a non-empty list")
+            raise ValueError("send at least one record, in a list")
         names = list(dict.fromkeys(k for r in records for k in r))
         if {"genotype_id", "environment_id"} - set(names):
             raise ValueError("records need genotype_id and environment_id")

@@ -183,14 +183,15 @@ def write_registry(registry: DataFrame, folder: str, crop: str, seed: int) -> st
     """Observations as Parquet; the head holds a hash over all of them, made of per-row hashes by a sum, so no order or driver is needed."""
     registry.write.mode("overwrite").parquet(f"{folder}/observations")
     stored = registry.sparkSession.read.parquet(f"{folder}/observations")
-    head = {"schema_version": 1, "crop": crop, "seed": seed, **_row_digest(stored)}
+    head = {"schema_version": 1, "crop": crop, "seed": seed, **row_digest(stored)}
     head["registry_hash"] = canonical_hash(head)
     head_rows = registry.sparkSession.createDataFrame([(json.dumps(head, sort_keys=True),)], "value string")
     head_rows.coalesce(1).write.mode("overwrite").text(f"{folder}/head")
     return head["registry_hash"]
 
 
-def _row_digest(rows: DataFrame) -> dict:
+def row_digest(rows: DataFrame) -> dict:
+    """Rows and sums of hashes of their JSON: the same for the same rows in any order."""
     parts = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{k}") for k in range(8)]
     line = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h")
     got = rows.select(line).agg(F.count("*").alias("n"), *parts).first()
@@ -201,7 +202,7 @@ def read_registry(spark: SparkSession, folder: str) -> DataFrame:
     """Observations of a registry whose hash still holds."""
     head = json.loads(spark.read.text(f"{folder}/head").first()[0])
     rows = spark.read.parquet(f"{folder}/observations")
-    found = _row_digest(rows)
+    found = row_digest(rows)
     if canonical_hash(head) != head["registry_hash"] or any(head[k] != found[k] for k in found):
         raise AssertionError("registry hash does not match its rows")
     return rows

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import shutil
 import threading
 import urllib.error
 import urllib.request
@@ -377,6 +378,27 @@ def test_train_predict_serve_and_stream(spark, crop, tmp_path):
     dosage, values = crops.read_dosage(spark, str(crop), "Rice"), weather_features(crops.read_weather(spark, str(crop), "Rice", str(crop / "map.csv")))
     with pytest.raises(KeyError):
         model.predict(spark.createDataFrame([("nobody", "E0")], "genotype_id string, environment_id string"), dosage, values)
+    model.must_be_fitted_on(crops.read_phenotypes(spark, str(crop), "Rice", str(crop / "map.csv")).select("genotype_id"))
+    with pytest.raises(AssertionError, match="other"):
+        model.must_be_fitted_on(spark.createDataFrame([("S1",)], "genotype_id string"))
+    folder = tmp_path / "models" / "Rice__Trait_1"
+    crashed = folder / f"version={model.version + 1}" / "markers"
+    shutil.copytree(folder / f"version={model.version}" / "markers", crashed)  # a training that died before its head
+    assert Model(spark, str(folder)).version == model.version
+    shutil.copytree(folder / f"version={model.version}", folder / "version=7")
+    assert Model(spark, str(folder), 7).version == 7 and Model(spark, str(folder)).version == model.version
+    spark.read.parquet(str(folder / "version=7" / "markers")).withColumn("frequency", F.col("frequency") + 0.01).write.parquet(str(tmp_path / "changed"))
+    shutil.rmtree(folder / "version=7" / "markers")
+    shutil.move(tmp_path / "changed", folder / "version=7" / "markers")
+    with pytest.raises(AssertionError, match="markers"):
+        Model(spark, str(folder), 7)
+    text = spark.read.text(str(folder / "version=7" / "head")).first()[0].replace('"Rice"', '"Maize"')
+    shutil.rmtree(folder / "version=7" / "head")
+    spark.createDataFrame([(text,)], "value string").write.text(str(folder / "version=7" / "head"))
+    with pytest.raises(AssertionError, match="head"):
+        Model(spark, str(folder), 7)
+    with pytest.raises(FileNotFoundError):
+        Model(spark, str(folder), 8)
     far = values | {"new": {k: (v or 0) + 50 for k, v in values["E0"].items()}}
     new = model.predict(spark.createDataFrame([("S1", "new")], "genotype_id string, environment_id string"), dosage, far).first()
     assert new.gate_weight == 1.0 and np.isfinite(new.prediction)
