@@ -273,6 +273,28 @@ TOKEN_CODES = Operator.of(
     """SELECT p.genotype_id, p.marker_pos, CASE WHEN p.kind = 'missing' THEN NULL WHEN m.minor IS NULL THEN cast(NUMBER(replace(p.token, '_', '')) AS integer) WHEN p.kind = 'numeric' THEN NULL
     WHEN substr(p.token, 1, 1) = m.minor THEN 1 ELSE 0 END + CASE WHEN m.minor IS NOT NULL AND length(p.token) > 1 AND substr(p.token, 2, 1) = m.minor THEN 1 ELSE 0 END AS dosage
     FROM parsed AS p LEFT JOIN minor ON p.marker_pos = minor.marker_pos""".replace("m.minor", "minor.minor"), parsed=PARSED, minor=MINOR)
+#: Tokens of a marker with their counts: all that the tables below read, whatever the number of genotypes.
+MARKER_TOKENS = Operator.of(
+    """SELECT marker_pos, token, kind, n, CASE WHEN kind = 'numeric' THEN cast(cast(NUMBER(replace(token, '_', '')) AS integer) AS string) WHEN kind = 'categorical' THEN token END AS value
+    FROM (SELECT marker_pos, token, kind, count(*) AS n FROM parsed GROUP BY marker_pos, token, kind) AS t""", parsed=PARSED)
+TOKEN_COUNTS = Operator.of("SELECT token, kind, cast(sum(n) AS bigint) AS n, count(DISTINCT marker_pos) AS n_markers FROM marker_tokens GROUP BY token, kind", marker_tokens=MARKER_TOKENS)
+ENCODING_COUNTS = Operator.of("SELECT kind, cast(sum(n) AS bigint) AS n, count(DISTINCT marker_pos) AS n_markers FROM marker_tokens GROUP BY kind", marker_tokens=MARKER_TOKENS)
+ALLELE_COUNTS = Operator.of(
+    """SELECT marker_pos, substr(token, i, 1) AS allele, cast(sum(n) AS bigint) AS n FROM (SELECT marker_pos, token, n, SERIES(1, length(token)) AS i FROM marker_tokens WHERE kind = 'categorical') AS c
+    GROUP BY marker_pos, substr(token, i, 1)""", marker_tokens=MARKER_TOKENS)
+#: A marker with numeric tokens alone is numeric and has two alleles; else its alleles are the characters of its categorical tokens.
+ALLELE_TABLE = Operator.of(
+    """SELECT t.marker_pos, CASE WHEN is_numeric THEN 'numeric' ELSE 'categorical' END AS encoding, n_tokens, CASE WHEN is_numeric THEN n_numeric ELSE n_categorical END AS n_called,
+    round(1 - CASE WHEN is_numeric THEN n_numeric ELSE n_categorical END / cast(n_tokens AS double), 9) AS missing_rate, CASE WHEN is_numeric THEN 2 ELSE coalesce(a.n_alleles, 0) END AS n_alleles,
+    CASE WHEN is_numeric THEN false ELSE coalesce(a.n_alleles, 0) > 2 END AS multiallelic, n_values > 1 AS polymorphic,
+    round(CASE WHEN is_numeric THEN least(dosages / (2 * cast(n_numeric AS double)), 1 - dosages / (2 * cast(n_numeric AS double))) ELSE least(a.fewest, a.n - a.fewest) / cast(a.n AS double) END, 9) AS maf,
+    round(CASE WHEN is_numeric THEN ones / cast(n_numeric AS double) WHEN n_categorical > 0 THEN hets / cast(n_categorical AS double) END, 9) AS heterozygosity
+    FROM (SELECT *, n_numeric > 0 AND n_categorical = 0 AS is_numeric FROM (SELECT marker_pos, cast(sum(n) AS bigint) AS n_tokens, cast(sum(CASE WHEN kind = 'numeric' THEN n ELSE 0 END) AS bigint) AS n_numeric,
+    cast(sum(CASE WHEN kind = 'categorical' THEN n ELSE 0 END) AS bigint) AS n_categorical, count(DISTINCT value) AS n_values, sum(CASE WHEN kind = 'numeric' THEN NUMBER(value) * n ELSE 0 END) AS dosages,
+    cast(sum(CASE WHEN kind = 'numeric' AND value = '1' THEN n ELSE 0 END) AS bigint) AS ones, cast(sum(CASE WHEN kind = 'categorical' AND length(token) > 1 AND substr(token, 1, 1) <> substr(token, 2, 1) THEN n ELSE 0 END) AS bigint) AS hets
+    FROM marker_tokens GROUP BY marker_pos) AS s) AS t
+    LEFT JOIN (SELECT marker_pos, count(*) AS n_alleles, cast(sum(n) AS bigint) AS n, min(n) AS fewest FROM allele_counts GROUP BY marker_pos) AS a ON t.marker_pos = a.marker_pos""",
+    marker_tokens=MARKER_TOKENS, allele_counts=ALLELE_COUNTS)
 #: At most 400 genotypes in hash order, each with its next 75 on the ring; similarity over markers called in both.
 RING = Operator.of(
     f"""SELECT genotype_id, place, least(n, 400) AS n FROM (SELECT genotype_id, row_number() OVER (ORDER BY SHA('{SEED}|' || genotype_id), genotype_id) - 1 AS place, count(*) OVER () AS n
@@ -306,6 +328,6 @@ MARKER_PANEL_HASH = Operator.of("SELECT SHA(JOINED('M' || lpad(cast(marker_pos A
 _REPORTED = (
     "CV_GE SPLIT_SUMMARY LEAKS GREEDY_GENOTYPE_FOLDS GREEDY_ENVIRONMENT_FOLDS GREEDY_CLUSTER_FOLDS CLUSTER_CHOICE OOD_GENOTYPES GENOTYPE_NOVELTY ENVIRONMENT_NOVELTY INDEPENDENT_ROLES ROLE_SUMMARY ROLE_LEAKS STRICT_REGISTRY "
     "PROTOCOL_SUMMARY CELL_PREDICTIONS OOF_PROTOCOLS METRICS_BY_FOLD METRICS_BY_ENVIRONMENT METRICS_BY_PROTOCOL ENVIRONMENT_MACRO STRICT_LEADERBOARD NESTED_SELECT EQUAL_ENSEMBLE CROSSFIT_WEIGHT CROSSFIT_BLEND "
-    "GATED_BLEND INNER_SPLIT TOKEN_CODES SIMILARITY_SUMMARY VANRADEN GENOMIC_OP KERNEL_ALIGNMENT PORTABLE_PREDICT MAP_CHECK MARKER_PANEL_HASH"
+    "GATED_BLEND INNER_SPLIT TOKEN_CODES TOKEN_COUNTS ENCODING_COUNTS ALLELE_COUNTS ALLELE_TABLE SIMILARITY_SUMMARY VANRADEN GENOMIC_OP KERNEL_ALIGNMENT PORTABLE_PREDICT MAP_CHECK MARKER_PANEL_HASH"
 )
 OPERATORS: dict[str, Operator] = {name.lower(): globals()[name] for name in _REPORTED.split()}

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from .operators.study import FEATURES, WEATHER_BASIC
 from .operators.training import Model, feature_values
+from .plans.dialect import cut
 from .sources.crops import read_dosage, read_weather
 
 
@@ -21,11 +22,23 @@ def weather_features(weather) -> dict:
 
 
 class Models:
-    """Model folders named {crop}__{trait} under a root, with the crop's inputs."""
+    """Model folders named {crop}__{trait} under a root, with the crop's inputs; both are read at the first request for them and kept."""
 
     def __init__(self, spark: SparkSession, root: str, data: str, id_map: str | None = None):
         self.spark, self.data, self.id_map = spark, data, id_map
         self.paths = {tuple(p.name.split("__", 1)): str(p) for p in sorted(Path(root).iterdir()) if "__" in p.name}
+        self.models: dict[tuple[str, str], Model] = {}
+        self.inputs: dict[str, tuple] = {}
+
+    def model(self, crop: str, trait: str) -> Model:
+        if (crop, trait) not in self.models:
+            self.models[crop, trait] = Model(self.spark, self.paths[crop, trait])
+        return self.models[crop, trait]
+
+    def input(self, crop: str) -> tuple:
+        if crop not in self.inputs:
+            self.inputs[crop] = weather_features(read_weather(self.spark, self.data, crop, self.id_map)), cut(read_dosage(self.spark, self.data, crop))
+        return self.inputs[crop]
 
     def predict(self, crop: str, trait: str, records: list[dict]) -> list[dict]:
         if (crop, trait) not in self.paths:
@@ -36,9 +49,8 @@ class Models:
         if {"genotype_id", "environment_id"} - set(names):
             raise ValueError("records need genotype_id and environment_id")
         rows = self.spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in records], ", ".join(f"`{n}` string" for n in names))
-        values = weather_features(read_weather(self.spark, self.data, crop, self.id_map))
-        model = Model(self.spark, self.paths[crop, trait])
-        return [r.asDict() for r in model.predict(rows, read_dosage(self.spark, self.data, crop), values).collect()]
+        values, dosage = self.input(crop)
+        return [r.asDict() for r in self.model(crop, trait).predict(rows, dosage, values).collect()]
 
 
 def answer(models: Models, method: str, path: str, body: bytes) -> tuple[int, dict]:

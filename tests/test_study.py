@@ -89,3 +89,21 @@ def test_tokens_are_stripped_and_type_letters_are_no_numbers(spark):
     rows = spark.createDataFrame([("G", i, t) for i, t in enumerate(want)], "genotype_id string, marker_pos int, token string")
     got = protocols.PARSED.on(spark, tokens=rows).collect()
     assert {list(want)[r.marker_pos]: r.kind for r in got} == want
+
+
+def test_allele_tables(spark):
+    """Numeric, categorical, mixed, multi-allelic, monomorphic and all-missing markers."""
+    markers = {0: ["0", "1", "1.0", "2", "NA"], 1: ["AA", "AG", "GG", "AG", "NN"], 2: ["AA", "CT", "G", "TT", "?"], 3: ["AA", "AA", "", "AA", "AA"], 4: ["NA"] * 5, 5: ["1", "AG", "0", "GG", "."], 6: ["1", "1.0", "1", "+1", " 1 "]}
+    rows = [(f"g{g}", m, t) for m, line in markers.items() for g, t in enumerate(line)]
+    tokens = protocols.MARKER_TOKENS.on(spark, parsed=protocols.PARSED.on(spark, tokens=spark.createDataFrame(rows, "genotype_id string, marker_pos int, token string")))
+    alleles = protocols.ALLELE_COUNTS.on(spark, marker_tokens=tokens)
+    got = {r.marker_pos: (r.encoding, r.n_called, r.n_alleles, r.multiallelic, r.polymorphic, r.maf, r.heterozygosity) for r in protocols.ALLELE_TABLE.on(spark, marker_tokens=tokens, allele_counts=alleles).collect()}
+    assert got == {
+        0: ("numeric", 4, 2, False, True, 0.5, 0.5),
+        1: ("categorical", 4, 2, False, True, 0.5, 0.5),
+        2: ("categorical", 4, 4, True, True, round(1 / 7, 9), 0.25),
+        3: ("categorical", 4, 1, False, False, 0.0, 0.0),
+        4: ("categorical", 0, 0, False, False, None, None),
+        5: ("categorical", 2, 2, False, True, 0.25, 0.5),
+        6: ("numeric", 5, 2, False, False, 0.5, 1.0),
+    }
