@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from .models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, gen
 from .protocols import CELL_LABELS, CELLS, CLUSTER_WEIGHTS, DESIGN, ENVIRONMENT_WEIGHTS, GENOTYPE_WEIGHTS, GREEDY_CLUSTER_FOLDS, GREEDY_ENVIRONMENT_FOLDS, GREEDY_GENOTYPE_FOLDS, OOF_PROTOCOLS, STRICT_REGISTRY
 from .study import FEATURES, SEED
 
+#: Bandwidths of the multi-scale kernel.
+SCALES = (0.5, 1.0)
 BASE_MODELS = ["global_mean", "environment_mean", "genotype_mean", "additive_mean"]
 
 
@@ -41,6 +44,8 @@ class Member:
     kind: str = "rbf"
     bandwidth: float = 1.0
     weight: float = 1.0
+    #: Fitted on values less their environment's mean, by its spread; both are predicted for environments not seen.
+    standardised: bool = False
 
 
 @dataclass(frozen=True)
@@ -69,15 +74,51 @@ def places(spark: SparkSession, genotypes: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(genotypes)), "g int, genotype_id string")
 
 
-def kernel_oof(spark: SparkSession, sf_dir: str, member: Member, protocol: str = "cv_g", settings: Settings = Settings()) -> DataFrame:
+def kernel_oof(spark: SparkSession, sf_dir: str, member: Member | list[Member], protocol: str = "cv_g", settings: Settings = Settings()) -> DataFrame:
     """(fold, genotype_id, environment_id, prediction) of the held-out cells of a protocol; all statistics come from training cells."""
     design = cut(DESIGN.run(spark, sf_dir).where(F.col("protocol") == protocol))
     return kernel_predictions(DOSAGE.run(spark, sf_dir), feature_values(FEATURES.run(spark, sf_dir)), cell_sums(PHENOTYPES.run(spark, sf_dir), "trait_1"), design, member, settings)
 
 
-def kernel_predictions(dosage: DataFrame, values: dict, cells: DataFrame, design: DataFrame, member: Member, settings: Settings = Settings()) -> DataFrame:
-    """Of one kernel model in every fold of a design (genotype_id, environment_id, fg, fe): fold f holds out cells with fg = fe = f and trains on those with neither."""
+def location_scale(stats: list, envs: list[str], pcs: EnvironmentPCs, values: dict) -> LocationScale:
+    """From one row (environment_id, n, s, ss) a training environment."""
+    by = {r["environment_id"]: r for r in stats}
+    n, s, ss = (np.array([by[e][k] for e in envs], float) for k in ("n", "s", "ss"))
+    mean = s / n
+    sd = np.where(n > 1, np.sqrt(np.maximum(ss - n * mean**2, 0) / np.maximum(n - 1, 1)), np.nan)
+    spread = np.sqrt(max(ss.sum() / n.sum() - (s.sum() / n.sum()) ** 2, 0))
+    return LocationScale().fit(envs, mean, sd, spread, pcs.transform(values, envs))
+
+
+def environment_sums(cells: DataFrame, *by: str) -> list:
+    """by and n, s, ss of an environment's observations: few rows."""
+    return cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("m") * F.col("n")).alias("s"), F.sum("ss").alias("ss")).collect()
+
+
+def standardised(rows: DataFrame, scales: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of values less mu, by sd: their means and sums of squares."""
+    ss = (F.col("ss") - 2 * F.col("mu") * F.col("m") * F.col("n") + F.col("n") * F.col("mu") ** 2) / F.col("sd") ** 2
+    return rows.join(scales, by).withColumn("ss", ss).withColumn("m", (F.col("m") - F.col("mu")) / F.col("sd")).drop("mu", "sd")
+
+
+def fold_scales(training: DataFrame, values: dict, learned: dict) -> DataFrame:
+    """(fold, environment_id, mu, sd) of all environments, from each fold's training cells."""
+    stats: dict[str, list] = {}
+    for r in environment_sums(training, "fold", "environment_id"):
+        stats.setdefault(r["fold"], []).append(r)
+    rows, ids = [], sorted(values)
+    for fold, (pcs, _) in learned.items():
+        scaler = location_scale(stats[fold], sorted(r["environment_id"] for r in stats[fold]), pcs, values)
+        rows += [(fold, e, float(m), float(d)) for e, m, d in zip(ids, *scaler.parameters(ids, pcs.transform(values, ids)), strict=True)]
+    return F.broadcast(training.sparkSession.createDataFrame(rows, "fold string, environment_id string, mu double, sd double"))
+
+
+def kernel_predictions(dosage: DataFrame, values: dict, cells: DataFrame, design: DataFrame, members: Member | list[Member], settings: Settings = Settings()) -> DataFrame:
+    """Of one kernel model, or the weighted mean of several, in every fold of a design (genotype_id, environment_id, fg, fe): fold f holds out cells with fg = fe = f and trains on those with neither.
+
+    Members share the components of the markers, which are found once for all folds."""
     spark = cells.sparkSession
+    members = [members] if isinstance(members, Member) else members
     labelled = cut(cells.join(design.select("genotype_id", "environment_id", "fg", "fe"), ["genotype_id", "environment_id"]).select("genotype_id", "environment_id", "n", "m", "ss", "fg", "fe"))
     kernels.must_be_known(labelled, "genotype_id", dosage.select("genotype_id").distinct())
     panel = Panel.of(dosage.join(labelled.select("genotype_id").distinct(), "genotype_id", "left_semi"))
@@ -86,15 +127,25 @@ def kernel_predictions(dosage: DataFrame, values: dict, cells: DataFrame, design
         at = places(spark, panel.genotypes)
         kernels.must_be_known(labelled, "environment_id", spark.createDataFrame([(e,) for e in values], "environment_id string"))
         folds = F.broadcast(labelled.where("fg = fe").select(F.col("fg").alias("fold")).distinct())
-        training = labelled.join(folds, (F.col("fg") != F.col("fold")) & (F.col("fe") != F.col("fold")))
+        training = labelled.join(folds, (F.col("fg") != F.col("fold")) & (F.col("fe") != F.col("fold"))).drop("fg", "fe")
         sets, of, environments = kernels.training_sets(training, panel.genotypes)
         made = kernels.components(Panel(rows, panel.genotypes), sets, settings.most_components, settings.min_maf, settings.max_missing)
-        factors, _ = fold_factors(spark, values, environments, member, settings)
-        models = kernels.fit(training.join(at, "genotype_id").join(factors, ["fold", "environment_id"]), made, of, member.model)
-        held = labelled.where("fg = fe").withColumnRenamed("fg", "fold").join(at, "genotype_id").join(factors, ["fold", "environment_id"])
-        return kernels.predicted(held.select("fold", "genotype_id", "environment_id", "g", "factor"), made, models).drop("g")
     finally:
         rows.unpersist()
+    held = labelled.where("fg = fe").withColumnRenamed("fg", "fold").join(at, "genotype_id")
+    found = []
+    for member in members:
+        factors, learned = fold_factors(spark, values, environments, member, settings)
+        scales = fold_scales(training, values, learned) if member.standardised else None
+        fitted_on = standardised(training, scales, ["fold", "environment_id"]) if member.standardised else training
+        models = kernels.fit(fitted_on.join(at, "genotype_id").join(factors, ["fold", "environment_id"]), made, of, member.model)
+        own = kernels.predicted(held.join(factors, ["fold", "environment_id"]).select("fold", "genotype_id", "environment_id", "g", "factor"), made, models).drop("g")
+        if member.standardised:
+            own = own.join(scales, ["fold", "environment_id"]).select("fold", "genotype_id", "environment_id", (F.col("mu") + F.col("sd") * F.col("prediction")).alias("prediction"))
+        found.append(own.withColumn("weight", F.lit(member.weight)))
+    if len(found) == 1:
+        return found[0].drop("weight")
+    return reduce(DataFrame.unionByName, found).groupBy("fold", "genotype_id", "environment_id").agg((F.sum(F.col("weight") * F.col("prediction")) / F.sum("weight")).alias("prediction"))
 
 
 def ridge_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,16 +180,9 @@ def train(panel: Panel, markers: DataFrame, cells: DataFrame, values: dict, path
     scaler = None
     todo = [(m, rows) for m in settings.members]
     if settings.fallback:
-        by = {r["environment_id"]: r for r in rows.groupBy("environment_id").agg(F.sum("n").alias("n"), F.sum(F.col("m") * F.col("n")).alias("s"), F.sum("ss").alias("ss")).collect()}  # one row an environment
-        n_e, s_e, ss_e = (np.array([by[e][k] for e in envs], float) for k in ("n", "s", "ss"))
-        mean_e = s_e / n_e
-        sd = np.where(n_e > 1, np.sqrt(np.maximum(ss_e - n_e * mean_e**2, 0) / np.maximum(n_e - 1, 1)), np.nan)
-        spread = np.sqrt(max(ss_e.sum() / n_e.sum() - (s_e.sum() / n_e.sum()) ** 2, 0))
-        scaler = LocationScale().fit(envs, mean_e, sd, spread, pcs.transform(values, envs))
+        scaler = location_scale(environment_sums(rows, "environment_id"), envs, pcs, values)
         known = F.broadcast(spark.createDataFrame([(e, float(m), float(d)) for e, (m, d) in scaler.known.items()], "environment_id string, mu double, sd double"))
-        standard = rows.join(known, "environment_id").select("fold", "genotype_id", "environment_id", "n", ((F.col("m") - F.col("mu")) / F.col("sd")).alias("m"),
-                                                             ((F.col("ss") - 2 * F.col("mu") * F.col("m") * F.col("n") + F.col("n") * F.col("mu") ** 2) / F.col("sd") ** 2).alias("ss"))
-        todo.append((Member(), standard))
+        todo.append((Member(), standardised(rows, known, ["environment_id"])))
     for member, y in todo:
         factors, learned = fold_factors(spark, values, environments, member, settings)
         kernel = learned["all"][1]
@@ -311,6 +355,8 @@ QUERIES = {
     "kernel_gblup_oof": lambda spark, sf_dir: kernel_oof(spark, sf_dir, Member("gblup", "linear")),
     "kernel_reaction_norm_oof": lambda spark, sf_dir: kernel_oof(spark, sf_dir, Member("reaction_norm_gblup", "linear")),
     "kernel_rkhs_oof": lambda spark, sf_dir: kernel_oof(spark, sf_dir, Member("rkhs", "rbf"), "cv_ge"),
+    "kernel_multiscale_oof": lambda spark, sf_dir: kernel_oof(spark, sf_dir, [Member("rkhs", "rbf", b) for b in SCALES]),
+    "kernel_distributional_oof": lambda spark, sf_dir: kernel_oof(spark, sf_dir, Member("rkhs", "rbf", standardised=True), "cv_e"),
     "stacking_weights": _weights,
     "stacked_oof": _stacked,
     "panel_structure": _structure,

@@ -162,6 +162,38 @@ def test_a_kernel_in_every_fold_equals_dense_solves(spark):
         training.kernel_predictions(dosage.where("genotype_id <> 'g00'"), values, frame, design, training.Member())
 
 
+def test_several_scales_and_standardised_values_out_of_fold(spark):
+    rng = np.random.default_rng(21)
+    d = rng.integers(0, 3, (20, 25))
+    dosage = spark.createDataFrame([(f"g{i:02d}", j, int(d[i, j])) for i in range(20) for j in range(25)], "genotype_id string, marker_pos int, dosage int")
+    values = {f"E{k}": {"a": float(k), "b": float(k * k % 5)} for k in range(6)}
+    labels = [(f"g{i:02d}", f"E{k}", "f" if k > 3 else "x", "f" if k > 3 else "y") for i in range(20) for k in range(6)]
+    cells = [(g, e, 3, float(rng.normal() * (1 + int(e[1])) + 5 * int(e[1])), 0.0) for g, e, *_ in labels]
+    cells = [(g, e, n, m, n * m * m + 0.7) for g, e, n, m, _ in cells]
+    schema = "genotype_id string, environment_id string, n long, m double, ss double"
+    design = spark.createDataFrame(labels, "genotype_id string, environment_id string, fg string, fe string")
+
+    def run(rows, members):
+        return {(r.genotype_id, r.environment_id): r.prediction for r in training.kernel_predictions(dosage, values, spark.createDataFrame(rows, schema), design, members).collect()}
+
+    half, one = training.Member("rkhs", "rbf", 0.5), training.Member("rkhs", "rbf", 1.0, 3.0)
+    apart, both = (run(cells, half), run(cells, one)), run(cells, [half, one])
+    assert set(both) == {x[:2] for x in labels if x[2] == "f"} and all(both[k] == pytest.approx((apart[0][k] + 3 * apart[1][k]) / 4) for k in both)
+    envs = ["E0", "E1", "E2", "E3"]
+    n, m, ss = ({e: np.array([c[k] for c in cells if c[1] == e], float) for e in envs} for k in (2, 3, 4))
+    mean = np.array([(n[e] * m[e]).sum() / n[e].sum() for e in envs])
+    sd = np.array([np.sqrt((ss[e].sum() - n[e].sum() * mu**2) / (n[e].sum() - 1)) for e, mu in zip(envs, mean, strict=True)])
+    every = np.concatenate([n[e] for e in envs])
+    spread = np.sqrt(sum(ss[e].sum() for e in envs) / every.sum() - (np.concatenate([n[e] * m[e] for e in envs]).sum() / every.sum()) ** 2)
+    pcs = EnvironmentPCs.fit(values, envs, 5)
+    scaler = LocationScale().fit(envs, mean, sd, float(spread), pcs.transform(values, envs))
+    mu, scale = ({e: float(v) for e, v in zip(sorted(values), x, strict=True)} for x in scaler.parameters(sorted(values), pcs.transform(values, sorted(values))))
+    known = [(g, e, n, (m - mu[e]) / scale[e], (ss - 2 * mu[e] * m * n + n * mu[e] ** 2) / scale[e] ** 2) for g, e, n, m, ss in cells]
+    plain = run(known, training.Member("rkhs", "rbf"))
+    got = run(cells, training.Member("rkhs", "rbf", standardised=True))
+    assert all(got[k] == pytest.approx(mu[k[1]] + scale[k[1]] * plain[k]) for k in plain) and len(got) == len(plain)
+
+
 def test_ridge_equals_numpy(spark):
     rng = np.random.default_rng(1)
     d = rng.integers(-1, 3, (10, 9))
