@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.dialect import Operator, cut
+from ..plans.dialect import Operator, cut, importable
 from .kernels import leading
 from .models import Panel
 
@@ -78,6 +78,7 @@ def _points(batch: pa.RecordBatch) -> np.ndarray:
 
 def clustered(points: DataFrame, ks: list[int], starts: int = STARTS, seed: int = 3) -> DataFrame:
     """(genotype_id, k, cluster): of several starts the one with the least squared distance; clusters are numbered by their smallest id."""
+    importable(points.sparkSession)
     points = cut(points.select("genotype_id", "scores"))
     sample = np.array([r["scores"] for r in points.orderBy(F.xxhash64("genotype_id"), "genotype_id").limit(SAMPLE).select("scores").collect()])
     if not len(sample):

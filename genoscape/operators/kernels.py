@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.dialect import importable
 from .models import Panel, centred_markers
 
 #: Kernels of a model; ``rkhs`` differs from the reaction norm by the environment factor alone.
@@ -253,6 +254,7 @@ class Fitted:
 def fit(cells: DataFrame, made: list[Components], of: dict[str, int], model: str, residual: float = 0.2) -> dict[str, Fitted]:
     """cells: (fold, g, n, m, ss, factor) of all training sets, g the genotype's place in the panel; of: fold to its components."""
     spark = cells.sparkSession
+    importable(spark)
     sent = spark.sparkContext.broadcast([(x.z, x.d) for x in made])  # genotypes by components, for each distinct training set
     parts, shapes = KERNELS[model], {f: made[k].z.shape[1] for f, k in of.items()}
     grouped = cells.groupBy("fold", "g").agg(F.collect_list(F.struct("n", "m", "ss", "factor")).alias("cells"))  # at most one entry an environment
@@ -274,6 +276,7 @@ def fit(cells: DataFrame, made: list[Components], of: dict[str, int], model: str
 
 def predicted(cells: DataFrame, made: list[Components], models: dict[str, Fitted]) -> DataFrame:
     """cells (fold, g, factor and any others) with their prediction."""
+    importable(cells.sparkSession)
     sent = cells.sparkSession.sparkContext.broadcast(([x.z for x in made], models))
     names = [c for c in cells.columns if c != "factor"]
 

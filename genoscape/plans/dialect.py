@@ -7,9 +7,11 @@ names differ are written as macros."""
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,6 +117,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that share this file system import the package; on a cluster it is shipped."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Written once to the shared folder, so that readers neither plan nor compute it again."""
     shared_dir(frame.sparkSession)
