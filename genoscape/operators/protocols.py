@@ -10,7 +10,7 @@ from ..plans import ranks
 from ..plans.dialect import Operator, Twofold, Written
 from ..plans.folds import Greedy
 from ..plans.roles import DOSAGE, ID_MAP, PHENOTYPES
-from .study import _SUMMARY, CENTERED, FEATURES, GATE, MARKER_QC_B, OOD_ENVIRONMENTS, SEED, STANDARDIZED, _corr
+from .study import CENTERED, FEATURES, GATE, MARKER_QC_B, OOD_ENVIRONMENTS, SEED, STANDARDIZED, _corr, summary
 
 # --- greedy folds --------------------------------------------------------------------------
 
@@ -299,11 +299,11 @@ ALLELE_TABLE = Operator.of(
 RING = Operator.of(
     f"""SELECT genotype_id, place, least(n, 400) AS n FROM (SELECT genotype_id, row_number() OVER (ORDER BY SHA('{SEED}|' || genotype_id), genotype_id) - 1 AS place, count(*) OVER () AS n
     FROM (SELECT DISTINCT genotype_id FROM dosage_long) AS g) AS r WHERE place < 400""", dosage_long=DOSAGE)
-SIMILARITIES = Operator.of(
-    """SELECT a.genotype_id AS a, b.genotype_id AS b, round(avg(1 - abs(x.dosage - y.dosage) / cast(2 AS double)), 9) AS y FROM (SELECT genotype_id, (place + k) % n AS other FROM (SELECT genotype_id, place, n, SERIES(1, 75) AS k FROM ring) AS r WHERE k <= (n - 1) / 2) AS a
+_SIMILARITIES = """SELECT a.genotype_id AS a, b.genotype_id AS b, round(avg(1 - abs(x.dosage - y.dosage) / cast(2 AS double)), 9) AS y FROM (SELECT genotype_id, (place + k) % n AS other FROM (SELECT genotype_id, place, n, SERIES(1, 75) AS k FROM ring) AS r WHERE k <= (n - 1) / 2) AS a
     JOIN ring AS b ON a.other = b.place JOIN dosage_long AS x ON a.genotype_id = x.genotype_id JOIN dosage_long AS y ON b.genotype_id = y.genotype_id AND x.marker_pos = y.marker_pos
-    WHERE x.dosage IS NOT NULL AND y.dosage IS NOT NULL GROUP BY a.genotype_id, b.genotype_id""", ring=RING, dosage_long=DOSAGE)
-SIMILARITY_SUMMARY = Operator.of(f"SELECT {_SUMMARY} FROM similarities", similarities=SIMILARITIES)
+    WHERE x.dosage IS NOT NULL AND y.dosage IS NOT NULL GROUP BY a.genotype_id, b.genotype_id"""
+SIMILARITIES = Written(_SIMILARITIES, (("ring", RING), ("dosage_long", DOSAGE)), _SIMILARITIES)
+SIMILARITY_SUMMARY = summary((), "similarities", SIMILARITIES)
 VANRADEN = Operator.of("SELECT count(*) AS n_markers, round(sum(2 * frequency * (1 - frequency)), 8) AS denominator FROM marker_qc_b", marker_qc_b=MARKER_QC_B)
 TARGET_SUMS = Operator.of("SELECT c.genotype_id, sum(c.s - c.n * g.mu) AS a FROM cells AS c CROSS JOIN (SELECT sum(s) / sum(n) AS mu FROM cells) AS g WHERE c.n > 0 GROUP BY c.genotype_id", cells=CELLS)
 #: Genomic kernel times the centred target: to markers and back, the kernel itself is never formed.

@@ -2,7 +2,9 @@
 
 from ..plans import ranks
 from ..plans.dialect import Operator, Twofold, Written
+from ..plans.quantiles import Quantiled
 from ..plans.roles import DOSAGE, LONG_SERIES, PHENOTYPES, SERIES
+from ..plans.series import Scanned
 
 SEED = 20260922
 
@@ -15,8 +17,23 @@ TRAITS = Operator.of(
 _SUMMARY = """count(*) AS n_rows, count(*) - count(y) AS n_missing, min(y) AS y_min, round(PCT(y, 0.05), 6) AS y_p05, round(PCT(y, 0.5), 6) AS y_median,
     round(PCT(y, 0.95), 6) AS y_p95, max(y) AS y_max, round(avg(y), 6) AS y_mean, round(CASE WHEN count(y) = 1 THEN 0.0 ELSE stddev_samp(y) END, 6) AS y_sd"""
 
-TRAIT_SUMMARY = Operator.of(f"SELECT trait, {_SUMMARY} FROM traits GROUP BY trait", traits=TRAITS)
-TRAIT_BY_ENVIRONMENT = Operator.of(f"SELECT trait, environment_id, {_SUMMARY} FROM traits GROUP BY trait, environment_id", traits=TRAITS)
+_MOMENTS = """count(*) AS n_rows, count(*) - count(y) AS n_missing, min(y) AS y_min, max(y) AS y_max, round(avg(y), 6) AS y_mean,
+    round(CASE WHEN count(y) = 1 THEN 0.0 ELSE stddev_samp(y) END, 6) AS y_sd"""
+
+
+def summary(keys: tuple[str, ...], source: str, of: Operator) -> Operator:
+    """Counts, moments and exact quantiles of y in each group."""
+    by = ", ".join(keys)
+    group = f" GROUP BY {by}" if keys else ""
+    own = "".join(f"m.{k}, " for k in keys)
+    same = " AND ".join(f"m.{k} <=> q.{k}" for k in keys) or "true"
+    mine = f"""SELECT {own}n_rows, n_missing, y_min, round(q.q[0], 6) AS y_p05, round(q.q[1], 6) AS y_median, round(q.q[2], 6) AS y_p95, y_max, y_mean, y_sd
+    FROM (SELECT {by + ", " if keys else ""}{_MOMENTS} FROM {source}{group}) AS m LEFT JOIN quantiled AS q ON {same}"""
+    return Quantiled(mine, ((source, of),), f"SELECT {by + ', ' if keys else ''}{_SUMMARY} FROM {source}{group}", keys, "y", (0.05, 0.5, 0.95))
+
+
+TRAIT_SUMMARY = summary(("trait",), "traits", TRAITS)
+TRAIT_BY_ENVIRONMENT = summary(("trait", "environment_id"), "traits", TRAITS)
 DUPLICATE_PLOTS = Operator.of("SELECT environment_id, genotype_id, count(*) AS n FROM phenotypes GROUP BY environment_id, genotype_id HAVING count(*) > 1", phenotypes=PHENOTYPES)
 COVERAGE = Operator.of(
     """SELECT n_environments, count(*) AS n_genotypes FROM (SELECT genotype_id, count(DISTINCT environment_id) AS n_environments
@@ -80,15 +97,24 @@ WEATHER_BASIC = Operator.of(
     """SELECT environment_id, variable, count(*) AS n_days, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS low, max(value) AS high,
     min_by(value, CASE WHEN value IS NOT NULL THEN obs_seq END) AS first_seen, max_by(value, CASE WHEN value IS NOT NULL THEN obs_seq END) AS last_seen,
     round(1 - cast(count(value) AS double) / count(*), 9) AS missing FROM long_series GROUP BY environment_id, variable""", long_series=LONG_SERIES)
-WEATHER_DYNAMIC = Operator.of(
-    """SELECT environment_id, variable, round(PCT(value, 0.1), 6) AS q10, round(PCT(value, 0.25), 6) AS q25, round(PCT(value, 0.5), 6) AS q50,
-    round(PCT(value, 0.75), 6) AS q75, round(PCT(value, 0.9), 6) AS q90, round(CASE WHEN count(value) > 1 THEN regr_slope(value, obs_seq) ELSE 0.0 END, 9) AS trend,
+SEEN_SERIES = Operator.of("SELECT environment_id, variable, obs_seq, value FROM long_series WHERE value IS NOT NULL", long_series=LONG_SERIES)
+#: Steps are taken over gaps; thirds are of what was observed, longer ones first.
+STEPS = Scanned(
+    """SELECT environment_id, variable, cast(obs_seq AS double) AS obs_seq, value, value - previous AS step,
+    CASE WHEN place < n_group % 3 * (n_group div 3 + 1) THEN place div (n_group div 3 + 1) ELSE (place - n_group % 3) div greatest(n_group div 3, 1) END + 1 AS third FROM scanned""",
+    (("seen_series", SEEN_SERIES),),
+    """SELECT environment_id, variable, cast(obs_seq AS double) AS obs_seq, value, value - lag(value) OVER (PARTITION BY environment_id, variable ORDER BY obs_seq) AS step,
+    ntile(3) OVER (PARTITION BY environment_id, variable ORDER BY obs_seq) AS third FROM seen_series""", ("environment_id", "variable"), ("obs_seq",), "value")
+_DYNAMICS = """round(CASE WHEN count(value) > 1 THEN regr_slope(value, obs_seq) ELSE 0.0 END, 9) AS trend,
     round(coalesce(avg(step), 0.0), 6) AS step_mean, round(coalesce(stddev_pop(step), 0.0), 6) AS step_sd,
     round(coalesce(avg(CASE WHEN third = 1 THEN value END), avg(value)), 6) AS early, round(coalesce(avg(CASE WHEN third = 2 THEN value END), avg(value)), 6) AS middle,
-    round(coalesce(avg(CASE WHEN third = 3 THEN value END), avg(value)), 6) AS late
-    FROM (SELECT environment_id, variable, cast(obs_seq AS double) AS obs_seq, value, value - lag(value) OVER (PARTITION BY environment_id, variable ORDER BY obs_seq) AS step,
-    ntile(3) OVER (PARTITION BY environment_id, variable ORDER BY obs_seq) AS third FROM long_series WHERE value IS NOT NULL) AS s
-    GROUP BY environment_id, variable""", long_series=LONG_SERIES)
+    round(coalesce(avg(CASE WHEN third = 3 THEN value END), avg(value)), 6) AS late FROM steps GROUP BY environment_id, variable"""
+WEATHER_DYNAMIC = Quantiled(
+    f"""SELECT m.environment_id, m.variable, round(q.q[0], 6) AS q10, round(q.q[1], 6) AS q25, round(q.q[2], 6) AS q50, round(q.q[3], 6) AS q75, round(q.q[4], 6) AS q90, trend, step_mean, step_sd, early, middle, late
+    FROM (SELECT environment_id, variable, {_DYNAMICS}) AS m JOIN quantiled AS q ON m.environment_id <=> q.environment_id AND m.variable <=> q.variable""",
+    (("steps", STEPS),),
+    f"""SELECT environment_id, variable, round(PCT(value, 0.1), 6) AS q10, round(PCT(value, 0.25), 6) AS q25, round(PCT(value, 0.5), 6) AS q50,
+    round(PCT(value, 0.75), 6) AS q75, round(PCT(value, 0.9), 6) AS q90, {_DYNAMICS}""", ("environment_id", "variable"), "value", (0.1, 0.25, 0.5, 0.75, 0.9))
 FEATURES = Operator.of(
     """SELECT environment_id, variable || '_mean' AS feature, mean AS value FROM weather_basic UNION ALL SELECT environment_id, variable || '_sd', sd FROM weather_basic
     UNION ALL SELECT environment_id, variable || '_missing', missing FROM weather_basic""", weather_basic=WEATHER_BASIC)

@@ -1,6 +1,7 @@
 """The stored tables in the roles of a genotype x environment study."""
 
 from .dialect import Operator
+from .series import Scanned
 
 #: Plots: one row per observation. The row key is made from the stored key, so no global order is needed.
 PHENOTYPES = Operator.of(
@@ -9,13 +10,12 @@ PHENOTYPES = Operator.of(
     CASE WHEN (l_partkey + l_suppkey) % 97 = 0 THEN NULL ELSE l_quantity END AS trait_1, l_extendedprice AS trait_2
     FROM lineitem""", lineitem="lineitem")
 
+TIMED = Operator.of("SELECT user_id % 15 AS env, ts, event_id, value, props FROM events", events="events")
+_SEEN = """CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS variable_1, CASE WHEN env = 3 THEN NULL ELSE NUMBER(FIELD(props, k)) END AS variable_2"""
 #: One row per observation, environment, variable in series order; E3 lacks its second variable.
-WEATHER = Operator.of(
-    """SELECT '2024-E' || cast(user_id % 15 AS string) AS source_id,
-    row_number() OVER (PARTITION BY user_id % 15 ORDER BY ts, event_id) - 1 AS obs_seq,
-    CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS variable_1,
-    CASE WHEN user_id % 15 = 3 THEN NULL ELSE NUMBER(FIELD(props, k)) END AS variable_2
-    FROM events""", events="events")
+WEATHER = Scanned(
+    f"SELECT '2024-E' || cast(env AS string) AS source_id, place AS obs_seq, {_SEEN} FROM scanned", (("timed", TIMED),),
+    f"SELECT '2024-E' || cast(env AS string) AS source_id, row_number() OVER (PARTITION BY env ORDER BY ts, event_id) - 1 AS obs_seq, {_SEEN} FROM timed", ("env",), ("ts", "event_id"))
 
 ID_MAP = Operator.of("SELECT source_id, 'E' || substr(source_id, 7) AS canonical_id FROM (SELECT DISTINCT '2024-E' || cast(user_id % 15 AS string) AS source_id FROM events) AS d", events="events")
 
