@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import study
 from .operators.models import Panel
@@ -37,6 +38,10 @@ def main(args: list[str] | None = None) -> int:
         serve(Models(spark, a.models, a.data, a.id_map), port=a.port).serve_forever()
     elif a.command == "audit":
         traits = crops.long_traits(crops.read_phenotypes(spark, a.data, a.crop, a.id_map))
+        where = f"{a.data}/{a.crop}/{a.crop}"
+        checked = crops.checked_rows(spark, f"{where}/Phenotypes.csv", ["Environment"])
+        reports = [crops.row_report(checked).withColumn("file", F.lit("Phenotypes.csv")), crops.row_report(crops.checked_rows(spark, f"{where}/Environment.csv", ["Environment"])).withColumn("file", F.lit("Environment.csv"))]
+        crops.write_rows(reports[0].unionByName(reports[1]).withColumn("first_bad", F.concat_ws(" ", "first_bad")), f"{a.out}/rows")
         crops.write_rows(study.TRAIT_SUMMARY.on(spark, traits=traits), f"{a.out}/traits")
         crops.write_rows(study.TRAIT_BY_ENVIRONMENT.on(spark, traits=traits), f"{a.out}/traits_by_environment")
         crops.write_rows(study.WEATHER_AUDIT.on(spark, long_series=crops.read_weather(spark, a.data, a.crop, a.id_map)), f"{a.out}/weather")

@@ -8,11 +8,15 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
+
+from ..plans.dialect import cut
 
 #: Tokens that stand for a missing value.
 MISSING_TOKENS = ("", "NA", "N/A", "N", "NN", "-9", ".", "?", "nan", "NaN")
@@ -31,10 +35,57 @@ def number_or_missing(c: Column) -> Column:
     return F.when(~F.trim(c).isin(*MISSING_TOKENS), number(c))
 
 
+#: Bits of monotonically_increasing_id() with a row's place in its partition; most file ranges that are sent to all tasks.
+_PLACE, SENT = (1 << 33) - 1, 100_000
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Adds each row's place in file order from 0."""
-    schema = StructType([*df.schema.fields, StructField(name, LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), schema)
+    """Adds to what was just read from files each row's place in file order from 0; several files follow by path.
+
+    A row's place in its range of a file is known where it is read; the rows of the ranges before come from one count of
+    the files. The files must not change in between."""
+    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(_PLACE))
+    ranges = cut(at.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")))
+    # within files first, then files: no window holds the ranges of all files
+    upto = F.sum("__n").over(Window.partitionBy("__file").orderBy("__block"))
+    files = ranges.groupBy("__file").agg(F.sum("__n").alias("__rows"))
+    files = files.select("__file", (F.sum("__rows").over(Window.orderBy("__file")) - F.col("__rows")).alias("__files"))
+    before = ranges.withColumn("__upto", upto).join(files, "__file").select("__file", "__block", (F.col("__files") + F.col("__upto") - F.col("__n") - F.col("__first")).alias("__before"))
+    joined = at.join(F.broadcast(before) if ranges.count() <= SENT else before, ["__file", "__block"])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__at") + F.col("__before")).alias(name))
+
+
+def checked_rows(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """The rows of a CSV file with row_no (file order), ragged (fewer or more fields than the header) and blank (a required field is empty)."""
+    head = read_text_csv(spark, path)
+    fields = StructType([*head.schema.fields, StructField("__corrupt", StringType())])
+    # the number of fields is only looked at where no columns are pruned
+    read = spark.read.option("columnPruning", False).csv(path, header=True, schema=fields, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__corrupt")
+    rows = numbered(read, "row_no").withColumn("ragged", F.col("__corrupt").isNotNull()).drop("__corrupt")
+    empty = [F.coalesce(F.trim(f"`{c}`"), F.lit("")) == "" for c in required]
+    return rows.withColumn("blank", reduce(lambda a, b: a | b, empty) if empty else F.lit(False))
+
+
+def row_report(checked: DataFrame) -> DataFrame:
+    """One row: n_rows, n_ragged, n_blank (counted among rows of the right length) and the first ten row numbers of either kind."""
+    bad = checked.where("ragged OR blank").select("row_no").orderBy("row_no").limit(10).agg(F.array_sort(F.collect_list("row_no")).alias("first_bad"))
+    counts = checked.agg(F.count("*").alias("n_rows"), F.count_if(F.col("ragged")).alias("n_ragged"), F.count_if(F.col("blank") & ~F.col("ragged")).alias("n_blank"))
+    return counts.crossJoin(bad)  # two tables of one row
+
+
+def must_be_whole(spark: SparkSession, path: str, required: list[str]) -> None:
+    """An error that names the first ten rows that are ragged or lack a required field."""
+    found = row_report(checked_rows(spark, path, required)).first()
+    if found["first_bad"]:
+        raise ValueError(f"{path}: {found['n_ragged']} rows of another length, {found['n_blank']} without {required}; first rows {found['first_bad']}")
+
+
+def id_column(columns: list[str]) -> str:
+    """The first column that is neither the environment nor a trait."""
+    for c in columns:
+        if c != "Environment" and not c.startswith("Trait_"):
+            return c
+    raise ValueError("no id column")
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -77,7 +128,7 @@ def read_phenotypes(spark: SparkSession, root: str, crop: str, map_path: str | N
     raw = numbered(read_text_csv(spark, f"{root}/{crop}/{crop}/Phenotypes.csv"), "row_id")
     traits = [c for c in raw.columns if c.startswith("Trait_")]
     env = F.trim("Environment")
-    rows = raw.select("row_id", F.trim(ID_COLUMNS[crop]).alias("genotype_id"), env.alias("environment_id"), env.alias("original_environment_id"), *[number(F.col(t)).alias(t) for t in traits])
+    rows = raw.select("row_id", F.trim(ID_COLUMNS.get(crop) or id_column(raw.columns[:-1])).alias("genotype_id"), env.alias("environment_id"), env.alias("original_environment_id"), *[number(F.col(t)).alias(t) for t in traits])
     return canonical(rows, read_id_map(spark, map_path, crop), "environment_id")
 
 

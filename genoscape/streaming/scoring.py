@@ -1,7 +1,7 @@
 """Scores a stream of prediction requests against a stored model.
 
-Stateless: each micro-batch joins the genotype scores and environment rows, which are computed
-once, so there is no watermark. Requests for unknown ids are left out of the result."""
+Stateless: each micro-batch joins genotypes that were coded and written once, and environment rows,
+so there is no watermark. Requests for unknown ids are left out of the result."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.training import Model
+from ..plans.dialect import cut
 
 
 def read_request_stream(spark: SparkSession, folder: str, extra: str = "", files: int = 100) -> DataFrame:
@@ -19,5 +20,5 @@ def read_request_stream(spark: SparkSession, folder: str, extra: str = "", files
 
 def score_stream(model: Model, requests: DataFrame, dosage: DataFrame, values: dict, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Appends predictions as Parquet; the checkpoint makes a restart go on where it ended."""
-    scored = model.predict(requests, dosage, values, check=False)
+    scored = model.predict(requests, cut(dosage), values, check=False)  # genotypes are read and coded once, not in each batch
     return scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
