@@ -87,6 +87,18 @@ def ensemble(members: list[DataFrame], weights: list[float] | None = None, toler
     return joined.drop("__high")
 
 
+def stacking_matrix(long: DataFrame, models: list[str]) -> DataFrame:
+    """row_id, fold, y and a column of predictions for each model, of rows that all models predict; a repeated prediction or rows whose y differ are an error."""
+    own = long.where(F.col("model").isin(models))
+    must_be_unique(own, ["model", "row_id", "fold"], "stacking")
+    wide = own.groupBy("row_id", "fold").pivot("model", models).agg(F.first("prediction"))
+    targets = own.groupBy("row_id", "fold").agg(F.min("y").alias("y"), F.max("y").alias("__high"))
+    apart = _ten(targets.where("__high > y"), ["row_id", "fold"])
+    if apart:
+        raise ValueError(f"models differ in y: {apart}")
+    return targets.drop("__high").join(wide, ["row_id", "fold"]).na.drop(subset=models)
+
+
 def only_rows(rows: DataFrame, lock: DataFrame, role: str = "development") -> DataFrame:
     """The rows that a lock (row_id, role) gives a role; a locked id that the rows lack, or a repeated one, is an error."""
     must_be_unique(lock, ["row_id"], "lock")
@@ -141,9 +153,23 @@ class _Ensemble(Operator):
 
 #: Two members, aligned by row.
 ROW_ENSEMBLE = _Ensemble("SELECT protocol, fold, row_id, genotype_id, environment_id, y, round(genotype_mean * 0.5 + environment_mean * 0.5, 7) AS prediction FROM row_oof", (("row_oof", ROW_OOF),))
+
+
+class _Stacked(Operator):
+    def built(self, spark, sf_dir, made):
+        return stacking_matrix(cut(super().built(spark, sf_dir, made)), ["genotype_mean", "environment_mean"])
+
+    def sql_text(self):
+        return "SELECT row_id, fold, y, round(genotype_mean, 7) AS genotype_mean, round(environment_mean, 7) AS environment_mean FROM row_oof WHERE row_id % 11 <> 0"
+
+
+#: The second model lacks some rows, which are no complete cases.
+STACKING_MATRIX = _Stacked(
+    """SELECT row_id, fold, y, 'genotype_mean' AS model, round(genotype_mean, 7) AS prediction FROM row_oof
+    UNION ALL SELECT row_id, fold, y, 'environment_mean' AS model, round(environment_mean, 7) AS prediction FROM row_oof WHERE row_id % 11 <> 0""", (("row_oof", ROW_OOF),))
 #: Rows of the independent design's development part: all that models may be fitted on.
 DEVELOPMENT_ROWS = Operator.of(
     """SELECT p.row_id, p.genotype_id, p.environment_id, p.trait_1 FROM plots AS p JOIN (SELECT genotype_id, environment_id FROM cell_roles WHERE role = 'development') AS d
     ON p.genotype_id = d.genotype_id AND p.environment_id = d.environment_id""", plots=PLOTS, cell_roles=CELL_ROLES)
 
-OPERATORS: dict[str, Operator] = {"plots": PLOTS, "row_ensemble": ROW_ENSEMBLE, "development_rows": DEVELOPMENT_ROWS}
+OPERATORS: dict[str, Operator] = {"plots": PLOTS, "row_ensemble": ROW_ENSEMBLE, "stacking_matrix": STACKING_MATRIX, "development_rows": DEVELOPMENT_ROWS}

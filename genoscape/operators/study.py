@@ -3,7 +3,7 @@
 from ..plans import ranks
 from ..plans.dialect import Operator, Twofold, Written
 from ..plans.quantiles import Quantiled
-from ..plans.roles import DOSAGE, LONG_SERIES, PHENOTYPES, SERIES
+from ..plans.roles import DOSAGE, LONG_SERIES, PHENOTYPES, SERIES, TIMED, WEATHER
 from ..plans.series import Scanned
 
 SEED = 20260922
@@ -56,11 +56,27 @@ LINKAGE = Operator.of(
     """SELECT CASE WHEN p.environment_id IS NULL THEN 'weather only' WHEN w.environment_id IS NULL THEN 'phenotype only' ELSE 'both' END AS linkage, count(*) AS n
     FROM (SELECT DISTINCT environment_id FROM phenotypes) AS p FULL OUTER JOIN (SELECT DISTINCT environment_id FROM series) AS w
     ON p.environment_id = w.environment_id GROUP BY 1""", phenotypes=PHENOTYPES, series=SERIES)
+_NORMALIZED = "CASE WHEN MATCHES(id, '^[0-9][0-9][0-9][0-9][-_].+$') THEN REPLACED(id, '^([0-9][0-9][0-9][0-9])[-_](.+)$') ELSE translate(id, '-', '_') END"
 NORMALIZED_IDS = Operator.of(
-    """SELECT id, CASE WHEN MATCHES(id, '^[0-9][0-9][0-9][0-9][-_].+$') THEN REPLACED(id, '^([0-9][0-9][0-9][0-9])[-_](.+)$')
-    ELSE translate(id, '-', '_') END AS normalized
+    f"""SELECT id, {_NORMALIZED} AS normalized
     FROM (SELECT DISTINCT '2024-' || environment_id AS id FROM phenotypes UNION SELECT DISTINCT environment_id || '-2023' AS id FROM phenotypes) AS d""", phenotypes=PHENOTYPES)
 
+#: Every stored id of an environment: whether the weather has it as it is, and which weather ids share its normalised form.
+ENVIRONMENT_MATCH = Operator.of(
+    f"""SELECT p.id AS environment_id, p.normalized, CASE WHEN w.id IS NOT NULL THEN 'direct' WHEN m.ids IS NOT NULL THEN 'normalized' ELSE 'none' END AS linkage, m.ids AS weather_ids
+    FROM (SELECT id, {_NORMALIZED} AS normalized FROM (SELECT DISTINCT environment_id || CASE WHEN environment_id = 'E1' THEN '-2023' ELSE '-2024' END AS id FROM phenotypes UNION SELECT '2024-E2' AS id) AS d) AS p
+    LEFT JOIN (SELECT DISTINCT source_id AS id FROM weather) AS w ON p.id = w.id
+    LEFT JOIN (SELECT normalized, JOINED(id, ' ') AS ids FROM (SELECT id, {_NORMALIZED} AS normalized FROM (SELECT DISTINCT source_id AS id FROM weather) AS s) AS k GROUP BY normalized) AS m ON p.normalized = m.normalized""",
+    phenotypes=PHENOTYPES, weather=WEATHER)
+DATED = Scanned(
+    "SELECT 'E' || cast(env AS string) AS environment_id, place AS obs_seq, cast(cast(ts AS date) AS string) AS day, value, props FROM scanned", (("timed", TIMED),),
+    "SELECT 'E' || cast(env AS string) AS environment_id, row_number() OVER (PARTITION BY env ORDER BY ts, event_id) - 1 AS obs_seq, cast(cast(ts AS date) AS string) AS day, value, props FROM timed",
+    ("env",), ("ts", "event_id"))
+#: First and last day in file order, days, and rows that repeat an earlier one in full.
+WEATHER_DATES = Operator.of(
+    """SELECT environment_id, cast(sum(n) AS bigint) AS n_rows, min_by(day, first_at) AS first_day, max_by(day, last_at) AS last_day, count(DISTINCT day) AS n_days, cast(sum(n) - count(*) AS bigint) AS n_repeated
+    FROM (SELECT environment_id, day, value, props, count(*) AS n, min(obs_seq) AS first_at, max(obs_seq) AS last_at FROM dated GROUP BY environment_id, day, value, props) AS d GROUP BY environment_id""", dated=DATED)
+
 # --- markers -----------------------------------------------------------------------------
 
 MARKER_STATS = Operator.of(
@@ -71,6 +87,7 @@ MARKER_STATS = Operator.of(
     FROM dosage_long GROUP BY marker_pos) AS m""", dosage_long=DOSAGE)
 SAMPLE_MISSING = Operator.of("SELECT genotype_id, round(1 - cast(count(dosage) AS double) / count(*), 9) AS missing_rate FROM dosage_long GROUP BY genotype_id", dosage_long=DOSAGE)
 WORST_SAMPLES = Operator.of("SELECT genotype_id, missing_rate FROM sample_missing ORDER BY missing_rate DESC, genotype_id LIMIT 20", sample_missing=SAMPLE_MISSING)
+WORST_MARKERS = Operator.of("SELECT marker_pos, missing_rate FROM marker_stats ORDER BY missing_rate DESC, marker_pos LIMIT 20", marker_stats=MARKER_STATS)
 MARKER_QC = Operator.of("SELECT marker_pos, maf, missing_rate FROM marker_stats WHERE polymorphic AND maf >= 0.47 AND missing_rate <= 0.06", marker_stats=MARKER_STATS)
 MARKER_QC_B = Operator.of("SELECT marker_pos, frequency FROM marker_stats WHERE n_called > 0 AND maf >= 0.47 AND missing_rate <= 0.08 AND frequency > 0 AND frequency < 1", marker_stats=MARKER_STATS)
 MARKER_THINNED = Operator.of(
@@ -114,7 +131,7 @@ WEATHER_DYNAMIC = Quantiled(
     FROM (SELECT environment_id, variable, {_DYNAMICS}) AS m JOIN quantiled AS q ON m.environment_id <=> q.environment_id AND m.variable <=> q.variable""",
     (("steps", STEPS),),
     f"""SELECT environment_id, variable, round(PCT(value, 0.1), 6) AS q10, round(PCT(value, 0.25), 6) AS q25, round(PCT(value, 0.5), 6) AS q50,
-    round(PCT(value, 0.75), 6) AS q75, round(PCT(value, 0.9), 6) AS q90, {_DYNAMICS}""", ("environment_id", "variable"), "value", (0.1, 0.25, 0.5, 0.75, 0.9))
+    round(PCT(value, 0.75), 6) AS q75, round(PCT(value, 0.9), 6) AS q90, {_DYNAMICS}""", ("environment_id", "variable"), "value", (0.1, 0.25, 0.5, 0.75, 0.9), True)
 FEATURES = Operator.of(
     """SELECT environment_id, variable || '_mean' AS feature, mean AS value FROM weather_basic UNION ALL SELECT environment_id, variable || '_sd', sd FROM weather_basic
     UNION ALL SELECT environment_id, variable || '_missing', missing FROM weather_basic""", weather_basic=WEATHER_BASIC)
@@ -212,7 +229,7 @@ ABSENT_REQUESTS = Operator.of(
     ON p.genotype_id = d.genotype_id ORDER BY p.genotype_id LIMIT 10""".replace("LEFT ANTI", "ANTI"), phenotypes=PHENOTYPES, dosage_long=DOSAGE)
 
 _REPORTED = (
-    "TRAIT_SUMMARY TRAIT_BY_ENVIRONMENT DUPLICATE_PLOTS COVERAGE WEATHER_AUDIT HISTOGRAM LINKAGE NORMALIZED_IDS SERIES MARKER_STATS SAMPLE_MISSING WORST_SAMPLES MARKER_QC MARKER_QC_B "
+    "TRAIT_SUMMARY TRAIT_BY_ENVIRONMENT DUPLICATE_PLOTS COVERAGE WEATHER_AUDIT HISTOGRAM LINKAGE ENVIRONMENT_MATCH WEATHER_DATES NORMALIZED_IDS SERIES MARKER_STATS SAMPLE_MISSING WORST_SAMPLES WORST_MARKERS MARKER_QC MARKER_QC_B "
     "MARKER_THINNED DUPLICATE_SAMPLES DUPLICATE_MARKERS PANEL_COUNTS PRESENCE SHIFT_REPORT CENTERED GENOTYPE_FINGERPRINT WEATHER_BASIC WEATHER_DYNAMIC FEATURE_REPORT RBF_KERNEL NEAREST_ENVIRONMENT GATE OOD_ENVIRONMENTS CV0 CV_G CV_E "
     "ELIGIBLE_FOLDS OOF FOLD_REPORT LEADERBOARD BLEND_SEARCH ENVIRONMENT_SCALE SCORED ABSENT_REQUESTS"
 )

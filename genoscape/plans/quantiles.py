@@ -98,7 +98,10 @@ class Quantiled(Twofold):
     keys: tuple[str, ...] = ()
     value: str = ""
     fractions: tuple[float, ...] = field(default=())
+    #: Whether the input costs more to make anew for each pass than to write once.
+    keep: bool = False
 
     def on(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
-        (rows,) = frames.values()
-        return super().on(spark, **frames, quantiled=quantiles(rows, list(self.keys), self.value, list(self.fractions)))
+        ((name, rows),) = frames.items()
+        rows = cut(rows) if self.keep else rows
+        return super().on(spark, **{name: rows}, quantiled=quantiles(rows, list(self.keys), self.value, list(self.fractions)))

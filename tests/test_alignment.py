@@ -118,3 +118,15 @@ def test_a_model_knows_what_it_was_fitted_on(spark):
     al.must_be_fitted_on(print_, oof(spark).repartition(3))
     with pytest.raises(AssertionError, match="other"):
         al.must_be_fitted_on(print_, oof(spark).where("genotype_id <> 'g3'"))
+
+
+def test_stacking_takes_complete_cases(spark):
+    schema = "row_id long, fold string, y double, model string, prediction double"
+    rows = [(i, "0", float(i), m, float(i) + len(m)) for i in range(4) for m in ("a", "bb") if (i, m) != (2, "bb")] + [(9, "0", 1.0, "other", 1.0)]
+    wide = al.stacking_matrix(spark.createDataFrame(rows, schema), ["a", "bb"])
+    assert wide.columns == ["row_id", "fold", "y", "a", "bb"]
+    assert sorted(map(tuple, wide.collect())) == [(i, "0", float(i), i + 1.0, i + 2.0) for i in (0, 1, 3)]
+    with pytest.raises(ValueError, match="repeated"):
+        al.stacking_matrix(spark.createDataFrame(rows + rows[:1], schema), ["a", "bb"])
+    with pytest.raises(ValueError, match=r"differ in y: \[\(7, '0'\)\]"):
+        al.stacking_matrix(spark.createDataFrame([(7, "0", 1.0, "a", 1.0), (7, "0", 2.0, "bb", 1.0)], schema), ["a", "bb"])
