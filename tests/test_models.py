@@ -402,6 +402,8 @@ def test_manifest(spark, tmp_path):
 def test_train_predict_serve_and_stream(spark, crop, tmp_path):
     common = ["--data", str(crop), "--crop", "Rice", "--id-map", str(crop / "map.csv")]
     assert main(["audit", *common, "--out", str(tmp_path / "audit")]) == 0
+    reported = crops.read_text_csv(spark, str(tmp_path / "audit" / "rows")).collect()
+    assert sorted((r.file, r.n_ragged, r.n_blank) for r in reported) == [("Environment.csv", "0", "0"), ("Phenotypes.csv", "0", "0")]
     assert main(["train", *common, "--trait", "Trait_1", "--out", str(tmp_path / "models")]) == 0
     assert main(["predict", *common, "--trait", "Trait_1", "--models", str(tmp_path / "models"), "--requests", str(crop / "asked.csv"), "--out", str(tmp_path / "out")]) == 0
     rows = {r.note: r for r in crops.read_text_csv(spark, str(tmp_path / "out")).collect()}
