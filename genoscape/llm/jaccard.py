@@ -2,12 +2,12 @@
 
 Two documents link if ``den * |A & B| >= num * |A | B|`` for their sets of word n-grams.
 Sets are held in one global order, rare n-grams first (a coarse frequency from all
-documents, then the hash), in which two linked sets must share an n-gram among their first
+classes, then the hash), in which two linked sets must share an n-gram among their first
 ``n - ceil(num * n / den) + 1``. Equal sets are one class from the start. The steps:
 
-1. n-grams are counted over all documents; those counted twice get a level in a table;
-2. each class gives the n-grams of its prefix that occur elsewhere; classes that share one
-   are joined to clusters (no pairs are made, each hangs on the smallest);
+1. n-grams are counted over one document of each class; those counted twice get a level in a table;
+2. each class gives the n-grams of its prefix that occur elsewhere, in sorted runs with a number of
+   the class; classes that share one are joined to clusters (no pairs are made, each hangs on the smallest);
 3. a cluster's sets, ordered by size, are cut into blocks of ``BLOCK``. The sets of a pair
    of blocks are stored in a prefix tree; each set walks it level by level, a node's
    overlap is added to that of its parent once for all sets below, and subtrees are
@@ -39,9 +39,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .repeats import repeated
+from .repeats import repeated, sharing
 from .sketches import Levels, bloom_of, levels_of
-from .words import U64, cut, reachable_by_workers, salted_join, text_hashes, tidy, window_hashes
+from .words import U64, cut, reachable_by_workers, salted_join, stored, text_hashes, tidy, window_hashes
 
 BLOCK = 512
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -230,51 +230,40 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("doc_id"))
 
-    def counted(batch):
-        for t in batch.column(0).to_pylist():
-            yield shingles(t, n)
-
-    counts = cut(repeated(own.select("t"), counted))
-    levels = spark.sparkContext.broadcast(levels_of(counts))
-
-    def head_of(found: np.ndarray) -> np.ndarray:
-        """The n-grams of a set's prefix that may occur elsewhere."""
-        ordered, level = in_order(found, levels.value)
-        size = prefix_length(len(found), num, den)
-        return ordered[:size][level[:size] > 0] if levels.value.exact_zero else ordered[:size]
-
-    common = None
-    if not levels.value.exact_zero:  # the table left rare n-grams out: what stands in one prefix only is found by counting
-        def heads(batch):
-            for t in batch.column(0).to_pylist():
-                if len(found := shingles(t, n)):
-                    yield head_of(found)
-
-        common = cut(repeated(own.select("t"), heads).select("h"))
-        made = bloom_of(common, "h", common.count())
-        common = spark.sparkContext.broadcast(made) if made is not None else None
-
-    def prefixes(batches):
+    def signed(batches):
         for batch in batches:
-            rows = []
+            sizes, sigs = [], []
             for t in batch.column(1).to_pylist():
                 found = shingles(t, n)
-                if not len(found):
-                    rows.append((0, None, []))
-                    continue
-                head = head_of(found)
-                if common:
-                    head = head[common.value.has(head)]
-                rows.append((len(found), signature(found), head.view(np.int64)))
-            sizes, sigs, heads = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["k", "doc_id", "n_shingles", "sig", "head"])
-
-    rows = cut(own.mapInArrow(tidy(prefixes), f"k long, doc_id {kind}, n_shingles long, sig binary, head array<long>"))
-    classes = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("k").alias("k"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
-    tokens = cut(classes.select("sig", "n", "k", F.explode("head").alias("h")))
-    shared = tokens.groupBy("h").agg(F.min("sig").alias("m"), F.count("*").alias("c")).where("c > 1")
-    clusters = components(tokens.join(shared, "h").select(F.col("sig").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-    members = clusters.join(tokens.select("sig", "n", "k").distinct(), clusters["node"] == F.col("sig")).select("sig", F.col("label").alias("cluster"), "n", "k")
+                sizes.append(len(found))
+                sigs.append(signature(found) if len(found) else None)
+            numbers = [None if s is None else int.from_bytes(s[:8], "little", signed=True) for s in sigs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(numbers, pa.int64())], names=["k", "doc_id", "n_shingles", "sig", "number"])
+
+    rows = cut(own.mapInArrow(tidy(signed), f"k long, doc_id {kind}, n_shingles long, sig binary, number long"))
+    classes = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("k").alias("k"), F.first("n_shingles").alias("n"), F.first("number").alias("number")))
+    made = bloom_of(classes, "k", classes.count())
+    firsts = spark.sparkContext.broadcast(made) if made is not None else None
+
+    def of_classes(batch) -> Iterator[np.ndarray]:
+        """Sets of the documents that stand for their class; a few copies may be among them (of too many classes all), which costs time alone."""
+        pick = np.flatnonzero(firsts.value.has(batch.column(0).to_numpy().view(U64))) if firsts else np.arange(batch.num_rows)
+        for i in pick.tolist():
+            if len(found := shingles(batch.column(1)[i].as_py(), n)):
+                yield found
+
+    texts = own.select("k", "t")
+    levels = spark.sparkContext.broadcast(levels_of(stored(repeated(texts, of_classes))))
+
+    def heads(batch):
+        """The n-grams of a set's prefix that may occur elsewhere, and its class."""
+        for found in of_classes(batch):
+            ordered, level = in_order(found, levels.value)
+            size = prefix_length(len(found), num, den)
+            yield ordered[:size][level[:size] > 0], int.from_bytes(signature(found)[:8], "little", signed=True)
+
+    clusters = components(sharing(texts, heads))
+    members = clusters.join(classes, clusters["node"] == F.col("number")).select("sig", F.col("label").alias("cluster"), "n", "k")
     place = F.row_number().over(W.partitionBy("cluster").orderBy("n", "sig")) - 1
     members = cut(members.withColumn("block", F.floor(place / BLOCK).cast("int")))
 
@@ -317,7 +306,7 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc
         if more.limit(1).count():
             labels = components(edges.unionByName(more))
     # a class and a component are named by their first row: by id, null last, then by key
-    known = rows.where("sig IS NOT NULL").drop("head")
+    known = rows.where("sig IS NOT NULL").drop("number")
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k")
     classes = known.groupBy("sig").agg(F.min(row).alias("low"), F.count("*").alias("n"))
     named = cut(classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))

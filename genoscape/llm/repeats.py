@@ -1,4 +1,4 @@
-"""Which 64-bit hashes occur more than once, and how often.
+"""Which 64-bit hashes occur more than once, how often, and which ids share one.
 
 Hashes are counted in the task that makes them and travel as sorted runs: a run is cut by
 the leading bits into buckets, and a bucket is sent as one row that holds the gaps between
@@ -95,3 +95,80 @@ def repeated(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.
 
     sent = rows.mapInArrow(tidy(send), "bucket int, n int, width int, gaps binary, counts binary")
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(count), "h long, c long")
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Pairs in a row that is sent.
+_CHUNK = 1 << 16
+
+
+def first_of_each(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, with their smallest id, and the distinct pairs (id, smallest) of all other ids."""
+    by = np.lexsort((ids, hashes))
+    hashes, ids = hashes[by], ids[by]
+    fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]
+    low = ids[fresh]
+    own = low[np.cumsum(fresh) - 1]
+    pairs = np.stack([ids, own], axis=1)[ids != own]
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return hashes[fresh], low, pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))[: len(pairs)]]
+
+
+def sharing(rows: DataFrame, postings_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, int]]]) -> DataFrame:
+    """a and b, pairs of ids that connect all ids that share a hash; ``postings_of`` gives hashes with the id that has them.
+
+    They travel like counted hashes, in runs with 8 bytes more for the id. Of the ids that share a hash within a run only the
+    smallest is sent on, the others are hung on it there, so a hash that many share is one entry of each run."""
+    spark = rows.sparkSession
+    reachable_by_workers(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = (4 * parts - 1).bit_length()
+    sent_as = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("gaps", pa.binary()), ("ids", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, size = [], [], 0
+
+        def run() -> pa.RecordBatch:
+            hashes, low, pairs = first_of_each(np.concatenate(held), np.repeat(np.array(ids, np.int64), [len(x) for x in held]))
+            out, at = [], 0
+            for bucket, n, width, gaps, _ in packed_run(hashes, bits):
+                out.append((bucket, n, width, gaps, low[at : at + n].tobytes()))
+                at += n
+            # pairs that are found go to any task
+            out += [(int(pairs[a, 0]) & ((1 << bits) - 1), 0, 0, b"", pairs[a : a + _CHUNK].tobytes()) for a in range(0, len(pairs), _CHUNK)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), sent_as, strict=True)], schema=sent_as)
+
+        for batch in batches:
+            for made, own in postings_of(batch):
+                if len(made):
+                    held.append(made)
+                    ids.append(own)
+                    size += len(made)
+                if size >= RUN:
+                    yield run()
+                    held, ids, size = [], [], 0
+        if size:
+            yield run()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hashes, ids = None, [], []
+
+        def made(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIRS)
+
+        for batch in batches:
+            for bucket, n, width, gaps, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not n:
+                    yield made(np.frombuffer(own, np.int64).reshape(-1, 2))
+                    continue
+                if bucket != now:
+                    if hashes:
+                        yield made(first_of_each(np.concatenate(hashes), np.concatenate(ids))[2])
+                    now, hashes, ids = bucket, [], []
+                hashes.append(unpacked(bucket, n, width, gaps, b"", bits)[0])
+                ids.append(np.frombuffer(own, np.int64))
+        if hashes:
+            yield made(first_of_each(np.concatenate(hashes), np.concatenate(ids))[2])
+
+    sent = rows.mapInArrow(tidy(send), "bucket int, n int, width int, gaps binary, ids binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "a long, b long")

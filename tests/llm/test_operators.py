@@ -209,6 +209,30 @@ def test_near_classes(docs, n, num, block, cells, monkeypatch):
     assert got == brute_classes(corpus(), n, num)
 
 
+def test_counted_hashes_keep_a_level_without_room_in_the_table(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "LEVEL_CELLS", 64)
+    twice = np.random.default_rng(5).integers(0, 1 << 63, 2000)
+    counts = spark.createDataFrame([(h, 2 + i % 3) for i, h in enumerate(twice.tolist())], "h long, c long")
+    levels = sketches.levels_of(counts)
+    assert (levels.of(twice.astype(np.uint64)) > 0).all()
+    others = np.random.default_rng(6).integers(0, 1 << 63, 2000).astype(np.uint64)
+    assert (levels.of(others) == 0).mean() > 0.6  # what was counted once is still told apart
+
+
+def test_ids_that_share_a_hash_are_connected(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "RUN", 64)
+    rng = np.random.default_rng(7)
+    sets = {i: np.unique(rng.integers(0, 400, 3)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in range(-100, 100)}
+    sent = spark.createDataFrame([(i,) for i in sets], "id long").repartition(3)
+    pairs = {tuple(r) for r in repeats.sharing(sent, lambda batch: ((sets[i], i) for i in batch.column(0).to_pylist())).collect()}
+    assert all(np.intersect1d(sets[a], sets[b]).size or a == b for a, b in pairs)
+    up = {i: i for i in sets}
+    for a, b in pairs:
+        old, new = up[a], up[b]
+        up = {i: new if x == old else x for i, x in up.items()}
+    assert all(up[a] == up[b] for a in sets for b in sets if np.intersect1d(sets[a], sets[b]).size)
+
+
 def test_prefix_tree_overlaps():
     rng = np.random.default_rng(2)
     lists = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(40)]
