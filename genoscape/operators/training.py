@@ -153,7 +153,8 @@ def ridge_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cell_sums(PHENOTYPES.run(spark, sf_dir), "trait_1").join(CELL_LABELS.run(spark, sf_dir).select("genotype_id", "environment_id", "greedy_g"), ["genotype_id", "environment_id"])
     means = cells.groupBy("genotype_id", "greedy_g").agg((F.sum("s") / F.sum("n")).alias("y")).collect()
     targets = {f: {r.genotype_id: r.y for r in means if r.greedy_g != f} for f in sorted({r.greedy_g for r in means})}
-    found = genomic_ridge(Panel.of(DOSAGE.run(spark, sf_dir)), targets)
+    panel = Panel.of(DOSAGE.run(spark, sf_dir))
+    found = genomic_ridge(Panel(cut(panel.rows), panel.genotypes), targets)
     return cells.select("genotype_id", "environment_id", F.col("greedy_g").alias("fold")).join(found, ["fold", "genotype_id"])
 
 

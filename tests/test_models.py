@@ -4,6 +4,7 @@ import itertools
 import json
 import shutil
 import threading
+import time
 import urllib.error
 import urllib.request
 
@@ -457,3 +458,15 @@ def test_train_predict_serve_and_stream(spark, crop, tmp_path):
     assert abs(ok["predictions"][0]["prediction"] - float(rows["a"].prediction)) < 1e-9
     assert post({"crop": "Rice", "trait": "Trait_1", "records": []}) == 400 and post({"crop": "X", "trait": "T", "records": [1]}) == 404
     server.shutdown()
+
+
+def test_a_panel_of_many_genotypes_takes_time_in_proportion(spark):
+    began = time.time()
+    dosage = spark.range(8 * 20_000).selectExpr("concat('g', id div 8) AS genotype_id", "cast(id % 8 AS int) AS marker_pos", "CASE WHEN id % 11 = 0 THEN NULL ELSE cast(id % 3 AS int) END AS dosage")
+    panel = Panel.of(dosage)
+    rows = {r.marker_pos: r.x for r in panel.rows.collect()}
+    assert time.time() - began < 25  # looked up one by one in a map: the square of the genotypes
+    for at in (0, 7, 19_999):
+        for pos in range(8):
+            i = int(panel.genotypes[at][1:]) * 8 + pos
+            assert rows[pos][at] == (None if i % 11 == 0 else i % 3)
