@@ -45,6 +45,7 @@ def standardised(min_maf: float = 0.0, max_missing: float = 1.0):
 
 def scores(panel: Panel, most: int, min_maf: float = 0.0, max_missing: float = 1.0, seed: int = 3) -> tuple[DataFrame, list[float]]:
     """(genotype_id, scores) on at most ``most`` principal components, signs by the largest entry; and the share of variance of each."""
+    panel = Panel(cut(panel.rows), panel.genotypes)  # every pass reads them
     left, values, diagonal, markers = leading(panel, [standardised(min_maf, max_missing)], min(most, max(1, len(panel.genotypes) - 1)), seed)[0]
     if not markers:
         raise ValueError("no marker varies and passes QC")
@@ -96,7 +97,7 @@ def clustered(points: DataFrame, ks: list[int], starts: int = STARTS, seed: int
                 x = _points(batch)
                 for i, c in tried.items():
                     at, d = _nearest(x, c)
-                    np.add.at(sums[i], at, np.column_stack([x, np.ones(len(x)), d]))
+                    sums[i] += (at == np.arange(len(c))[:, None]).astype(float) @ np.column_stack([x, np.ones(len(x)), d])
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["i", "sums"])
 
         total: dict[int, np.ndarray] = {}
