@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.dialect import Operator, cut
+from ..plans.dialect import Operator, Sent, cut
 from ..plans.folds import numbered
 from ..plans.roles import PHENOTYPES
 from ..sources.crops import number, read_predictions
@@ -21,6 +21,8 @@ from .protocols import CELL_PREDICTIONS, CELL_ROLES
 
 #: What a prediction out of fold is known by.
 KEYS = ["protocol", "fold", "row_id", "genotype_id", "environment_id"]
+#: Rows that a task groups.
+TASK_ROWS = 1_000_000
 
 
 def key_digest(rows: DataFrame, keys: list[str]) -> tuple:
@@ -72,31 +74,44 @@ def one_model(rows: DataFrame, model: str, trait: str | None = None) -> DataFram
     return own
 
 
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys into as many parts as the rows need, so that what a task groups stays the same however many there are."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, -(-rows.count() // TASK_ROWS)), *keys)
+
+
 def ensemble(members: list[DataFrame], weights: list[float] | None = None, tolerance: float = 1e-9) -> DataFrame:
-    """KEYS, y and the weighted mean of the members' predictions. Members have the same rows with the same y, else it is an error that names the first ten."""
+    """KEYS, y and the weighted mean of the members' predictions. Members have the same rows with the same y, else it is an error that names the first ten.
+
+    Rows meet once; only where a key has not one row of each member the members are compared one by one."""
     weights = weights or [1 / len(members)] * len(members)
-    for i, m in enumerate(members[1:], 2):
-        must_have_same_keys(members[0], m, KEYS, f"members 1 and {i}")
-    for i, m in enumerate(members, 1):
-        must_be_unique(m, KEYS, f"member {i}")
-    long = reduce(DataFrame.unionByName, [m.select(*KEYS, "y", (F.col("prediction") * w).alias("p")) for m, w in zip(members, weights, strict=True)])
-    joined = long.groupBy(*KEYS).agg(F.min("y").alias("y"), F.max("y").alias("__high"), F.sum("p").alias("prediction"))
+    long = reduce(DataFrame.unionByName, [m.select(*KEYS, "y", (F.col("prediction") * w).alias("p"), F.lit(i).alias("__i")) for i, (m, w) in enumerate(zip(members, weights, strict=True))])
+    counts = [F.count(F.when(F.col("__i") == i, 1)).alias(f"__n{i}") for i in range(len(members))]
+    joined = cut(_dealt(long, KEYS).groupBy(*KEYS).agg(F.min("y").alias("y"), F.max("y").alias("__high"), F.sum("p").alias("prediction"), *counts))
+    if not joined.where(reduce(lambda a, b: a | b, [F.col(f"__n{i}") != 1 for i in range(len(members))])).isEmpty():
+        for i, m in enumerate(members[1:], 2):
+            must_have_same_keys(members[0], m, KEYS, f"members 1 and {i}")
+        for i, m in enumerate(members, 1):
+            must_be_unique(m, KEYS, f"member {i}")
     apart = _ten(joined.where(F.col("__high") - F.col("y") > tolerance), KEYS)
     if apart:
         raise ValueError(f"members differ in y: {apart}")
-    return joined.drop("__high")
+    return joined.select(*KEYS, "y", "prediction")
 
 
 def stacking_matrix(long: DataFrame, models: list[str]) -> DataFrame:
     """row_id, fold, y and a column of predictions for each model, of rows that all models predict; a repeated prediction or rows whose y differ are an error."""
     own = long.where(F.col("model").isin(models))
-    must_be_unique(own, ["model", "row_id", "fold"], "stacking")
-    wide = own.groupBy("row_id", "fold").pivot("model", models).agg(F.first("prediction"))
-    targets = own.groupBy("row_id", "fold").agg(F.min("y").alias("y"), F.max("y").alias("__high"))
-    apart = _ten(targets.where("__high > y"), ["row_id", "fold"])
+    of = [F.col("model") == m for m in models]
+    found = [F.max(F.when(is_m, F.col("prediction"))).alias(m) for m, is_m in zip(models, of, strict=True)]
+    counts = [F.count(F.when(is_m, 1)).alias(f"__n{i}") for i, is_m in enumerate(of)]
+    wide = cut(_dealt(own, ["row_id", "fold"]).groupBy("row_id", "fold").agg(F.min("y").alias("y"), F.max("y").alias("__high"), *found, *counts))
+    if not wide.where(reduce(lambda a, b: a | b, [F.col(f"__n{i}") > 1 for i in range(len(models))])).isEmpty():
+        must_be_unique(own, ["model", "row_id", "fold"], "stacking")
+    apart = _ten(wide.where("__high > y"), ["row_id", "fold"])
     if apart:
         raise ValueError(f"models differ in y: {apart}")
-    return targets.drop("__high").join(wide, ["row_id", "fold"]).na.drop(subset=models)
+    return wide.select("row_id", "fold", "y", *models).na.drop(subset=models)
 
 
 def only_rows(rows: DataFrame, lock: DataFrame, role: str = "development") -> DataFrame:
@@ -137,16 +152,16 @@ class _Numbered(Operator):
 
 
 PLOTS = _Numbered(f"SELECT row_number() OVER (ORDER BY {_COLUMNS}) - 1 AS row_id, {_PLOT}")
-ROW_OOF = Operator.of(
+ROW_OOF = Sent(
     """SELECT c.protocol, c.fold, p.row_id, p.genotype_id, p.environment_id, p.trait_1 AS y, c.genotype_mean, c.environment_mean
     FROM (SELECT * FROM plots WHERE trait_1 IS NOT NULL) AS p JOIN (SELECT * FROM cell_predictions WHERE protocol = 'cv_g') AS c ON p.genotype_id = c.genotype_id AND p.environment_id = c.environment_id""",
-    plots=PLOTS, cell_predictions=CELL_PREDICTIONS)
+    (("plots", PLOTS), ("cell_predictions", CELL_PREDICTIONS)), "c", "cell_predictions")
 _MEMBER = "SELECT protocol, fold, row_id, genotype_id, environment_id, y, {0} AS prediction FROM row_oof"
 
 
 class _Ensemble(Operator):
     def built(self, spark, sf_dir, made):
-        rows = cut(ROW_OOF.built(spark, sf_dir, made))
+        rows = ROW_OOF.built(spark, sf_dir, made)
         members = [Operator.of(_MEMBER.format(m), row_oof=ROW_OOF).on(spark, row_oof=rows) for m in ("genotype_mean", "environment_mean")]
         return ensemble(members).withColumn("prediction", F.round("prediction", 7))
 
@@ -157,7 +172,7 @@ ROW_ENSEMBLE = _Ensemble("SELECT protocol, fold, row_id, genotype_id, environmen
 
 class _Stacked(Operator):
     def built(self, spark, sf_dir, made):
-        return stacking_matrix(cut(super().built(spark, sf_dir, made)), ["genotype_mean", "environment_mean"])
+        return stacking_matrix(super().built(spark, sf_dir, made), ["genotype_mean", "environment_mean"])
 
     def sql_text(self):
         return "SELECT row_id, fold, y, round(genotype_mean, 7) AS genotype_mean, round(environment_mean, 7) AS environment_mean FROM row_oof WHERE row_id % 11 <> 0"
