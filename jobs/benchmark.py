@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ from genoscape.operators.kernels import must_be_known
 from genoscape.operators.study import FEATURES
 from genoscape.operators.training import Member, feature_values, kernel_predictions
 from genoscape.plans.dialect import cut, shared_dir
+from genoscape.plans.grades import by_cell
 from genoscape.plans.roles import DOSAGE, PHENOTYPES
 from jobs import command_line, log, stored
 
@@ -47,53 +49,59 @@ def _tables_digest(spark: SparkSession, tables: str) -> str:
     return "/".join(_digest(rows.select("*", *one), ["k"]).first()["inputs"] for rows in (FEATURES.run(spark, tables), DOSAGE.run(spark, tables).select("genotype_id", "marker_pos", "dosage")))
 
 
-def _prepared(spark: SparkSession, tables: str, trait: str, unit: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Phenotypes of one trait under the name the operators know, their design under every protocol, and counted values."""
+def _held(spark: SparkSession, tables: str) -> dict[str, DataFrame]:
+    """What the labels of cells need beside the phenotypes: it is the same for all traits."""
+    return {name: cut(op.run(spark, tables)) for name, op in P.CELL_LABELS.inputs if name in ("clusters", "ood_genotypes", "ood_environments")}
+
+
+def _prepared(spark: SparkSession, tables: str, trait: str, unit: float, held: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells of one trait under the name the operators know, their design under every protocol, and observed values, which are read again and not written."""
     every = PHENOTYPES.run(spark, tables)
-    phenotypes = cut(every.select("row_id", "genotype_id", "environment_id", (F.col(trait) / unit).alias("trait_1")))
+    phenotypes = every.select("row_id", "genotype_id", "environment_id", (F.col(trait) / unit).alias("trait_1"))
     cells = cut(P.CELLS.on(spark, phenotypes=phenotypes))
     folds = {}
     for name, weights, greedy in (("genotype", P.GENOTYPE_WEIGHTS, P.GREEDY_GENOTYPE_FOLDS), ("environment", P.ENVIRONMENT_WEIGHTS, P.GREEDY_ENVIRONMENT_FOLDS), ("cluster", P.CLUSTER_WEIGHTS, P.GREEDY_CLUSTER_FOLDS)):
-        given = {"cells": cells} | ({"clusters": P.CLUSTERS.run(spark, tables)} if name == "cluster" else {})
+        given = {"cells": cells} | ({"clusters": held["clusters"]} if name == "cluster" else {})
         folds[f"{name}_folds"] = greedy.on(spark, **{f"{name}_weights": weights.on(spark, **given)})
-    held = {name: op.run(spark, tables) for name, op in P.CELL_LABELS.inputs if name in ("clusters", "ood_genotypes", "ood_environments")}
     must_be_known(cells, "genotype_id", held["clusters"])  # an inner join would drop them
     labels = P.CELL_LABELS.on(spark, cells=cells, **folds, **held)
-    return cells, cut(P.DESIGN.on(spark, cell_labels=labels)), cut(P.OBSERVED.on(spark, phenotypes=phenotypes))
+    return cells, cut(P.DESIGN.on(spark, cell_labels=labels)), P.VALUES.on(spark, phenotypes=phenotypes)
+
+
+def _values_digest(observed: DataFrame) -> str | None:
+    """Of the observed values, from sums by cell of two hashes of each in halves: they do not depend on order and count repeated values."""
+    halves = [half for k in range(2) for h in [F.xxhash64(F.lit(k), F.col("y").cast("double"))] for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    cells = observed.groupBy("genotype_id", "environment_id").agg(F.count("*").alias("n"), *[F.sum(half).alias(f"h{k}") for k, half in enumerate(halves)])
+    found = _digest(cells.withColumn("k", F.lit(1)), ["k"]).first()
+    return found and found["inputs"]
 
 
 #: Models that are fitted on markers and weather; all others are means.
 KERNELS = {"gblup": Member("gblup", "linear"), "reaction_norm_gblup": Member("reaction_norm_gblup", "linear"), "rkhs": Member("rkhs", "rbf")}
 
 
-def kernel_rows(spark: SparkSession, tables: str, design: DataFrame, observed: DataFrame, fits: list[tuple[str, str]]) -> DataFrame:
-    """Counted observations with the prediction of their cell, for each (protocol, model) of kernels."""
+def kernel_cells(spark: SparkSession, tables: str, design: DataFrame, observed: DataFrame, model: str, protocols: list[str]) -> DataFrame:
+    """Predictions of one kernel model for the cells that a protocol validates."""
     dosage, values = DOSAGE.run(spark, tables), feature_values(FEATURES.run(spark, tables))
-    y = F.col("y")
-    cells = observed.groupBy("genotype_id", "environment_id").agg(F.sum("m").alias("n"), (F.sum(y * F.col("m")) / F.sum("m")).alias("m"), F.sum(y * y * F.col("m")).alias("ss"))
-    found = None
-    for protocol, model in fits:
-        made = kernel_predictions(dosage, values, cells, design.where(F.col("protocol") == protocol), KERNELS[model])
-        rows = observed.join(made, ["genotype_id", "environment_id"]).select(F.lit(protocol).alias("protocol"), F.lit(model).alias("model"), "fold", "environment_id", "y", F.col("prediction").alias("yhat"), "m")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    cells = observed.groupBy("genotype_id", "environment_id").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.sum(F.col("y") * F.col("y")).alias("ss"))
+    made = [kernel_predictions(dosage, values, cells, design.where(F.col("protocol") == p), KERNELS[model]).select(F.lit(p).alias("protocol"), "fold", "genotype_id", "environment_id", F.col("prediction").alias(model)) for p in protocols]
+    return reduce(DataFrame.unionByName, made)
 
 
 def fitted(spark: SparkSession, tables: str, design: DataFrame, observed: DataFrame, fits: list[tuple[str, str]]) -> DataFrame:
     """Metrics by protocol, model and fold of some (protocol, model)."""
-    kernels, rows = [x for x in fits if x[1] in KERNELS], None
-    if len(kernels) < len(fits):
+    keys, graded = ["protocol", "fold"], []
+    means = sorted({m for _, m in fits} - set(KERNELS))
+    if means:
         left_out = P.LEFT_OUT.on(spark, design=design)
         predictions = P.CELL_PREDICTIONS.on(spark, design=design, train_means=P.TRAIN_MEANS.on(spark, left_out=left_out))
-        rows = P.MODEL_ROWS.on(spark, observed=observed, cell_predictions=predictions)
-    if kernels:
-        more = kernel_rows(spark, tables, design, observed, kernels)
-        rows = more if rows is None else rows.unionByName(more)
+        graded.append(by_cell(observed, predictions, keys, means))
+    for model in sorted({m for _, m in fits} & set(KERNELS)):
+        graded.append(by_cell(observed, kernel_cells(spark, tables, design, observed, model, sorted({p for p, m in fits if m == model})), keys, [model]))
     asked = F.broadcast(spark.createDataFrame(fits, "protocol string, model string"))  # a few rows of the config
-    graded = P.BY_FOLD.on(spark, model_rows=cut(rows.join(asked, ["protocol", "model"])))
     both = (F.col("pearson") + F.col("spearman")) / 2
     shown = {"pearson": F.round("pearson", 5), "spearman": F.round("spearman", 5), "score": F.round(both, 5), "rmse": F.round(F.sqrt("mse"), 4), "mae": F.round("mae", 4)}
-    return graded.select("protocol", "model", "fold", F.col("n").cast("long").alias("n"), *[c.alias(k) for k, c in shown.items()], "defined")
+    return reduce(DataFrame.unionByName, graded).join(asked, ["protocol", "model"]).select("protocol", "model", "fold", F.col("n").cast("long").alias("n"), *[c.alias(k) for k, c in shown.items()], "defined")
 
 
 def ledger(spark: SparkSession, out: str) -> DataFrame:
@@ -113,13 +121,13 @@ def leaderboard(done: DataFrame, crop: str) -> DataFrame:
 def run(spark: SparkSession, tables: str, out: str, config: dict | None = None) -> DataFrame:
     """Brings ledger and leaderboard up to date and returns the ledger."""
     config = config or json.loads(CONFIG.read_text())
-    ran = 0
+    ran, same = 0, _held(spark, tables)
     for trait, unit in config["traits"].items():
-        cells, design, observed = _prepared(spark, tables, trait, unit)
+        cells, design, observed = _prepared(spark, tables, trait, unit, same)
         design = design.where(F.col("protocol").isin(config["protocols"]))
-        log.info("read %s: %d cells, %d values", trait, cells.count(), observed.agg(F.sum("m")).first()[0] or 0)
-        values = _digest(observed.crossJoin(spark.createDataFrame([(trait,)], "trait string")), ["trait"]).first()
-        now = {r["protocol"]: f"{r['inputs']}/{values and values['inputs']}/{unit}" for r in _digest(design.drop("s", "n"), ["protocol"]).collect()}  # one row a protocol
+        log.info("read %s: %d cells, %d values", trait, cells.count(), cells.agg(F.sum("n")).first()[0] or 0)
+        values = _values_digest(observed)
+        now = {r["protocol"]: f"{r['inputs']}/{values}/{unit}" for r in _digest(design.drop("s", "n"), ["protocol"]).collect()}  # one row a protocol
         if set(config["models"]) & set(KERNELS):
             now = {protocol: f"{inputs}/{_tables_digest(spark, tables)}" for protocol, inputs in now.items()}
         held = {(r["protocol"], r["model"], r["inputs"]) for r in ledger(spark, out).where(F.col("trait") == trait).select("protocol", "model", "inputs").distinct().collect()}

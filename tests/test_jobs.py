@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from genoscape.operators import training
 from genoscape.plans.roles import PHENOTYPES
@@ -90,6 +91,25 @@ def test_a_benchmark_of_grown_tables_is_a_new_one(spark, tmp_path, calls):
     assert after == rows(benchmark.run(spark, SF, str(tmp_path / "fresh"), config), METRICS)
 
 
+def test_a_benchmark_writes_cells_and_not_observations(spark, tmp_path):
+    """Sixteen times the observations of the same cells leave no more on the disk."""
+    whole, left = pq.read_table(f"{SF}/lineitem.parquet"), []
+    for k, times in enumerate((1, 16)):
+        tables, shared = tmp_path / f"tables{k}", tmp_path / f"shared{k}"
+        tables.mkdir()
+        for t in ("events", "embeddings"):
+            shutil.copy(f"{SF}/{t}.parquet", tables)
+        pq.write_table(pa.concat_tables([whole] * times), tables / "lineitem.parquet")
+        before = spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(str(shared))
+        try:
+            done = benchmark.run(spark, str(tables), str(tmp_path / f"out{k}"), SMALL | {"traits": {"trait_2": 1000}, "protocols": ["cv_e"]})
+        finally:
+            spark.sparkContext.setCheckpointDir(before.removeprefix("file:").rsplit("/", 1)[0])
+        left.append((done.agg(F.sum("n")).first()[0], sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())))
+    assert left[1][0] == 16 * left[0][0] and left[1][1] < 1.2 * left[0][1]
+
+
 def test_a_benchmark_of_kernels(spark, tmp_path):
     """A kernel's folds are graded like those of the means, and equal the query's predictions graded alone."""
     config = {"crop": "c", "traits": {"trait_1": 1}, "protocols": ["cv_g"], "models": ["global_mean", "gblup"], "at_once": 1}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from genoscape.operators import alignment, protocols, study
-from genoscape.plans import ranks
+from genoscape.plans import grades, ranks
 from genoscape.plans.dialect import Operator, written
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,29 @@ def test_ranks_by_ranges_are_exact(spark, monkeypatch):
         assert row.mse == pytest.approx(((mine.y - mine.yhat) ** 2).mean()) and row.mae == pytest.approx((mine.y - mine.yhat).abs().mean())
 
 
+@pytest.mark.parametrize("per_range", [3, 200, 10**6])
+def test_grades_by_cell_are_those_of_observations(spark, monkeypatch, per_range):
+    """Many ranges, far outliers, a value that a third of the rows share, ties of predictions, a constant model, cells without prediction, a null key and groups of one."""
+    monkeypatch.setattr(grades, "PER_RANGE", per_range)
+    draw = random.Random(7)
+    names = [(f"G{g}", f"E{e}") for g in range(12) for e in range(4)]
+    rows = [(*draw.choice(names), draw.choice([0.0, draw.gauss(0, 1), draw.gauss(0, 1e9)])) for _ in range(900)] + [("G0", "lone", 2.0), ("other", "E0", 1.0)]
+    cells = [(p, f"{e}" if p == "a" else None, g, e, 3.5, float(draw.randint(0, 5)) / 3) for p in "ab" for g, e in [*names, ("G0", "lone"), ("unseen", "E1")] if p == "a" or g < "G4"]
+    observed = spark.createDataFrame(rows, "genotype_id string, environment_id string, y double")
+    predictions = spark.createDataFrame(cells, "protocol string, fold string, genotype_id string, environment_id string, same double, other double")
+    got = {(r.protocol, r.fold, r.model): r for r in grades.by_cell(observed, predictions, ["protocol", "fold"], ["same", "other"]).collect()}
+    every = observed.toPandas().merge(predictions.toPandas().fillna({"fold": "-"}), on=["genotype_id", "environment_id"])
+    assert len(got) == 2 * len(every.groupby(["protocol", "fold"])) == 12
+    for (protocol, fold), own in every.groupby(["protocol", "fold"]):
+        for model in ("same", "other"):
+            r, yhat = got[protocol, None if fold == "-" else fold, model], own[model]
+            varied = model == "other" and len(own) > 1
+            assert (r.n, r.defined) == (len(own), varied)
+            assert r.pearson == pytest.approx(own.y.corr(yhat) if varied else 0, abs=1e-9)
+            assert r.spearman == pytest.approx(own.y.rank().corr(yhat.rank()) if varied else 0, abs=1e-9)
+            assert r.mse == pytest.approx(((own.y - yhat) ** 2).mean()) and r.mae == pytest.approx((own.y - yhat).abs().mean())
+
+
 def test_duplicate_markers_are_found(spark):
     codes = {0: "012.", 1: "012.", 2: "0120"}
     rows = [(f"G{g}", m, None if c == "." else int(c)) for m, line in codes.items() for g, c in enumerate(line)]
