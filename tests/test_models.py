@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoscape.__main__ import main
-from genoscape.operators import clusters, kernels, protocols, training
+from genoscape.operators import clusters, kernels, models, protocols, training
 from genoscape.operators.models import EnvironmentKernel, EnvironmentPCs, LocationScale, Panel, genomic_ridge, simplex_weights
 from genoscape.operators.training import Model, stacking_weights
 from genoscape.service import Models, serve, weather_features
@@ -216,6 +216,37 @@ def test_too_few_genotypes_give_their_mean(spark):
     assert {r.prediction for r in genomic_ridge(panel, {"1": {"g00": 1.0, "g01": 3.0}}).collect()} == {2.0}
 
 
+@pytest.mark.parametrize("held", [2_000_000, 60])
+def test_ridge_takes_all_markers_beyond_those_of_one_task(spark, monkeypatch, held):
+    monkeypatch.setattr(models, "BLOCKS", held)  # 60: blocks of few genotypes, so that many steps are taken
+    rng = np.random.default_rng(4)
+    d = rng.integers(0, 3, (16, 90))
+    d[:, 3], d[1:, 4] = 1, 0  # does not vary; varies in a genotype that only one fold trains on
+    d[rng.random(d.shape) < 0.12] = -1
+    names = [f"g{i:02d}" for i in range(16)]
+    targets = {"0": {g: float(i % 5) for i, g in enumerate(names) if i > 2}, "1": {g: float(i * i) for i, g in enumerate(names) if i < 9}, "2": {g: 4.0 for g in names}, "few": {"g00": 1.0, "g01": 3.0}}
+    panel = panel_of(spark, d)
+    got = {(r.fold, r.genotype_id): r.prediction for r in genomic_ridge(panel, targets, most=7).collect()}
+    kept = []
+    assert len(got) == 4 * 16 and {v for (f, _), v in got.items() if f == "few"} == {2.0}
+    x = np.where(d >= 0, d, np.nan).astype(float)
+    for fold in ("0", "1", "2"):
+        own = np.array([g in targets[fold] for g in names])
+        called = np.isfinite(x[own])
+        p = np.where(called, x[own], 0).sum(0) / (2 * called.sum(0))
+        keep = (np.nanmax(x[own], 0) > np.nanmin(x[own], 0)) & (np.minimum(p, 1 - p) >= 0.01) & (1 - called.mean(0) <= 0.25)
+        kept.append(int(keep.sum()))
+        z = np.where(np.isfinite(x), x, np.nanmean(x[own], 0))[:, keep]
+        z = (z - z[own].mean(0)) / z[own].std(0)
+        t = np.array(list(targets[fold].values()))
+        b = np.linalg.solve(z[own].T @ z[own] + 10 * np.eye(z.shape[1]), z[own].T @ (t - t.mean()))
+        assert np.allclose([got[fold, g] for g in names], t.mean() + z @ b, rtol=0, atol=1e-7)
+    assert 7 < min(kept) < max(kept)
+    for most in (min(kept), 90):  # some folds by markers, all folds by markers
+        other = {(r.fold, r.genotype_id): r.prediction for r in genomic_ridge(panel, targets, most=most).collect()}
+        assert other.keys() == got.keys() and all(other[k] == pytest.approx(got[k], abs=1e-7) for k in got)
+
+
 def test_thinning_keeps_the_ends(spark):
     rng = np.random.default_rng(0)
     panel = panel_of(spark, rng.integers(0, 3, (12, 40)))
